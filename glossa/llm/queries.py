@@ -12,6 +12,12 @@ from glossa.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.bpe import digests
+
+    return digests(table(spark, sf_dir, "documents")).drop("ids")
+
+
 def op6_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm.simhash import simhash_components
 
@@ -21,5 +27,5 @@ def op6_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_simhash_bk_tree,)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe_backtracking, op6_simhash_bk_tree)}
 ORACLE_SQL: dict[str, str] = {}
