@@ -7,17 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.llm.labelled import held_out
 from glossa.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _scored(got: DataFrame, threshold: float) -> DataFrame:
+    return got.select(
+        F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
 def op2_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm.bpe import digests
 
     return digests(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op5_toxicity_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    got = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return _scored(got, toxicity.THRESHOLD)
+
+
 def op6_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm.simhash import simhash_components
 
@@ -27,5 +43,5 @@ def op6_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe_backtracking, op6_simhash_bk_tree)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe_backtracking, op5_toxicity_boosted_trees, op6_simhash_bk_tree)}
 ORACLE_SQL: dict[str, str] = {}
