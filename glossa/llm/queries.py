@@ -43,5 +43,13 @@ def op6_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe_backtracking, op5_toxicity_boosted_trees, op6_simhash_bk_tree)}
+def op10_quality_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    got = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return _scored(got, quality.THRESHOLD)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe_backtracking, op5_toxicity_boosted_trees, op6_simhash_bk_tree, op10_quality_positive_unlabelled)}
 ORACLE_SQL: dict[str, str] = {}
