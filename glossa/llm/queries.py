@@ -43,6 +43,13 @@ def op6_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.decontaminate import contaminated
+
+    got = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.withColumnRenamed("id", "doc_id")
+
+
 def op10_quality_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm import quality
 
@@ -51,5 +58,14 @@ def op10_quality_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFr
     return _scored(got, quality.THRESHOLD)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe_backtracking, op5_toxicity_boosted_trees, op6_simhash_bk_tree, op10_quality_positive_unlabelled)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op2_bpe_backtracking,
+        op5_toxicity_boosted_trees,
+        op6_simhash_bk_tree,
+        op8_template_decontamination,
+        op10_quality_positive_unlabelled,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
