@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_digest
 
 from glossa.plans.components import connected_components
@@ -208,3 +209,33 @@ def simhash_components(
     moved = named.join(least, "component").select("fp", "least")
     ids = distinct.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
     return fps.join(ids, "fp").select("id", "fp", "component_id")
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group, that with its smallest id, with the columns it came with.
+
+    Of repeated rows of one id and text one stays. A row without an id stays only if its group has no id at all, and
+    then one row of each fingerprint.
+    """
+    got = materialize(simhash_components(docs, id_col, text_col), "simhash-components")
+    kept = got.where(F.col("id") == F.col("component_id")).groupBy("id").count()
+    kept = materialize(kept, "simhash-kept")
+    keys = kept.select(F.col("id").alias("_kept"), (F.col("count") > 1).alias("_repeated"))
+    rows = docs.join(keys, F.col(id_col).cast("long") == F.col("_kept")).drop("_kept")
+    if kept.where("count > 1").head(1):
+        once = rows.where("_repeated").dropDuplicates([id_col, text_col])
+        rows = rows.where("not _repeated").unionByName(once)
+    rows = rows.drop("_repeated")
+    nameless = got.where("component_id is null").select(F.col("fp").alias("_fp")).distinct()
+    if not nameless.head(1):
+        return rows
+
+    def with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            fps = pa.array([_signed(fingerprint(t.as_py())) for t in batch.column(at)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, fps], [*batch.schema.names, "_fp"])
+
+    schema = StructType([*docs.schema.fields, StructField("_fp", LongType())])
+    unnamed = docs.where(F.col(id_col).isNull()).mapInArrow(with_fingerprint, schema)
+    return rows.unionByName(unnamed.join(nameless, "_fp", "left_semi").dropDuplicates(["_fp"]).drop("_fp"))
