@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from glossa.llm.labelled import held_out
 from glossa.sources.tables import table
 
+#: The text of both turns of conversation -1.
+CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -43,6 +45,34 @@ def op6_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_chat_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.chat import format_conversations, read_back
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.sql(f"SELECT -1L, stack(2, 0L, 'user', '{CONTROL_TEXT}', 1L, 'assistant', '{CONTROL_TEXT}')")
+    return read_back(format_conversations(rows.union(more.toDF(*rows.columns))))
+
+
+OP7_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}'
+  UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}'
+), e AS (
+  SELECT *, CASE WHEN regexp_matches(text, '<\\|im_(start|end)\\|>|<\\\\+\\|')
+    THEN regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g') ELSE text END AS body,
+    replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '|', '%7C') AS name
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(name) + length(body) + 24) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm.decontaminate import contaminated
 
@@ -64,8 +94,9 @@ QUERIES: dict[str, Query] = {
         op2_bpe_backtracking,
         op5_toxicity_boosted_trees,
         op6_simhash_bk_tree,
+        op7_chat_grammar_round_trip,
         op8_template_decontamination,
         op10_quality_positive_unlabelled,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_chat_grammar_round_trip": OP7_SQL}
