@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm.labelled import held_out
+from glossa.plans.materialize import scratch_path
 from glossa.sources.tables import table
 
 #: The text of both turns of conversation -1.
@@ -28,6 +29,31 @@ def op2_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.warc import assemble, page_records, read_records, write_archives
+
+    path = scratch_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return page_records(assemble(read_records(spark, path))).drop("url")
+
+
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), q AS (
+  SELECT *, max(page_id) OVER (PARTITION BY html) AS top,
+    list_transform(range(8), lambda i: CAST('0x' || substr(h, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS parts
+  FROM p
+)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> s) & 31) + 1 AS BIGINT), 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM q
+"""
+
+
 def op5_toxicity_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm import toxicity
 
@@ -92,6 +118,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op2_bpe_backtracking,
+        op3_warc_transactions,
         op5_toxicity_boosted_trees,
         op6_simhash_bk_tree,
         op7_chat_grammar_round_trip,
@@ -99,4 +126,4 @@ QUERIES: dict[str, Query] = {
         op10_quality_positive_unlabelled,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op7_chat_grammar_round_trip": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc_transactions": OP3_SQL, "op7_chat_grammar_round_trip": OP7_SQL}
