@@ -23,6 +23,20 @@ def _scored(got: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+#: Rules of op1, as its contract gives them.
+FIXED_RULES = (
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
+)
+
+
+def op1_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.url_rules import judge, mine
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    got = judge(pages, FIXED_RULES, mine(pages, table(spark, sf_dir, "labels")))
+    return got.select("page_id", "host", "path", "rule", "verdict", "confidence")
+
+
 def op2_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm.bpe import digests
 
@@ -117,6 +131,7 @@ def op10_quality_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFr
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_url_association_rules,
         op2_bpe_backtracking,
         op3_warc_transactions,
         op5_toxicity_boosted_trees,
