@@ -120,6 +120,13 @@ def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumnRenamed("id", "doc_id")
 
 
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.nndescent import near_duplicates
+
+    got = near_duplicates(table(spark, sf_dir, "embeddings"))
+    return got.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
 def op10_quality_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm import quality
 
@@ -138,6 +145,7 @@ QUERIES: dict[str, Query] = {
         op6_simhash_bk_tree,
         op7_chat_grammar_round_trip,
         op8_template_decontamination,
+        op9_nn_descent,
         op10_quality_positive_unlabelled,
     )
 }
