@@ -68,6 +68,13 @@ FROM q
 """
 
 
+def op4_html_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.html_blocks import extract
+
+    got = extract(table(spark, sf_dir, "pages"))
+    return got.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_toxicity_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm import toxicity
 
@@ -141,6 +148,7 @@ QUERIES: dict[str, Query] = {
         op1_url_association_rules,
         op2_bpe_backtracking,
         op3_warc_transactions,
+        op4_html_block_labeller,
         op5_toxicity_boosted_trees,
         op6_simhash_bk_tree,
         op7_chat_grammar_round_trip,
