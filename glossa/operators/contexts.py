@@ -177,16 +177,29 @@ def _trim(parts: list[str]) -> list[str]:
     return parts
 
 
+def _nearby(document: str, start: int, end: int, size: int) -> tuple[list[str], list[str]]:
+    """Words before and after a match: all of them, or at least ``size`` where there are more. Reads no further."""
+    reach = 16 * size
+    while True:
+        left, right = max(0, start - reach), min(len(document), end + reach)
+        before, after = _WORDS.split(document[left:start]), _WORDS.split(document[end:right])
+        short = left > 0 and len(before) < size + 4, right < len(document) and len(after) < size + 4
+        if not any(short):
+            # a cut may go through a word; that word is beyond the window
+            return _trim(before if left == 0 else before[1:]), _trim(after if right == len(document) else after[:-1])
+        reach *= 2
+
+
 def context_of(document: str, start: int, end: int, kind: ContextType, size: int, left_mode: str = "intended") -> str:
     """The words, or the paragraphs between blank lines, around a match."""
-    split = _WORDS.split if kind is ContextType.WORD else _LINES.split
-    before, after = _trim(split(document[:start])), _trim(split(document[end:]))
     if kind is ContextType.WORD:
+        before, after = _nearby(document, start, end, size)
         n = len(before)
-        left = size if n >= size else n
+        left = min(n, size)
         if left_mode == "compat" and n < size:
             left = min(n, size - n)
         return " ".join([*before[n - left :], TARGET, *after[:size]])
+    before, after = _trim(_LINES.split(document[:start])), _trim(_LINES.split(document[end:]))
     gaps = [i for i, line in enumerate(before) if not line.strip()] or [-1]
     first = gaps[-size] if size < len(gaps) else gaps[-1]
     stops = [i for i, line in enumerate(after) if not line.strip()] or [len(after)]
