@@ -31,7 +31,7 @@ PRETOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH = 300_000, 1_000_000, 64
+KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH = 600_000, 1_000_000, 64
 BATCH_BYTES = 4 << 20
 
 
@@ -93,6 +93,11 @@ class ByteBPE:
         #: Longest proper prefix that is a token itself, or -1.
         self.shorter = [next((known[r[:k]] for k in range(len(r) - 1, 0, -1) if r[:k] in known), -1) for r in raw]
         self.pairs: dict[tuple[int, int], bool] = {}
+        #: Whether merging a token's own bytes gives the token. Halves have lower numbers, so one pass is enough.
+        self.whole = [True] * 256
+        for n in range(256, len(texts)):
+            left, right = self.split[n]
+            self.whole.append(self.whole[left] and self.whole[right] and self._apart(left, right, n))
         self.words = _Kept(self._encode_word, KEPT_WORDS)
         self.added = {t["content"]: t["id"] for t in whole.get("added_tokens", ())}
         names = sorted(self.added, key=len, reverse=True)
@@ -135,48 +140,37 @@ class ByteBPE:
 
     def _encode_word(self, word: str) -> bytes:
         raw = word.encode("utf-8").decode("latin-1")
-        n = len(raw)
-        longest, reach = [-1] * n, [0] * n
-        for end, (token, size) in self.automaton.iter(raw):
-            at = end + 1 - size
-            if size > reach[at]:
-                longest[at], reach[at] = token, size
-        if n and reach[0] == n:
-            only = longest[0]
-            if self._whole(only):
-                return self.packed[only]
+        n, whole, packed, length, shorter, compatible = len(raw), self.whole, self.packed, self.length, self.shorter, self.compatible
+        # the automaton's longest matches, one after the other; it is set anew only where the encoder left its track
+        matches, due = self.automaton.iter_long(raw), 0
         tokens: list[int] = []
         open_at = bytearray(b"\x01") * (n + 1)
-        length, shorter, compatible = self.length, self.shorter, self.compatible
-        at, token = 0, longest[0] if n else -1
+        at, token, last = 0, -1, -1
         while at < n:
-            last = tokens[-1] if tokens else -1
+            if token < 0:
+                if at != due:
+                    matches = self.automaton.iter_long(raw, at)
+                token, size = next(matches)[1]
+                due = at + size
             while token >= 0:
-                end = at + length[token]
-                if open_at[end] and (last < 0 or compatible(last, token)) and self._whole(token):
+                if open_at[at + length[token]] and (last < 0 or compatible(last, token)) and whole[token]:
                     break
                 token = shorter[token]
             if token >= 0:
                 tokens.append(token)
-                at = at + length[token]
-                token = longest[at] if at < n else -1
+                at += length[token]
+                last, token = token, -1
             else:
                 open_at[at] = 0
-                token = shorter[tokens.pop()]
                 at -= length[last]
-        return b"".join([self.packed[t] for t in tokens])
-
-    def _whole(self, token: int) -> bool:
-        """Whether merging a token's own bytes gives the token: its halves, as a pair, have no other way."""
-        if token < 256:
-            return True
-        left, right = self.split[token]
-        known = self.pairs.get((-1, token))
-        if known is None:
-            self.pairs[-1, token] = known = (
-                self._whole(left) and self._whole(right) and self._apart(left, right, token)
-            )
-        return known
+                token = shorter[tokens.pop()]
+                last = tokens[-1] if tokens else -1
+                while token < 0:
+                    open_at[at] = 0
+                    at -= length[last]
+                    token = shorter[tokens.pop()]
+                    last = tokens[-1] if tokens else -1
+        return b"".join([packed[t] for t in tokens])
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
