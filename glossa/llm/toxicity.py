@@ -53,31 +53,36 @@ def terms_of(word: str) -> Iterator[str]:
             yield word[:k] + "~"
 
 
-class Token:
-    """What each distinct token is worth; tokens repeat, so a bounded table of them is kept."""
+class Token(dict):
+    """Token to row of a table of what it is worth; tokens repeat, so a bounded number of them is kept."""
 
     def __init__(self, lexicon: dict[str, float]) -> None:
-        self.lexicon, self.index = lexicon, {}
-        self.rows: list[tuple[float, bool, bool, bool, int]] = []
+        super().__init__()
+        self.lexicon, self.rows = lexicon, np.zeros((1 << 14, 5))
+
+    def __missing__(self, token: str) -> int:
+        n = len(self)
+        if n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[n] = self.judge(token)
+        self[token] = n
+        return n
 
     def __call__(self, text: str) -> np.ndarray:
-        tokens, index = text.split(), self.index
-        if len(index) > KEPT:
-            index.clear()
-            self.rows.clear()
-        for token in set(tokens).difference(index):
-            index[token] = len(self.rows)
-            self.rows.append(self.judge(token))
-        at = np.fromiter((index[t] for t in tokens), np.int64, len(tokens))
-        uniq, inverse = np.unique(at, return_inverse=True)
-        used = np.array([self.rows[i] for i in uniq], np.float64).reshape(-1, 5)
-        return used[inverse]
+        """One row of ``judge`` for each token of a text."""
+        if len(self) > KEPT:
+            self.clear()
+        tokens = text.split()
+        at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        return self.rows[at]
 
     def judge(self, token: str) -> tuple[float, bool, bool, bool, int]:
         """(lexicon weight, second person, obfuscated, hit only when cleaned, capitals)."""
         low = token.lower()
-        core = _EDGES.sub("", low)
-        weight = max((self.lexicon.get(t, 0.0) for p in _PARTS.findall(low) for t in terms_of(p)), default=0.0)
+        core = low if low.isalpha() else _EDGES.sub("", low)
+        known, weight = self.lexicon.get, 0.0
+        for part in (core,) if core.isalpha() else _PARTS.findall(low):
+            weight = max(weight, known(part, 0.0), *[known(part[:k] + "~", 0.0) for k in PREFIXES if len(part) > k])
         mixed = not core.isalpha() and any(c.isalpha() for c in core) and not core.replace("'", "").isalpha()
         stretched = bool(_STRETCH.search(core))
         hidden = 0.0
@@ -105,7 +110,8 @@ def features(text: str | None, token: Token) -> np.ndarray:
             np.abs(you[np.minimum(right, len(you) - 1)] - hits), np.abs(you[np.maximum(right - 1, 0)] - hits)
         )
         near, least = int((gap <= NEAR).sum()), int(min(FAR, gap.min()))
-    top = np.sort(weight)[::-1][:3]
+    hits = np.sort(weight[weight > 0])[::-1]
+    top = hits[:3] if len(hits) else np.zeros(min(1, len(t)))
     marks = sum(map(text.count, ".,;:!?*#%&$|@"))
     return np.array([
         strong.sum() / n, math.log1p(strong.sum()), (weight > 0).sum() / n, weight.sum() / n, math.log1p(weight.sum()),
