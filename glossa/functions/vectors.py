@@ -22,8 +22,9 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """A vector of length 1; nulls in place of a zero vector's elements."""
-    length = norm(a)
-    return F.transform(a, lambda x: F.try_divide(x, length))
+    # repeated as an array: inside a lambda the length would be computed for every element
+    lengths = F.array_repeat(norm(a), F.size(a))
+    return F.zip_with(a, lengths, lambda x, n: F.try_divide(x, n))
 
 
 def cosine(a: Column, b: Column) -> Column:

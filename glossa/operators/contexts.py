@@ -1,7 +1,7 @@
 """Where terms occur in documents and in what words.
 
-The fast path tokenises each document once and joins its n-grams to the dictionary: one equi-join for all terms. The
-pattern path keeps regular-expression semantics (inflections, white space absorbed by a match) in an Arrow UDF.
+The fast path tokenises each document once and looks its n-grams up in the dictionary, all terms at once. The pattern
+path keeps regular-expression semantics (inflections, white space absorbed by a match) in an Arrow UDF.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ from glossa.functions.inflect import forms
 
 TARGET = "TARGETWORD"
 WINDOW, TRIM = 25, 10
+#: Phrases that are compared inside a projection; a longer dictionary is joined.
+LITERALS = 5_000
+#: A window that any line fits in.
+WHOLE_LINE = 1 << 30
 
 
 class ContextType(enum.Enum):
@@ -40,15 +44,26 @@ def check_config(kind: ContextType, size: int) -> None:
 
 
 def tokenise(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with its words as the array ``words``."""
-    return docs.withColumn("words", text.words(F.col(text_col)))
+    """``docs`` with its words as the array ``words``.
+
+    The one-element explode keeps the optimizer from moving the split into later lambdas, where it would run once for
+    every element.
+    """
+    kept = [c for c in docs.columns if c != "words"]
+    return docs.select(*kept, F.explode(F.array(text.words(F.col(text_col)))).alias("words"))
 
 
 def n_grams(words: Column, n: int) -> Column:
-    """array<struct<pos, gram>>: each run of n words, pos from 0."""
-    last = F.size(words) - n
-    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(words, i + 1, n), " ").alias("gram")))
+    """array<struct<pos, length, gram>>: each run of n words, pos from 0."""
+    if n == 1:
+        return F.transform(words, lambda w, i: F.struct(i.alias("pos"), F.lit(1).alias("length"), w.alias("gram")))
+    runs = words
+    for k in range(1, n):
+        # the k-th word after; where there is none the run is null, and dropped
+        rest = F.slice(words, F.lit(k + 1), F.greatest(F.size(words), F.lit(1)))
+        runs = F.zip_with(runs, rest, lambda a, b: F.concat(a, F.lit(" "), b))
+    placed = F.transform(runs, lambda g, i: F.struct(i.alias("pos"), F.lit(n).alias("length"), g.alias("gram")))
+    return F.filter(placed, lambda g: g["gram"].isNotNull())
 
 
 def window(words: Column, pos: Column, length: Column, size: int, left_mode: str = "intended") -> Column:
@@ -65,53 +80,68 @@ def window(words: Column, pos: Column, length: Column, size: int, left_mode: str
     return F.array_join(F.concat(before, F.array(F.lit(TARGET)), after), " ")
 
 
-def occurrences(tokenised: DataFrame, terms: DataFrame, lengths: list[int], ignore_case: bool = False, doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, form, pos, length, words): matches of terms (form, phrase) among the documents' n-grams.
-
-    ``lengths`` are the numbers of words that phrases have. A dictionary is small against a corpus, and Spark broadcasts
-    it where its size allows; else n-grams are shuffled to it.
-    """
-    def sized(n: int) -> Column:
-        return F.transform(n_grams(F.col("words"), n), lambda g: F.struct(g["pos"].alias("pos"), F.lit(n).alias("length"), g["gram"].alias("gram")))
-
-    grams = F.flatten(F.array(*[sized(n) for n in lengths]))
-    cells = tokenised.select(doc_id, "words", F.explode(grams).alias("g")).select(
-        doc_id, "words", "g.pos", "g.length", (F.lower("g.gram") if ignore_case else F.col("g.gram")).alias("phrase")
-    )
-    keyed = terms.select("form", (F.lower("phrase") if ignore_case else F.col("phrase")).alias("phrase")).distinct()
-    return cells.join(keyed, "phrase").select(doc_id, "form", "pos", "length", "words")
-
-
 def variants(forms_table: DataFrame) -> DataFrame:
     """(form, phrase): the variants of bar-set forms."""
     return forms_table.select("form", F.explode(sets.from_bars(F.col("form"))).alias("phrase"))
 
 
-def leftmost_longest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Matches of one form in one document without those that begin where a longer one does."""
-    return found.groupBy(doc_id, "form", "pos").agg(F.max("length").alias("length"), F.first("words").alias("words"))
+def _keyed(terms: DataFrame, ignore_case: bool) -> DataFrame:
+    return terms.select("form", (F.lower("phrase") if ignore_case else F.col("phrase")).alias("phrase")).distinct()
+
 
+def with_hits(tokenised: DataFrame, terms: DataFrame, lengths: list[int], ignore_case: bool = False, doc_id: str = "doc_id") -> DataFrame:
+    """``tokenised`` with hits array<struct<pos, length, phrase>>, empty or missing where a document has none.
 
-def word_contexts(found: DataFrame, size: int = WINDOW, left_mode: str = "intended", doc_id: str = "doc_id") -> DataFrame:
-    """(form, doc_id, pos, context)."""
+    ``lengths`` are the numbers of words that phrases have. Up to ``LITERALS`` phrases are looked up in a hash set inside
+    the projection: no n-gram leaves its document. More phrases are joined as a table, and the hits of a document, not
+    its words, are what is shuffled.
+    """
+    keyed = _keyed(terms, ignore_case)
+    grams = F.concat(*[n_grams(F.col("words"), n) for n in lengths])
+    named = lambda g: F.struct(g["pos"].alias("pos"), g["length"].alias("length"), (F.lower(g["gram"]) if ignore_case else g["gram"]).alias("phrase"))
+    some = [r.phrase for r in keyed.select("phrase").distinct().limit(LITERALS + 1).collect()]
+    if len(some) <= LITERALS:
+        hits = F.filter(F.transform(grams, named), lambda h: h["phrase"].isin(some)) if some else F.array().cast("array<struct<pos:int,length:int,phrase:string>>")
+        return tokenised.withColumn("hits", hits)
+    cells = tokenised.select(doc_id, F.explode(F.transform(grams, named)).alias("h"))
+    found = cells.join(keyed.select("phrase").distinct(), F.col("h.phrase") == F.col("phrase"), "left_semi")
+    return tokenised.join(found.groupBy(doc_id).agg(F.array_sort(F.collect_list("h")).alias("hits")), doc_id)
+
+
+def word_contexts(
+    tokenised: DataFrame, terms: DataFrame, lengths: list[int], size: int = WINDOW, left_mode: str = "intended", ignore_case: bool = False, doc_id: str = "doc_id"
+) -> DataFrame:
+    """(form, doc_id, pos, length, context): the words around every match. Windows are cut before rows are made."""
     check_config(ContextType.WORD, size)
-    return found.select("form", doc_id, "pos", window(F.col("words"), F.col("pos"), F.col("length"), size, left_mode).alias("context"))
+    docs = with_hits(tokenised, terms, lengths, ignore_case, doc_id)
+    cut = F.transform(
+        "hits",
+        lambda h: F.struct(h["phrase"].alias("phrase"), h["pos"].alias("pos"), h["length"].alias("length"), window(F.col("words"), h["pos"], h["length"], size, left_mode).alias("context")),
+    )
+    rows = docs.select(doc_id, F.explode(cut).alias("c")).select(doc_id, "c.*")
+    return rows.join(_keyed(terms, ignore_case), "phrase").select("form", doc_id, "pos", "length", "context")
+
+
+def longest_only(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Without matches that begin where a longer match of the same form does."""
+    best = F.max(F.struct("length", "context")).alias("best")
+    return found.groupBy("form", doc_id, "pos").agg(best).select("form", doc_id, "pos", "best.length", "best.context")
 
 
 def document_contexts(tokenised: DataFrame, terms: DataFrame, lengths: list[int], ignore_case: bool = False, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(form, doc_id, context): a whole document once for each form in it."""
-    found = occurrences(tokenised, terms, lengths, ignore_case, doc_id).select(doc_id, "form").distinct()
-    return found.join(tokenised.select(doc_id, F.col(text_col).alias("context")), doc_id).select("form", doc_id, "context")
+    docs = with_hits(tokenised, terms, lengths, ignore_case, doc_id)
+    phrases = docs.select(doc_id, F.explode(F.array_distinct(F.transform("hits", lambda h: h["phrase"]))).alias("phrase"))
+    forms_in = phrases.join(_keyed(terms, ignore_case), "phrase").select(doc_id, "form").distinct()
+    return forms_in.join(tokenised.select(doc_id, F.col(text_col).alias("context")), doc_id).select("form", doc_id, "context")
 
 
 def line_contexts(docs: DataFrame, terms: DataFrame, lengths: list[int], ignore_case: bool = False, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(form, doc_id, line, pos, context): where a line is a paragraph, the line with the match as TARGETWORD."""
     lines = docs.select(doc_id, F.posexplode(F.split(text_col, "\n")).alias("line", "text")).where("trim(text) <> ''")
     cells = tokenise(lines).select(F.struct(doc_id, "line").alias("at"), "words")
-    found = occurrences(cells, terms, lengths, ignore_case, "at")
-    words = F.col("words")
-    context = F.concat(F.slice(words, F.lit(1), F.col("pos")), F.array(F.lit(TARGET)), F.slice(words, F.col("pos") + F.col("length") + 1, F.size(words)))
-    return found.select("form", F.col(f"at.{doc_id}").alias(doc_id), F.col("at.line").alias("line"), "pos", F.array_join(context, " ").alias("context"))
+    found = word_contexts(cells, terms, lengths, WHOLE_LINE, ignore_case=ignore_case, doc_id="at")
+    return found.select("form", F.col(f"at.{doc_id}").alias(doc_id), F.col("at.line").alias("line"), "pos", "context")
 
 
 def trim_context(rows: DataFrame, size: int = TRIM) -> DataFrame:

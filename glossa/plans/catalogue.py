@@ -346,13 +346,13 @@ def _window(size: int, left: str = "least(pos, {n})") -> str:
 
 @query(_found(SHORT_TERMS, 1) + f"SELECT form, doc_id, CAST(pos AS INTEGER) AS pos, {_window(25)} AS context FROM o")
 def short_form_contexts(spark, sf):
-    return contexts.word_contexts(contexts.occurrences(english(spark, sf), terms(spark, SHORT_TERMS), [1]))
+    return contexts.word_contexts(english(spark, sf), terms(spark, SHORT_TERMS), [1]).drop("length")
 
 
 @query(_found(LONG_TERMS, 2, True) + f"SELECT form, doc_id, CAST(pos AS INTEGER) AS pos, {_window(25)} AS context FROM o")
 def long_form_contexts(spark, sf):
-    found = contexts.occurrences(english(spark, sf), terms(spark, LONG_TERMS), [2], ignore_case=True)
-    return contexts.word_contexts(contexts.leftmost_longest(found))
+    found = contexts.word_contexts(english(spark, sf), terms(spark, LONG_TERMS), [2], ignore_case=True)
+    return contexts.longest_only(found).drop("length")
 
 
 _COMPAT = "CASE WHEN pos < {n} THEN least(pos, {n} - pos) ELSE {n} END"
@@ -360,8 +360,7 @@ _COMPAT = "CASE WHEN pos < {n} THEN least(pos, {n} - pos) ELSE {n} END"
 
 @query(_found(SHORT_TERMS, 1) + f"SELECT form, doc_id, CAST(pos AS INTEGER) AS pos, {_window(25, _COMPAT)} AS context FROM o")
 def contexts_compat_left_window(spark, sf):
-    found = contexts.occurrences(english(spark, sf), terms(spark, SHORT_TERMS), [1])
-    return contexts.word_contexts(found, left_mode="compat")
+    return contexts.word_contexts(english(spark, sf), terms(spark, SHORT_TERMS), [1], left_mode="compat").drop("length")
 
 
 @query(_found(LONG_TERMS, 2) + " SELECT DISTINCT form, doc_id, md5(text) AS context FROM o")
@@ -387,7 +386,7 @@ def _dictionary(spark):
 
 def _contexts_of(spark, sf, source):
     docs = contexts.tokenise(table(spark, sf, "documents").where(F.col("source") == source).select("doc_id", "text"))
-    found = contexts.word_contexts(contexts.occurrences(docs, terms(spark, SHORT_TERMS), [1]), 5)
+    found = contexts.word_contexts(docs, terms(spark, SHORT_TERMS), [1], 5)
     return found.select("form", F.col("doc_id").cast("string").alias("doc_id"), "context")
 
 
@@ -539,11 +538,11 @@ def _knn(spark, sf):
     return predicted.join(queries.select("q", F.col("lf").alias("truth")), "q")
 
 
-@query(_KNN + "SELECT q, id, CAST(rank AS INTEGER) AS rank, round(sim, 7) AS sim FROM k")
+@query(_KNN + "SELECT q, id, CAST(rank AS INTEGER) AS rank, sim FROM k")
 def knn_neighbours(spark, sf):
     rows = _vectors(spark, sf)
     got = disambiguate.neighbours(rows.where("id % 10 = 0").withColumnRenamed("id", "q"), rows.where("id % 10 <> 0"), 5)
-    return got.select("q", "id", "rank", F.round("sim", 7).alias("sim"))
+    return got.select("q", "id", "rank", "sim")
 
 
 @query(_KNN + "SELECT q, truth, predicted FROM p WHERE o = 1")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from glossa.operators.contexts import WINDOW, occurrences, tokenise, word_contexts
+from glossa.operators.contexts import WINDOW, tokenise, word_contexts
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -17,7 +17,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_contexts(docs: DataFrame, terms: DataFrame, lengths: list[int], size: int = WINDOW) -> DataFrame:
     """(form, doc_id, pos, context): terms are a static frame, so no state is kept."""
-    return word_contexts(occurrences(tokenise(docs), terms, lengths), size)
+    return word_contexts(tokenise(docs), terms, lengths, size).drop("length")
 
 
 def write_contexts(contexts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

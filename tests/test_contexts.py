@@ -37,10 +37,9 @@ def test_left_window(spark, n):
     words = [f"w{i}" for i in range(n)] + ["XX", "after"]
     docs = C.tokenise(spark.createDataFrame([(1, " ".join(words))], "doc_id int, text string"))
     terms = spark.createDataFrame([("XX", "XX")], "form string, phrase string")
-    found = C.occurrences(docs, terms, [1])
     for mode, left in (("intended", min(n, 25)), ("compat", 25 if n >= 25 else min(n, 25 - n))):
         want = " ".join([*words[n - left : n], C.TARGET, "after"])
-        assert C.word_contexts(found, 25, mode).first().context == want
+        assert C.word_contexts(docs, terms, [1], 25, mode).first().context == want
         assert C.extract("XX", SF, " ".join(words), W, 25, ignore_case=False, left_mode=mode) == [want]
 
 
@@ -57,12 +56,25 @@ def test_windows_reach_as_far_as_whole_text_splits():
 def test_join_and_pattern_paths_agree(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'")
     terms = spark.createDataFrame([("The", "The")], "form string, phrase string")
-    fast = C.word_contexts(C.occurrences(C.tokenise(docs), terms, [1]), 5)
+    fast = C.word_contexts(C.tokenise(docs), terms, [1], 5)
     slow = C.pattern_contexts(docs, [("The", SF)], W, 5, ignore_case=False)
     key = lambda rows: sorted((str(r.doc_id), r.context) for r in rows)
     assert key(fast.collect()) == key(slow.collect())
 
 
+def test_large_dictionaries_are_joined(spark, sf, monkeypatch):
+    docs = C.tokenise(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    terms = spark.createDataFrame([("f", "the"), ("f", "of the"), ("g", "the"), ("h", "zzz")], "form string, phrase string")
+    small = C.word_contexts(docs, terms, [1, 2], 3, ignore_case=True).collect()
+    whole = C.document_contexts(docs, terms, [1, 2]).select("form", "doc_id").collect()
+    monkeypatch.setattr(C, "LITERALS", 0)
+    key = lambda rows: sorted(map(tuple, rows))
+    assert key(C.word_contexts(docs, terms, [1, 2], 3, ignore_case=True).collect()) == key(small) and small
+    assert key(C.document_contexts(docs, terms, [1, 2]).select("form", "doc_id").collect()) == key(whole)
+    longest = C.longest_only(C.word_contexts(docs, terms, [1, 2], 3)).where("form = 'f'")
+    assert longest.count() == longest.select("doc_id", "pos").distinct().count()
+
+
 def test_config():
     for bad in (("word", 1), (W, 0), (W, -1), (W, 2.5)):
         with pytest.raises(ValueError):
