@@ -6,8 +6,8 @@ letters). The lexicon is learned too: words and word beginnings whose document c
 to toxic documents beyond chance. Features of a labelled document are always taken with the lexicon of the folds of
 the sample that it isn't in, and the calibration is fitted on scores from trees that haven't seen the document.
 
-The sample has at most ``SAMPLE`` labelled rows (lowest hashes of the id); everything else covers all rows. Only the
-lexicon (at most ``LEXICON`` terms) and the sample's feature rows reach the driver.
+The sample has at most ``SAMPLE`` labelled rows (lowest hashes of the id); everything else covers all rows. Only lexicon
+terms (at most ``CANDIDATES`` to count, ``LEXICON`` to keep) and the sample's feature rows reach the driver.
 
 Defined cases: null text counts as empty and gets a score like any other; labels that are null, held out or without
 a document are not learned from; with fewer than ``LEAST`` labels of a class every score is the share of toxic
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from glossa.llm.labelled import hashed_sample, training_labels
 from glossa.plans.materialize import materialize
 
-SAMPLE, LEXICON, LEAST, FOLDS, THRESHOLD = 16_000, 20_000, 2, 5, 0.7
+SAMPLE, CANDIDATES, LEXICON, LEAST, FOLDS, THRESHOLD = 16_000, 200_000, 20_000, 2, 5, 0.7
 PREFIXES = (4, 5, 6, 7)
 STRONG, NEAR, FAR, KEPT = 2.5, 5, 50, 300_000
-FLUSH = 200_000
+FLUSH = 50_000
 #: Second-person words of the corpus languages.
 SECOND_PERSON = frozenset(
     "you your yours yourself yourselves u ur ya tu te toi ton ta tes vous votre vos du dich dir dein deine deinen "
@@ -124,22 +124,25 @@ def features(text: str | None, token: Token) -> np.ndarray:
 # -- lexicon ---------------------------------------------------------------------------------------------------------
 
 
-def term_counts(sample: DataFrame) -> DataFrame:
-    """(term, fold, label, n) over a sample of (id, text, label, fold): in how many documents each term stands."""
+def term_counts(sample: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
+    """(term, fold, label, n) over a sample of (id, text, label, fold): in how many documents each term stands.
+
+    Only ``wanted`` terms, if given. Counts are added up in the task before they are shuffled.
+    """
+    shared = sample.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            rows = list(zip(*[(*k, n) for k, n in counts.items()], strict=True)) or [(), (), (), ()]
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["term", "fold", "label", "n"]
-            )
+            terms, folds, labels = ([k[i] for k in counts] for i in range(3))
+            cols = [pa.array(terms, pa.string()), pa.array(folds, pa.int32()), pa.array(labels, pa.int32()), pa.array(list(counts.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, ["term", "fold", "label", "n"])
 
         counts: Counter = Counter()
+        known = shared.value
         for batch in batches:
             for text, label, fold in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = set(_PARTS.findall((text or "").lower()))
-                counts.update({(t, fold, label) for w in words for t in terms_of(w)})
+                terms = {t for w in set(_PARTS.findall((text or "").lower())) for t in terms_of(w)}
+                counts.update((t, fold, label) for t in (terms if known is None else terms & known))
                 if len(counts) > FLUSH:
                     yield out()
                     counts.clear()
@@ -149,6 +152,12 @@ def term_counts(sample: DataFrame) -> DataFrame:
     return got.groupBy("term", "fold", "label").agg(F.sum("n").alias("n"))
 
 
+def candidate_terms(sample: DataFrame) -> frozenset[str]:
+    """Terms of at least two toxic documents of the sample, ``CANDIDATES`` of the most frequent at most."""
+    toxic = term_counts(sample.where("label = 1")).groupBy("term").agg(F.sum("n").alias("n")).where("n >= 2")
+    return frozenset(r.term for r in toxic.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect())
+
+
 def lexicon(counts: DataFrame, folds: list[int], toxic: int, clean: int) -> dict[str, float]:
     """Terms to the lower bound of their log odds ratio between toxic and clean documents of some folds."""
     a = F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0))
@@ -280,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if min(toxic, clean) < LEAST:
         share = toxic / (toxic + clean) if toxic + clean else 0.0
         return Model({}, None, np.zeros(1), np.array([share]))
-    counts = materialize(term_counts(sample), "toxicity-terms")
+    counts = materialize(term_counts(sample, candidate_terms(sample)), "toxicity-terms")
 
     def without(fold: int) -> dict[str, float]:
         others = [f for f in range(FOLDS) if f != fold]
