@@ -31,7 +31,7 @@ PRETOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH = 600_000, 1_000_000, 64
+KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH = 400_000, 1_000_000, 64
 BATCH_BYTES = 4 << 20
 
 
@@ -172,6 +172,11 @@ class ByteBPE:
                     last = tokens[-1] if tokens else -1
         return b"".join([packed[t] for t in tokens])
 
+    def forget(self) -> None:
+        """Drop what was kept of past texts."""
+        self.words.clear()
+        self.pairs.clear()
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
@@ -238,6 +243,7 @@ def encode_decode(
                         [names, pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["id", "ids", "decoded"]
                     )
                     ids, texts, size, first = [], [], 0, row + 1
+        bpe.forget()  # the worker may run other operators next
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, ids binary, decoded string")
