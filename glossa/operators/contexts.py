@@ -11,11 +11,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions import sets, text
 from glossa.functions.inflect import forms
+from glossa.plans.materialize import materialize
 
 TARGET = "TARGETWORD"
 WINDOW, TRIM = 25, 10
@@ -164,8 +165,6 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(
         {"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}
     )
-    from glossa.plans.materialize import materialize
-
     spread = materialize(spread, "numbered")
     sizes = {r._part: r.n for r in spread.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row per partition
     base, starts = 0, []
@@ -179,7 +178,7 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
 
 # -- pattern path ----------------------------------------------------------------------------------------------------
 
-_LINES = re.compile(r"[\n\r\v\f\x1c\x1d\x1e\x85  ] *")
+_LINES = re.compile(r"[\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029] *")
 _WORDS = re.compile(r"\W+")
 
 
@@ -295,8 +294,6 @@ def assemble_documents(lines: DataFrame, group: str, order: str, is_boundary: Co
     Documents of a group are numbered from 0; lines before the first boundary are document 0 and boundaries then count
     from 1. A group (a file, a conversation) is the unit that must be read in order.
     """
-    from pyspark.sql import Window
-
     upto = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     first = F.first(is_boundary).over(upto)
     doc = F.sum(is_boundary.cast("int")).over(upto) - F.when(first, 1).otherwise(0)
