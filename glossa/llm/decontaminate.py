@@ -30,7 +30,7 @@ from xxhash import xxh64_intdigest
 from glossa.plans.materialize import materialize
 
 WINDOW, LITERALS, COVERAGE, MOST_KEYS, KEPT = 5, 2, 0.8, 1_000_000, 300_000
-FIND = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?\n]").findall
+FIND = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?\n]|\d+(?:[.,]\d+)*").findall
 #: Units of measure, money and time, in the corpus languages.
 UNITS = frozenset(
     "mm cm dm m km in ft yd mi g kg mg t oz lb lbs l ml cl s sec min h hr hrs ms kb mb gb tb w kw v a hz khz mhz ghz c f k "
@@ -64,8 +64,11 @@ class Vocabulary(dict):
         self[token] = n
         return n
 
-    def windows(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Words, slot kind of each (0: none), and the keys of template and plain windows (0: no plain one)."""
+    def windows(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens, places of words among them, slot kind of each word (0: none), keys of template and plain windows.
+
+        A plain key is 0 where the template's key is that of the words already.
+        """
         if len(self) > KEPT:
             self.clear()
         tokens = FIND(text or "")
@@ -83,7 +86,7 @@ class Vocabulary(dict):
         typed = np.where(slot == 0, plain, np.array([0, _NUMBER, _NAME, _UNIT], np.uint64)[slot])
         k = min(WINDOW, len(words))
         if not k:
-            return [], slot, plain, plain
+            return tokens, words, slot, plain, plain
         n = len(words) - k + 1
         by_words, by_type, slots = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
         for i in range(k):
@@ -93,10 +96,7 @@ class Vocabulary(dict):
         by_words += _LENGTHS[k]
         by_type += _LENGTHS[k]
         telling = (slots > 0) & (k - slots >= LITERALS)
-        return (
-            [tokens[i] for i in words] if n else [], slot,
-            np.where(telling, by_type, by_words), np.where(telling, by_words, np.uint64(0)),
-        )
+        return tokens, words, slot, np.where(telling, by_type, by_words), np.where(telling, by_words, np.uint64(0))
 
 
 _SCHEMA = "id long, at int, key long, form string, words array<string>, slots array<boolean>"
@@ -112,7 +112,7 @@ def windows(rows: DataFrame, keys=None) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if doc is None:
                     continue
-                words, slot, typed, plain = vocabulary.windows(text.as_py())
+                tokens, words, slot, typed, plain = vocabulary.windows(text.as_py())
                 k = min(WINDOW, len(words))
                 for got, is_typed in ((typed, True), (plain, False)):
                     if wanted is None:
@@ -122,7 +122,7 @@ def windows(rows: DataFrame, keys=None) -> DataFrame:
                         hits = np.flatnonzero((wanted[near] == got) & (got != 0)) if len(wanted) else ()
                     for p in hits:
                         p = int(p)
-                        low = [w.lower() for w in words[p : p + k]]
+                        low = [tokens[i].lower() for i in words[p : p + k]]
                         kinds = slot[p : p + k].tolist()
                         filled = is_typed and k - sum(map(bool, kinds)) >= LITERALS
                         form = [_LABEL[s] if s and filled else w for w, s in zip(low, kinds, strict=True)]
