@@ -17,7 +17,7 @@ taken; an empty table gives an empty result; columns other than id and text are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -212,12 +212,18 @@ def simhash_components(
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, that with its smallest id, with the columns it came with.
+    """One row of each group of linked fingerprints, that with its smallest id, with the columns it came with."""
+    got = simhash_components(docs, id_col, text_col)
+    return keep_first(docs, got, lambda text: _signed(fingerprint(text)), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, got: DataFrame, key: Callable[[str | None], int], id_col: str, text_col: str) -> DataFrame:
+    """One row of each group of ``got`` (id, fp, component_id; ``key`` gives fp of a text), that with its smallest id.
 
     Of repeated rows of one id and text one stays. A row without an id stays only if its group has no id at all, and
     then one row of each fingerprint.
     """
-    got = materialize(simhash_components(docs, id_col, text_col), "simhash-components")
+    got = materialize(got, "simhash-components")
     kept = got.where(F.col("id") == F.col("component_id")).groupBy("id").count()
     kept = materialize(kept, "simhash-kept")
     keys = kept.select(F.col("id").alias("_kept"), (F.col("count") > 1).alias("_repeated"))
@@ -233,7 +239,7 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            fps = pa.array([_signed(fingerprint(t.as_py())) for t in batch.column(at)], pa.int64())
+            fps = pa.array([key(t.as_py()) for t in batch.column(at)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, fps], [*batch.schema.names, "_fp"])
 
     schema = StructType([*docs.schema.fields, StructField("_fp", LongType())])
