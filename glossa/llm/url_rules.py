@@ -7,7 +7,8 @@ and ``CONFIDENCE`` are kept, unless a rule of fewer of the same tokens is as sur
 index: each is filed under its rarest token, and only rules filed under a url's tokens are compared with it.
 
 A page is labelled through the document that it shows: the number that ends its path is the document's id. The model
-(the ``RULES`` surest rules at most) is broadcast; mining itself is distributed and covers all training labels.
+(all pruned rules) is broadcast; mining itself is distributed and covers all training labels. Most redundant rules go
+before the driver sees any, by a join of each rule with the rules of one token less.
 
 Fixed rules are (verdict, host/path): a rule fits its host and all subdomains where the url's path starts with the
 rule's path, and the longest one wins.
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from glossa.llm.labelled import training_labels
+from glossa.plans.materialize import materialize
 
-SUPPORT, LEAST, CONFIDENCE, RULES = 0.002, 20, 0.6, 50_000
+SUPPORT, LEAST, CONFIDENCE = 0.002, 20, 0.6
 LOW, HIGH = "label:low", "label:high"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _END = re.compile("[/?#]")
@@ -134,13 +136,21 @@ def mine(
         share = min(1.0, max(support, least / n))
         found = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(rows).associationRules
         low = found.where(F.col("consequent")[0] == LOW).where(~F.array_contains("antecedent", HIGH))
-        low = low.select(F.array_sort("antecedent").alias("items"), "confidence", "support")
-        strongest = low.orderBy(F.desc("confidence"), F.desc("support"), F.size("items"), "items").limit(RULES)
-        return pruned([(tuple(r["items"]), r["confidence"]) for r in strongest.collect()])
+        low = materialize(low.select(F.array_sort("antecedent").alias("items"), "confidence"), "url-rules")
+        return pruned([(tuple(r["items"]), r["confidence"]) for r in without_longer(low).collect()])
     finally:
         rows.unpersist()
 
 
+def without_longer(rules: DataFrame) -> DataFrame:
+    """``rules`` (items, confidence) without those that have a part of one token less which is a rule as sure."""
+    part = F.explode(F.transform("items", lambda t: F.array_remove("items", t)))
+    parts = rules.where(F.size("items") > 1).select("items", F.col("confidence").alias("own"), part.alias("part"))
+    shorter = rules.select(F.col("items").alias("part"), F.col("confidence").alias("sure"))
+    longer = parts.join(shorter, "part").where("sure >= own").select("items").distinct()
+    return rules.join(longer, "items", "left_anti")
+
+
 def pruned(rules: Sequence[tuple[tuple[str, ...], float]]) -> list[tuple[tuple[str, ...], float]]:
     """Without rules that have a part which is a rule as sure."""
     kept: list[tuple[tuple[str, ...], float]] = []

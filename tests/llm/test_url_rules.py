@@ -91,3 +91,17 @@ def test_index_finds_what_a_scan_finds():
         url = f"http://h{i % 9}.net/{'abcd'[i % 4] * 2}/{i}.html?k{i % 6}=1"
         have = set(U.tokens(url))
         assert index.confidence(url) == max((s for c, s in rules if have.issuperset(c)), default=None)
+
+
+def test_redundant_rules_do_not_push_out_less_sure_ones(spark, monkeypatch):
+    monkeypatch.setattr(U, "RULES", 50, raising=False)
+    pages, labels = [], []
+    for i in range(900):
+        host = ("cheap.pills.one.net/a", "spam.two.org/b", "news.three.com/c")[i % 3]
+        low = (True, i % 10 < 8, False)[i % 3]
+        pages.append((i, f"http://{host}/{i}"))
+        labels.append((i, int(not low), 0))
+    p = spark.createDataFrame(pages, "page_id long, url string")
+    rules = U.mine(p, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    verdicts = {r.page_id: r.verdict for r in U.judge(p, [], rules).collect()}
+    assert {i for i, v in verdicts.items() if v == "block"} == {i for i, _ in pages if i % 3 < 2}
