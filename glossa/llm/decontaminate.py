@@ -2,8 +2,9 @@
 
 Text becomes tokens; numbers, names (capitalised words inside a sentence) and units (known words after a number)
 become typed placeholders. Each window of ``WINDOW`` tokens has its template as one form and, where that has
-placeholders, its plain lower-case words as another; a template with under ``LITERALS`` plain words says too little
-and counts by its words alone. Documents' windows are hash-joined to the items' windows, on a 64-bit key and then on
+placeholders, its plain lower-case words as another. A capitalised word that begins a sentence may be a name or not, so
+its windows also have the form in which it is one. A template with under ``LITERALS`` plain words says too little and
+counts by its words alone. Documents' windows are hash-joined to the items' windows, on a 64-bit key and then on
 the form itself. Matches of one document and item that lie on one diagonal (document position less item position)
 must fill slots consistently: a value of the item always turns into the same value; else only windows with equal
 values count. A document is contaminated by an item if matched windows cover ``COVERAGE`` of the item's windows.
@@ -12,8 +13,10 @@ Only keys of the items' windows are broadcast, and only up to ``MOST_KEYS`` of t
 match before anything is shuffled. A larger benchmark is joined without the sift.
 
 Defined cases: null or blank text has no windows and never matches; text of fewer than ``WINDOW`` tokens is one window
-of all of them, so it matches only texts of the same few tokens; repeated rows and items count once by id; null ids
-are passed by; an empty table on either side gives an empty result; other columns are not looked at.
+of all of them, so it matches only texts of the same few tokens; a document is an id (null too) and its own text, so
+fully repeated rows count once and rows of one id with different texts are judged apart; items without an id are passed
+by, of an item's different texts the best match counts; an empty table on either side gives an empty result; other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from glossa.llm.rows import text_key
 from glossa.plans.materialize import materialize
 
 WINDOW, LITERALS, COVERAGE, MOST_KEYS, KEPT = 5, 2, 0.8, 1_000_000, 300_000
@@ -41,6 +45,7 @@ UNITS = frozenset(
     "jahre pfund metro metros hora horas día días año años libra libras".split()
 )
 _NUMBER, _NAME, _UNIT = (xxh64_intdigest(x) for x in ("<number>", "<name>", "<unit>"))
+_TYPES = np.array([0, _NUMBER, _NAME, _UNIT], np.uint64)
 _LABEL = {1: "<number>", 2: "<name>", 3: "<unit>"}
 _MULTIPLIERS = np.array([xxh64_intdigest(f"window {i}") | 1 for i in range(WINDOW)], np.uint64)
 _LENGTHS = np.array([xxh64_intdigest(f"length {i}") for i in range(WINDOW + 1)], np.uint64)
@@ -64,10 +69,11 @@ class Vocabulary(dict):
         self[token] = n
         return n
 
-    def windows(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, places of words among them, slot kind of each word (0: none), keys of template and plain windows.
+    def windows(self, text: str | None) -> tuple[list[str], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Tokens, places of words among them, and (keys of windows, slot kind of each word or 0) of each kind of form.
 
-        A plain key is 0 where the template's key is that of the words already.
+        The forms: template, template with a capitalised first word of a sentence as a name too, plain words. A key is 0
+        where the form is one of those before it.
         """
         if len(self) > KEPT:
             self.clear()
@@ -82,52 +88,59 @@ class Vocabulary(dict):
         slot[((kinds & 8) > 0) & after_number] = 3
         slot[(kinds & 2) > 0] = 1
         words = np.flatnonzero(~breaks)
+        first = (((kinds & 4) > 0) & before & (slot == 0))[words]
         slot, plain = slot[words], self.hashes[at[words]]
-        typed = np.where(slot == 0, plain, np.array([0, _NUMBER, _NAME, _UNIT], np.uint64)[slot])
         k = min(WINDOW, len(words))
         if not k:
-            return tokens, words, slot, plain, plain
-        n = len(words) - k + 1
-        by_words, by_type, slots = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
+            return tokens, words, []
+        wide = np.where(first, np.uint8(2), slot)
+        by_words, _ = self._keys(plain, np.zeros_like(slot), k)
+        by_type, telling = self._keys(plain, slot, k)
+        by_wide, wider = self._keys(plain, wide, k)
+        wider &= np.convolve(first, np.ones(k, np.int64), "valid") > 0
+        zero = np.uint64(0)
+        return tokens, words, [
+            (np.where(telling, by_type, by_words), slot), (np.where(wider, by_wide, zero), wide), (np.where(telling, by_words, zero), np.zeros_like(slot)),
+        ]
+
+    @staticmethod
+    def _keys(plain: np.ndarray, slot: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Key of each window of ``k`` words with some slots, and whether it has any slot and enough plain words."""
+        typed = np.where(slot == 0, plain, _TYPES[slot])
+        n = len(plain) - k + 1
+        keys, slots = np.full(n, _LENGTHS[k], np.uint64), np.zeros(n, np.int64)
         for i in range(k):
-            by_words += plain[i : i + n] * _MULTIPLIERS[i]
-            by_type += typed[i : i + n] * _MULTIPLIERS[i]
+            keys += typed[i : i + n] * _MULTIPLIERS[i]
             slots += slot[i : i + n] > 0
-        by_words += _LENGTHS[k]
-        by_type += _LENGTHS[k]
-        telling = (slots > 0) & (k - slots >= LITERALS)
-        return tokens, words, slot, np.where(telling, by_type, by_words), np.where(telling, by_words, np.uint64(0))
+        return keys, (slots > 0) & (k - slots >= LITERALS)
 
 
-_SCHEMA = "id long, at int, key long, form string, words array<string>, slots array<boolean>"
+_SCHEMA = "id long, text_key string, at int, key long, form string, words array<string>, slots array<boolean>"
 
 
 def windows(rows: DataFrame, keys=None) -> DataFrame:
-    """Windows of (id, text), those whose key is in the broadcast sorted ``keys`` if given."""
+    """Windows of (id, text_key, text), those whose key is in the broadcast sorted ``keys`` if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, wanted = Vocabulary(), None if keys is None else keys.value
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if doc is None:
-                    continue
-                tokens, words, slot, typed, plain = vocabulary.windows(text.as_py())
+            for doc, own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                tokens, words, forms = vocabulary.windows(text.as_py())
                 k = min(WINDOW, len(words))
-                for got, is_typed in ((typed, True), (plain, False)):
-                    if wanted is None:
-                        hits = np.flatnonzero(got)
-                    else:
-                        near = np.minimum(np.searchsorted(wanted, got), len(wanted) - 1)
-                        hits = np.flatnonzero((wanted[near] == got) & (got != 0)) if len(wanted) else ()
-                    for p in hits:
-                        p = int(p)
+                for got, slot in forms:
+                    hits = np.flatnonzero(got)
+                    if wanted is not None:
+                        got_here = got[hits]
+                        near = np.minimum(np.searchsorted(wanted, got_here), len(wanted) - 1)
+                        hits = hits[wanted[near] == got_here] if len(wanted) else hits[:0]
+                    for p in hits.tolist():
                         low = [tokens[i].lower() for i in words[p : p + k]]
                         kinds = slot[p : p + k].tolist()
-                        filled = is_typed and k - sum(map(bool, kinds)) >= LITERALS
+                        filled = k - sum(map(bool, kinds)) >= LITERALS
                         form = [_LABEL[s] if s and filled else w for w, s in zip(low, kinds, strict=True)]
                         key = int(got[p])
-                        out.append((doc, p, key - (1 << 64) if key >> 63 else key, " ".join(form), low, [bool(s and filled) for s in kinds]))
+                        out.append((doc, own, p, key - (1 << 64) if key >> 63 else key, " ".join(form), low, [bool(s and filled) for s in kinds]))
                     if len(out) > 5000:
                         yield _batch(out)
                         out = []
@@ -137,10 +150,10 @@ def windows(rows: DataFrame, keys=None) -> DataFrame:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.bool_()))
-    cols = list(zip(*rows, strict=True)) or [()] * 6
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.bool_()))
+    cols = list(zip(*rows, strict=True)) or [()] * 7
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "at", "key", "form", "words", "slots"]
+        [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "text_key", "at", "key", "form", "words", "slots"]
     )
 
 
@@ -153,37 +166,42 @@ def contaminated(
     coverage: float = COVERAGE,
     most_keys: int = MOST_KEYS,
 ) -> DataFrame:
-    """(id, item_id, n_windows, coverage, reparameterised): one row for each document and item that it contains."""
+    """(id, text_key, item_id, n_windows, coverage, reparameterised): one row for each document and item that it contains.
+
+    A document is an id and its own text; ``text_key`` is that of ``rows.text_key``.
+    """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    items = materialize(windows(items.distinct()), "benchmark-windows")
-    total = items.groupBy("id").agg(F.countDistinct("at").alias("total"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), text_key("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    items = materialize(windows(items.where("id is not null").distinct()), "benchmark-windows")
+    total = items.groupBy(F.col("id").alias("item_id"), F.col("text_key").alias("item_key")).agg(F.countDistinct("at").alias("total"))
     keys = None
     if items.count() <= most_keys:
         found = np.array([r.key for r in items.select("key").distinct().collect()], np.int64)
         keys = spark.sparkContext.broadcast(np.sort(found.view(np.uint64)))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_key(f"`{text_col}`").alias("text_key"), F.col(f"`{text_col}`").cast("string").alias("text"))
     ours = windows(rows, keys)
     theirs = items.select(
-        F.col("id").alias("item_id"), F.col("at").alias("item_at"), "key", "form", F.col("words").alias("item_words")
+        F.col("id").alias("item_id"), F.col("text_key").alias("item_key"), F.col("at").alias("item_at"), "key", "form", F.col("words").alias("item_words")
     )
     both = ours.join(theirs, ["key", "form"]).select(
-        "id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"),
+        "id", "text_key", "item_id", "item_key", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"),
         F.expr(
             "filter(transform(slots, (s, i) -> if(s, struct(item_words[i] as a, words[i] as b), null)), p -> p is not null)"
         ).alias("pairs"),
     )
-    runs = both.groupBy("id", "item_id", "diagonal").agg(
+    pair = ["id", "text_key", "item_id", "item_key"]
+    runs = both.groupBy(*pair, "diagonal").agg(
         F.collect_set("item_at").alias("all_at"),
         F.collect_set(F.when(F.expr("forall(pairs, p -> p.a = p.b)"), F.col("item_at"))).alias("equal_at"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
     consistent = F.expr("size(array_distinct(transform(pairs, p -> p.a))) = size(pairs)")
     other = consistent & F.expr("exists(pairs, p -> p.a <> p.b)")
-    per = runs.groupBy("id", "item_id").agg(
+    per = runs.groupBy(*pair).agg(
         F.array_distinct(F.flatten(F.collect_set(F.when(consistent, F.col("all_at")).otherwise(F.col("equal_at"))))).alias("at"),
         F.max(other).alias("reparameterised"),
     )
     share = F.size("at") / F.col("total")
-    got = per.join(total.withColumnRenamed("id", "item_id"), "item_id").where(share >= coverage)
-    return got.select("id", "item_id", F.size("at").alias("n_windows"), share.alias("coverage"), "reparameterised")
+    got = per.join(total, ["item_id", "item_key"]).where(share >= coverage)
+    best = F.max_by(F.struct(F.size("at").alias("n_windows"), share.alias("coverage"), "reparameterised"), share).alias("best")
+    return got.groupBy("id", "text_key", "item_id").agg(best).select("id", "text_key", "item_id", "best.*")

@@ -124,7 +124,7 @@ def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm.decontaminate import contaminated
 
     got = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return got.withColumnRenamed("id", "doc_id")
+    return got.withColumnRenamed("id", "doc_id").drop("text_key")
 
 
 def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,24 +10,29 @@ is never broadcast and never leaves its task, as all trees together grow with th
 ``SHARD_MAX`` fingerprints is not gathered: its rows are dealt again by r + 1 blocks of the bits that are still
 free, until shards are small; with ``FREE_MIN`` free bits a shard can't hold more than 2 ** FREE_MIN fingerprints.
 
+No key is dealt to one task with all its rows: a hot fingerprint or component is joined where its rows are.
+
 Defined cases: null or blank text has the fingerprint zero and links like any other; fewer than three words form
 one shingle; repeated rows stay separate rows with equal results; null ids are ignored when the smallest id is
-taken; an empty table gives an empty result; columns other than id and text are not looked at.
+taken; an empty table gives an empty result; columns other than id and text are not looked at. Where one row of each
+group is kept, a row is known by its id and its own text: rows of one id and different texts are judged apart, of
+repeated rows one stays, and a row without an id stays only where its group has no id at all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_digest
 
+from glossa.llm.rows import keep_rows, text_key
 from glossa.plans.components import connected_components
 from glossa.plans.materialize import materialize
+from glossa.plans.skew import join_hot
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 SHARD_MAX, FREE_MIN = 2048, 12
@@ -58,14 +63,16 @@ def _signed(x: int) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [_signed(fingerprint(t.as_py())) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64())], ["id", "fp"])
+        got = [_signed(fingerprint(t.as_py())) for t in batch.column("text")]
+        rest = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(got, pa.int64())], [*rest, "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): one row per row of ``docs``; fp holds the fingerprint's bits as a signed long."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprint_batches, "id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """(id, fp), with ``keyed`` the text's key too: one row per row of ``docs``; fp holds the bits as a signed long."""
+    more = [text_key(text_col).alias("key")] if keyed else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *more)
+    return rows.mapInArrow(_fingerprint_batches, f"id long, {'key string, ' if keyed else ''}fp long")
 
 
 class BKTree:
@@ -197,51 +204,45 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, shard_max: int
     return links
 
 
+def named_groups(nodes: DataFrame, links: DataFrame, node: str = "fp") -> DataFrame:
+    """``nodes`` (fp, rep, n) with the group of each (its smallest node) and component_id, the group's smallest rep."""
+    linked = connected_components(links).withColumnsRenamed({"node": node, "component": "group"})
+    named = materialize(nodes.join(linked, node), "groups-named")
+    least = named.groupBy("group").agg(F.min("rep").alias("least"), F.count("*").alias("_n"))
+    moved = join_hot(named.select(node, "group"), materialize(least, "groups-least"), ["group"], "_n")
+    out = nodes.join(moved, node, "left")
+    return out.select(node, "n", F.coalesce("group", node).alias("group"), F.when(F.col("group").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
+
+
 def simhash_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard_max: int = SHARD_MAX
 ) -> DataFrame:
     """(id, fp, component_id) for every row of ``docs``; component_id is the smallest id reachable by links."""
     fps = materialize(fingerprints(docs, id_col, text_col), "simhash-fingerprints")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-distinct")
-    linked = connected_components(fingerprint_links(distinct, radius, shard_max))
-    named = distinct.join(linked.withColumnRenamed("node", "fp"), "fp")
-    least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    moved = named.join(least, "component").select("fp", "least")
-    ids = distinct.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return fps.join(ids, "fp").select("id", "fp", "component_id")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "simhash-distinct")
+    groups = materialize(named_groups(distinct, fingerprint_links(distinct, radius, shard_max)), "simhash-groups")
+    return join_hot(fps, groups.drop("group"), ["fp"]).select("id", "fp", "component_id")
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard_max: int = SHARD_MAX
+) -> DataFrame:
     """One row of each group of linked fingerprints, that with its smallest id, with the columns it came with."""
-    got = simhash_components(docs, id_col, text_col)
-    return keep_first(docs, got, lambda text: _signed(fingerprint(text)), id_col, text_col)
+    fps = materialize(fingerprints(docs, id_col, text_col, keyed=True), "simhash-fingerprints")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "simhash-distinct")
+    groups = named_groups(distinct, fingerprint_links(distinct, radius, shard_max))
+    return keep_rows(docs, first_rows(fps, groups), id_col, text_col)
 
 
-def keep_first(docs: DataFrame, got: DataFrame, key: Callable[[str | None], int], id_col: str, text_col: str) -> DataFrame:
-    """One row of each group of ``got`` (id, fp, component_id; ``key`` gives fp of a text), that with its smallest id.
+def first_rows(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id, key, n, kept) of each id and text of ``rows`` (id, key, fp); one of each group (fp, group) is kept.
 
-    Of repeated rows of one id and text one stays. A row without an id stays only if its group has no id at all, and
-    then one row of each fingerprint.
+    That is the one with the smallest id (rows without an id come last), then the smallest key.
     """
-    got = materialize(got, "simhash-components")
-    kept = got.where(F.col("id") == F.col("component_id")).groupBy("id").count()
-    kept = materialize(kept, "simhash-kept")
-    keys = kept.select(F.col("id").alias("_kept"), (F.col("count") > 1).alias("_repeated"))
-    rows = docs.join(keys, F.col(id_col).cast("long") == F.col("_kept")).drop("_kept")
-    if kept.where("count > 1").head(1):
-        once = rows.where("_repeated").dropDuplicates([id_col, text_col])
-        rows = rows.where("not _repeated").unionByName(once)
-    rows = rows.drop("_repeated")
-    nameless = got.where("component_id is null").select(F.col("fp").alias("_fp")).distinct()
-    if not nameless.head(1):
-        return rows
-
-    def with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            fps = pa.array([key(t.as_py()) for t in batch.column(at)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, fps], [*batch.schema.names, "_fp"])
-
-    schema = StructType([*docs.schema.fields, StructField("_fp", LongType())])
-    unnamed = docs.where(F.col(id_col).isNull()).mapInArrow(with_fingerprint, schema)
-    return rows.unionByName(unnamed.join(nameless, "_fp", "left_semi").dropDuplicates(["_fp"]).drop("_fp"))
+    own = materialize(rows.groupBy("fp", "id", "key").agg(F.count("*").alias("n")), "rows-own")
+    order = F.struct(F.col("id").isNull().alias("nameless"), "id", "key")
+    first = own.groupBy("fp").agg(F.min(order).alias("first")).join(groups.select("fp", "group"), "fp")
+    first = first.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.id").alias("id"), F.col("first.key").alias("key"))
+    first = first.withColumn("kept", F.lit(True))
+    same = own["id"].eqNullSafe(first["id"]) & (own["key"] == first["key"])
+    return materialize(own.join(first, same, "left").select(own["id"], own["key"], own["n"], F.coalesce("kept", F.lit(False)).alias("kept")), "rows-told")
