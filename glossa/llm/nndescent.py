@@ -7,12 +7,18 @@
 3. Descent: every node hands its neighbours (and those that name it) to each other; each keeps its nearest. Lists hold
    entries down to twice the threshold's angle, ``K`` of them; where a list is saturated with links it is enlarged, up
    to ``K_MOST``. It stops when links hardly grow.
-4. Links give components; links inside a component are then counted exactly, block by block, without listing pairs.
-5. Audit: ``AUDIT`` nodes (lowest hashes) are compared with all nodes. If less than ``RECALL`` of their links were
-   counted, the graph gets as many more rounds and another descent, at most ``RETRIES`` times.
-
-No step gathers a label, bucket or component in one task: buckets and components are streamed in blocks of ``BLOCK``
-rows. Only audit vectors (a fixed number) are broadcast.
+4. A list that ``K_MOST`` links fill may have lost some. A link is lost only if both its ends have such lists, so these
+   nodes are covered: each hangs on the linked node with the lowest hash, its leader, and leaders of different components
+   within three times the threshold's angle, found in pairs of blocks, put their components into one candidate group.
+   Every link then lies inside a group.
+5. Links inside a group are counted exactly, in pairs of blocks, without listing them: a pair of blocks gives counts and
+   a spanning forest. The forests give the components.
+6. Audit: ``AUDIT`` nodes (lowest hashes) are compared with all nodes. If less than ``RECALL`` of their links were
+   counted, the graph gets as many more rounds and another descent, at most ``RETRIES`` times; after that every label is
+   one group, which is exact. The last audit's share is returned with each row.
+
+No step gathers a label, bucket or group in one task: sorted ranges are cut anywhere, and groups are compared in blocks
+of ``BLOCK`` rows. Only audit vectors (a fixed number) are broadcast, and vectors that are over a ``HOT``-th of all rows.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite values, or whose label is null, link with
 nothing and are their own component; repeated rows link with each other; the smallest non-null id names a component; an
@@ -26,11 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.plans.components import connected_components
 from glossa.plans.materialize import discard, materialize
+from glossa.plans.skew import join_hot
 
 THRESHOLD, K, K_MOST, BLOCK = 0.98, 8, 32, 1024
 BUCKET, MEET, AT_ONCE, SEED = 512, 0.999, 2, 11
@@ -90,25 +97,29 @@ def _edges(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["node", "other", "sim"])
 
 
+def _identity() -> list[Column]:
+    """128 bits that stand for a row's label and vector."""
+    return [F.xxhash64("label", "embedding").alias("h"), F.xxhash64(F.lit("again"), "label", "embedding").alias("g")]
+
+
 def unit_classes(rows: DataFrame) -> DataFrame:
-    """(node, first, n, h, label, dim, unit): classes of equal (label, embedding) that can link, written once."""
+    """(node, first, n, h, g, label, dim, unit): classes of equal (label, embedding) that can link, written once."""
     grouped = rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units = []
-            for v in batch.column(3):
+            for v in batch.column(4):
                 x = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64)
                 x = x / np.abs(x).max()
                 units.append(x / np.sqrt(x @ x))
             sizes = pa.array([len(u) for u in units], pa.int32())
             unit = pa.array(units, pa.list_(pa.float64()))
-            cols = [batch.column(i) for i in (0, 1, 2)]
-            yield pa.RecordBatch.from_arrays([*cols, batch.column(4), sizes, unit], ["first", "n", "h", "label", "dim", "unit"])
+            cols = [batch.column(i) for i in (0, 1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([*cols, batch.column(5), sizes, unit], ["first", "n", "h", "g", "label", "dim", "unit"])
 
-    h = F.xxhash64("label", "embedding")
-    given = grouped.select("first", "n", h.alias("h"), "embedding", F.col("label").cast("long"))
-    units = given.mapInArrow(run, "first long, n long, h long, label long, dim int, unit array<double>")
+    given = grouped.select("first", "n", *_identity(), "embedding", F.col("label").cast("long"))
+    units = given.mapInArrow(run, "first long, n long, h long, g long, label long, dim int, unit array<double>")
     return materialize(units.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
 
 
@@ -158,7 +169,8 @@ def first_neighbours(classes: DataFrame, rounds: list[int], bits: int, k: int, f
     signed = classes.select("label", "dim", "node", "unit").mapInArrow(
         sign, "round int, label long, dim int, prefix long, node long, unit array<double>, signature long"
     )
-    dealt = signed.repartition(*keys).sortWithinPartitions(*keys, "signature", "node")
+    order = (*keys, "signature", "node")
+    dealt = materialize(signed, "vector-signed").repartitionByRange(*order).sortWithinPartitions(*order)
     return dealt.mapInArrow(compare, "node long, other long, sim double")
 
 
@@ -193,41 +205,103 @@ def descend(classes: DataFrame, lists: DataFrame, threshold: float, k: int, k_mo
     return nearest_lists(lists.union(found), threshold, k, k_most)
 
 
-def count_links(classes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """(node, links): links of each node to other classes of its component, by rows that they stand for."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, "component").join(classes.select("node", "n", "unit"), "node")
+def in_block_pairs(members: DataFrame, classes: DataFrame, columns: list[str]) -> DataFrame:
+    """(group, a, b, own, node, unit, columns..) of members (node, group): each pair of a group's blocks dealt together."""
+    sizes = members.groupBy("group").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = join_hot(members, materialize(sizes, "vector-groups"), ["group"])
+    rows = rows.join(classes.select("node", "unit", *columns), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    rows = rows.withColumn("own", own).select(
-        "component", "node", "unit", "n", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
-    )
-    a, b = F.least("own", "with"), F.greatest("own", "with")
-    dealt = rows.select("component", a.alias("a"), b.alias("b"), "own", "node", "unit", "n").repartition("component", "a", "b")
-    keys = ("component", "a", "b", "own")
+    rows = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ("group", "a", "b", "own")
+    dealt = rows.select("group", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"), "own", "node", "unit", *columns)
+    return dealt.repartition("group", "a", "b").sortWithinPartitions(*keys, "node")
+
+
+def _forest(linked: np.ndarray, left: list[int], right: list[int]) -> list[tuple[int, int]]:
+    """Edges that join what ``linked`` (left by right) joins, fewer than nodes."""
+    none = len(left)
+    rows, cols = np.arange(none), np.full(len(right), none)
+    while True:
+        new_cols = np.where(linked, rows[:, None], none).min(axis=0, initial=none)
+        new_rows = np.minimum(rows, np.where(linked, new_cols[None, :], none).min(axis=1, initial=none))
+        if (new_cols == cols).all() and (new_rows == rows).all():
+            break
+        rows, cols = new_rows, new_cols
+    out = [(left[i], left[r]) for i, r in enumerate(rows.tolist()) if i != r]
+    return out + [(right[j], left[r]) for j, r in enumerate(cols.tolist()) if r < none and right[j] != left[r]]
+
+
+def count_links(classes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, other): each node's number of links within its group (members: node, group), by the rows that the
+    others stand for, and, with no number, the edges of forests that span the links."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[list[int], np.ndarray, np.ndarray]] = []  # blocks of the side that comes first
         pair = None
         for key, nodes, x, n in _weighted(batches):
-            out_nodes, out_links = [], []
+            counted, links, edges = [], [], []
             if pair != key[:3]:
                 pair, held = key[:3], []
             a, b, own = key[1:]
             for other, y, m in held:
                 linked = x @ y.T >= threshold
-                out_nodes += nodes + other
-                out_links += (linked @ m).tolist() + (n @ linked).tolist()
+                if linked.any():
+                    counted += nodes + other
+                    links += (linked @ m).tolist() + (n @ linked).tolist()
+                    edges += _forest(linked, nodes, other)
             if a == b:
                 linked = x @ x.T >= threshold
                 np.fill_diagonal(linked, False)
-                out_nodes += nodes
-                out_links += (linked @ n).tolist()
+                counted += nodes
+                links += (linked @ n).tolist()
+                edges += _forest(linked, nodes, nodes)
             if own == a:
                 held.append((nodes, x, n))
-            yield pa.RecordBatch.from_arrays([pa.array(out_nodes, pa.int64()), pa.array(out_links, pa.int64())], ["node", "links"])
+            ends = list(zip(*edges, strict=True)) or [(), ()]
+            cols = [counted + list(ends[0]), links + [None] * len(edges), [None] * len(counted) + list(ends[1])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "links", "other"])
+
+    found = in_block_pairs(members, classes, ["n"]).mapInArrow(count, "node long, links long, other long")
+    return materialize(found, "vector-links")
+
+
+def by_label(classes: DataFrame) -> DataFrame:
+    """(node, group): one group for each label and length."""
+    first = classes.groupBy("label", "dim").agg(F.min("node").alias("group"), F.count("*").alias("n"))
+    return join_hot(classes.select("node", "label", "dim"), materialize(first, "vector-labels"), ["label", "dim"]).select("node", "group")
 
-    found = dealt.sortWithinPartitions(*keys, "node").mapInArrow(count, "node long, links long")
-    return found.groupBy("node").agg(F.sum("links").alias("links"))
+
+def leader_links(classes: DataFrame, lists: DataFrame, members: DataFrame, threshold: float, k_most: int) -> DataFrame | None:
+    """(src, dst): groups that links which full lists have lost may join; nothing if no list is full."""
+    links = lists.where(F.col("sim") >= threshold).select("node", "other")
+    full = links.groupBy("node").agg(F.count("*").alias("n"), F.min_by("other", F.xxhash64("other")).alias("first")).where(F.col("n") >= k_most)
+    leader = F.when(F.xxhash64("first") < F.xxhash64("node"), F.col("first")).otherwise(F.col("node"))
+    leaders = materialize(full.select(leader.alias("node")).distinct(), "vector-leaders")
+    if not leaders.head(1):
+        return None
+    wide = math.cos(min(math.pi, 3 * math.acos(threshold)))
+    at = leaders.join(by_label(classes), "node")
+    homes = classes.join(members.withColumnRenamed("group", "home"), "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[list[int], np.ndarray, np.ndarray]] = []
+        pair = None
+        for key, nodes, x, home in _weighted(batches):
+            out: set[tuple[int, int]] = set()
+            if pair != key[:3]:
+                pair, held = key[:3], []
+            a, b, own = key[1:]
+            for _, y, theirs in held + ([(nodes, x, home)] if a == b else []):
+                i, j = np.nonzero((x @ y.T >= wide) & (home[:, None] != theirs[None, :]))
+                out |= set(zip(home[i].tolist(), theirs[j].tolist(), strict=True))
+            if own == a:
+                held.append((nodes, x, home))
+            ends = list(zip(*out, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ends], ["src", "dst"])
+
+    found = in_block_pairs(at, homes, ["home"]).mapInArrow(compare, "src long, dst long")
+    return materialize(found.distinct(), "vector-leader-links")
 
 
 def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[int], np.ndarray, np.ndarray]]:
@@ -273,51 +347,66 @@ def audited(classes: DataFrame, counted: DataFrame, threshold: float) -> float:
     return got[1] / got[0] if got[0] else 1.0
 
 
+def _groups(classes: DataFrame, lists: DataFrame, threshold: float, k_most: int) -> DataFrame:
+    """(node, group): candidate groups that hold every link whose ends aren't both lost to the lists."""
+    edges = lists.where(F.col("sim") >= threshold).select(F.col("node").alias("src"), F.col("other").alias("dst"))
+    members = materialize(connected_components(edges).withColumnRenamed("component", "group"), "vector-members")
+    more = leader_links(classes, lists, members, threshold, k_most)
+    if more is None or not more.head(1):
+        return members
+    merged = connected_components(more).select(F.col("node").alias("group"), "component")
+    sizes = materialize(members.groupBy("group").agg(F.count("*").alias("n")).join(merged, "group", "left"), "vector-merged")
+    return materialize(join_hot(members, sizes, ["group"]).select("node", F.coalesce("component", "group").alias("group")), "vector-members")
+
+
 def near_duplicates(
     rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """(vec_id, n_links, component_id): one row for every row given."""
+    """(vec_id, n_links, component_id, audited): one row for every row given."""
     rows = rows.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).cast("long").alias("label")
     )
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & fine & F.exists("embedding", lambda x: x != 0), F.lit(False))
     classes = unit_classes(rows.where(usable))
-    n, keys = classes.agg(F.count("*"), F.countDistinct("h")).first()
-    if keys < n:
-        raise RuntimeError("two different vectors share a 64-bit hash")
+    n = classes.count()
     bits, rounds = planned_rounds(n, threshold)
     floor = 2 * threshold**2 - 1
-    lists, links, members, counted = None, -1, None, None
-    for attempt in range(RETRIES + 1):
-        todo = [attempt * rounds + i for i in range(rounds)] if n else []
-        for at in range(0, len(todo), AT_ONCE):
-            found = first_neighbours(classes, todo[at : at + AT_ONCE], bits, K, floor)
-            lists = _step(nearest_lists(found if lists is None else lists.union(found), threshold, K, K_MOST), lists)
-        for _ in range(STEPS if n else 0):
-            before, links = links, lists.where(F.col("sim") >= threshold).count()
-            if links <= before * (1 + SLOW) or not links:
-                break
-            lists = _step(descend(classes, lists, threshold, K, K_MOST, floor), lists)
-        if lists is None:
-            break
-        edges = lists.where(F.col("sim") >= threshold).select(F.col("node").alias("src"), F.col("other").alias("dst"))
-        members = connected_components(edges)
-        counted = materialize(count_links(classes, members, threshold), "vector-links")
-        if audited(classes, counted, threshold) >= RECALL:
+    lists, links, counted, recall = None, -1, None, 1.0
+    for attempt in range(RETRIES + 2 if n else 0):
+        if attempt <= RETRIES:
+            for at in range(attempt * rounds, (attempt + 1) * rounds, AT_ONCE):
+                todo = list(range(at, min(at + AT_ONCE, (attempt + 1) * rounds)))
+                found = first_neighbours(classes, todo, bits, K, floor)
+                lists = _step(nearest_lists(found if lists is None else lists.union(found), threshold, K, K_MOST), lists)
+            for _ in range(STEPS):
+                before, links = links, lists.where(F.col("sim") >= threshold).count()
+                if links <= before * (1 + SLOW) or not links:
+                    break
+                lists = _step(descend(classes, lists, threshold, K, K_MOST, floor), lists)
+            members = _groups(classes, lists, threshold, K_MOST)
+        else:  # the graph is not good enough: labels are compared whole
+            members = materialize(by_label(classes), "vector-members")
+        counted = count_links(classes, members, threshold)
+        per = materialize(counted.where("links is not null").groupBy("node").agg(F.sum("links").alias("links")), "vector-counts")
+        recall = audited(classes, per, threshold)
+        if recall >= RECALL:
             break
-    if lists is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    named = members.join(classes.select("node", "first"), "node")
-    least = named.groupBy("component").agg(F.min("first").alias("least"))
-    moved = named.join(least, "component").select("node", "least")
-    told = classes.join(moved, "node", "left").join(counted, "node", "left").select(
-        "h", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "first").alias("component_id"),
+    own = [F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(recall).alias("audited")]
+    lone = rows.where(~usable).select("vec_id", *own)
+    if not n:
+        return lone
+    edges = counted.where("links is null").select(F.col("node").alias("src"), F.col("other").alias("dst"))
+    named = materialize(connected_components(edges).join(classes.select("node", "first"), "node"), "vector-components")
+    least = named.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("n"))
+    moved = join_hot(named, materialize(least, "vector-least"), ["component"]).select("node", "least")
+    told = classes.join(moved, "node", "left").join(per, "node", "left").select(
+        "h", "g", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+        F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("component_id"),
     )
-    told = materialize(told, "vector-results")
-    h = F.when(usable, F.xxhash64("label", "embedding"))
-    out = rows.select("vec_id", h.alias("h")).join(told, "h", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    named_rows = materialize(rows.where(usable).select("vec_id", *_identity()), "vector-rows")
+    out = join_hot(named_rows, materialize(told, "vector-results"), ["h", "g"])
+    return out.select("vec_id", "n_links", "component_id", own[-1]).unionByName(lone)
 
 
 def _step(new: DataFrame, old: DataFrame | None) -> DataFrame:

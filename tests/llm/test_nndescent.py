@@ -71,3 +71,51 @@ def test_planned_rounds_grow_with_the_table():
     for bits, rounds in (small, large):
         agree = (1 - math.acos(0.98) / math.pi) ** bits
         assert 1 - (1 - agree) ** rounds >= N.MEET
+
+
+def tight(centre, n, angle, rng):
+    """``n`` unit vectors at some angle from a centre."""
+    side = rng.normal(size=(n, len(centre)))
+    side -= np.outer(side @ centre, centre)
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    return np.cos(angle) * centre + np.sin(angle) * side
+
+
+def bridged(n, seed=1, dim=64):
+    """Two groups whose members are far nearer to each other than to the other group, every pair across still a link."""
+    rng = np.random.default_rng(seed)
+    a = rng.normal(size=dim)
+    a /= np.linalg.norm(a)
+    b = tight(a, 1, math.acos(0.981), rng)[0]
+    rows = np.concatenate([tight(a, n, 0.002, rng), tight(b, n, 0.002, rng)])
+    return [(i, v.tolist(), 1) for i, v in enumerate(rows)]
+
+
+@pytest.mark.parametrize("n, block", [(120, N.BLOCK), (120, 32), (25, 16)])
+def test_links_beyond_full_lists(spark, n, block, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", block)
+    rows = bridged(n)
+    got = N.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.n_links, r.component_id, r.audited) for r in got} == {(2 * n - 1, 0, 1.0)}
+
+
+def test_a_graph_that_misses_links_gives_way_to_whole_labels(spark, monkeypatch):
+    monkeypatch.setattr(N, "first_neighbours", lambda classes, *a: classes.selectExpr("node", "node as other", "0.0D as sim").where("false"))
+    rows = table(seed=5, groups=5)
+    got = N.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted([(r.vec_id, r.n_links, r.component_id) for r in got], key=repr) == brute(rows)
+    assert {r.audited for r in got} == {1.0}
+
+
+def test_descent_finds_links(spark):
+    """From poor first lists the steps over neighbours of neighbours find most links."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(20, 32))
+    rows = [(i, (c / np.linalg.norm(c) + rng.normal(size=32) * 0.01).tolist(), 1) for i, c in enumerate(np.repeat(centre, 12, axis=0))]
+    classes = N.unit_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    node = {r.first: r.node for r in classes.collect()}
+    ring = [(node[12 * g + i], node[12 * g + (i + 1) % 12], 0.99) for g in range(20) for i in range(12)]
+    lists = N.nearest_lists(spark.createDataFrame(ring, "node long, other long, sim double"), 0.98, N.K, N.K_MOST)
+    for _ in range(3):
+        lists = N.descend(classes, lists, 0.98, N.K, N.K_MOST, 0.9)
+    assert lists.where("sim >= 0.98").count() > 0.9 * 20 * 12 * 11
