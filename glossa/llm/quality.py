@@ -3,15 +3,17 @@
 Trusted positives are training rows of ``labels`` with quality 1; the unlabelled text is a sample of the web documents
 themselves, whose labels are not looked at. With prior pi, positive risk R_P+ and R_P- (as if negative), and unlabelled
 risk R_U-, training minimises pi * R_P+ + max(0, R_U- - pi * R_P-): where the second part of a batch turns negative, the
-step goes against it instead. The class prior is estimated from all training labels (their share of quality 1), between
-``PRIOR`` bounds. The scorer is a small numpy network over language-free features of a whole text: character classes,
+step goes against it instead. The class prior comes from positives and unlabelled rows alone: where a scorer that tells
+them apart is surest, unlabelled mass over positive mass is least, and that is the prior (best bin estimation, Garg et
+al., 2021; scores out of fold, within ``PRIOR`` bounds). Labelled negatives are never looked at. The scorer is a small numpy network over language-free features of a whole text: character classes,
 repetition of words, neighbours, triples and lines, word lengths, token endings.
 
-At most ``POSITIVES`` and ``UNLABELLED`` rows (lowest hashes of the id) are fitted on; the prior covers all labels.
-Only those rows' features reach the driver.
+``fit`` takes at most ``positives`` and ``unlabelled`` ids, those with the lowest hashes, and one text of each; only
+their features reach the driver. The bound on unlabelled rows is a departure: it holds the driver's memory, and scores,
+features and verdicts cover all rows.
 
 Defined cases: null text counts as empty and gets a score like any other; null, held-out or unmatched labels are not
-learned from; without a positive every score is the prior; repeated rows stay repeated; an empty table gives an empty
+learned from; of several texts of one id the first in order is; without a positive every score is the lowest prior; repeated rows stay repeated; an empty table gives an empty
 result; columns other than id and text are not looked at.
 """
 
@@ -138,19 +140,38 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         )
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 2, doubt: float = 0.1) -> float:
+    """The share of positives among unlabelled rows, from features of both."""
+    if min(len(positive), len(unlabelled)) < 2 * folds:
+        return PRIOR[1]
+    p, u = np.zeros(len(positive)), np.zeros(len(unlabelled))
+    for fold in range(folds):
+        at_p, at_u = np.arange(len(p)) % folds == fold, np.arange(len(u)) % folds == fold
+        net = Network(epochs=30, seed=fold).fit(positive[~at_p], unlabelled[~at_u], 0.5)
+        p[at_p], u[at_u] = net.score(positive[at_p]), net.score(unlabelled[at_u])
+    cuts = np.unique(p)
+    mass_p = 1 - np.searchsorted(np.sort(p), cuts, "left") / len(p)
+    mass_u = 1 - np.searchsorted(np.sort(u), cuts, "left") / len(u)
+    slack = math.sqrt(math.log(4 / doubt) / 2) * (len(u) ** -0.5 + len(p) ** -0.5)
+    best = ((mass_u + slack) / mass_p).argmin()
+    return float(min(max(mass_u[best] / mass_p[best], PRIOR[0]), PRIOR[1]))
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED
+) -> Model:
     known = training_labels(labels, "quality")
-    share = known.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0]
-    prior = min(max(PRIOR[0] if share is None else share, PRIOR[0]), PRIOR[1])
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    trusted = hashed_sample(known.where("label = 1").select("id"), POSITIVES).withColumn("trusted", F.lit(True))
-    web = hashed_sample(rows.select("id").where(~held_out("id")).distinct(), UNLABELLED).withColumn("trusted", F.lit(False))
-    chosen = trusted.union(web)  # at most POSITIVES + UNLABELLED ids: broadcast
-    table = rows.join(F.broadcast(chosen), "id").mapInArrow(_feature_batches, "id long, trusted boolean, x array<double>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    trusted = hashed_sample(known.where("label = 1").select("id"), positives).withColumn("trusted", F.lit(True))
+    web = hashed_sample(rows.select("id").where(~held_out("id")).distinct(), unlabelled).withColumn("trusted", F.lit(False))
+    chosen = trusted.union(web)  # at most positives + unlabelled ids: broadcast
+    sample = rows.join(F.broadcast(chosen), "id").groupBy("id", "trusted").agg(F.min("text").alias("text"))
+    table = sample.select("id", "text", "trusted").mapInArrow(_feature_batches, "id long, trusted boolean, x array<double>")
     table = table.toPandas().sort_values(["id", "trusted"], kind="stable")
     x = [np.stack(part.x) if len(part) else None for part in (table[table.trusted], table[~table.trusted])]
     if x[0] is None or x[1] is None:
-        return Model(None, prior)
+        return Model(None, PRIOR[0])
+    prior = class_prior(*x)
     return Model(Network().fit(x[0], x[1], prior), prior)
 
 

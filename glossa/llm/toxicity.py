@@ -6,8 +6,9 @@ letters). The lexicon is learned too: words and word beginnings whose document c
 to toxic documents beyond chance. Features of a labelled document are always taken with the lexicon of the folds of
 the sample that it isn't in, and the calibration is fitted on scores from trees that haven't seen the document.
 
-The sample has at most ``SAMPLE`` labelled rows (lowest hashes of the id); everything else covers all rows. Only lexicon
-terms (at most ``CANDIDATES`` to count, ``LEXICON`` to keep) and the sample's feature rows reach the driver.
+``fit`` takes at most ``sample_ids`` labelled ids, those with the lowest hashes, and one text of each; everything else covers
+all rows. Only the sample's feature rows and the counts of terms that at least two of its toxic documents hold reach the
+driver: the sample bounds both, and no term is cut by number.
 
 Defined cases: null text counts as empty and gets a score like any other; labels that are null, held out or without
 a document are not learned from; with fewer than ``LEAST`` labels of a class every score is the share of toxic
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from glossa.llm.labelled import hashed_sample, training_labels
 from glossa.plans.materialize import materialize
 
-SAMPLE, CANDIDATES, LEXICON, LEAST, FOLDS, THRESHOLD = 16_000, 200_000, 20_000, 2, 5, 0.7
+SAMPLE, LEAST, FOLDS, THRESHOLD = 16_000, 2, 5, 0.7
 PREFIXES = (4, 5, 6, 7)
 STRONG, NEAR, FAR, KEPT = 2.5, 5, 50, 300_000
 FLUSH = 50_000
@@ -153,20 +154,24 @@ def term_counts(sample: DataFrame, wanted: frozenset[str] | None = None) -> Data
 
 
 def candidate_terms(sample: DataFrame) -> frozenset[str]:
-    """Terms of at least two toxic documents of the sample, ``CANDIDATES`` of the most frequent at most."""
+    """Terms of at least two toxic documents of the sample."""
     toxic = term_counts(sample.where("label = 1")).groupBy("term").agg(F.sum("n").alias("n")).where("n >= 2")
-    return frozenset(r.term for r in toxic.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect())
+    return frozenset(r.term for r in toxic.select("term").collect())
 
 
-def lexicon(counts: DataFrame, folds: list[int], toxic: int, clean: int) -> dict[str, float]:
+def counts_table(counts: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Terms in order, and for each the number of documents by fold and label (0, 1)."""
+    cells = [F.sum(F.when((F.col("fold") == f) & (F.col("label") == c), F.col("n")).otherwise(0)).alias(f"n{f}_{c}") for f in range(FOLDS) for c in (0, 1)]
+    got = counts.groupBy("term").agg(*cells).toPandas().sort_values("term", kind="stable")
+    return got.term.tolist(), got.drop(columns="term").to_numpy(np.float64).reshape(-1, FOLDS, 2)
+
+
+def lexicon(terms: list[str], table: np.ndarray, folds: list[int], toxic: int, clean: int) -> dict[str, float]:
     """Terms to the lower bound of their log odds ratio between toxic and clean documents of some folds."""
-    a = F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0))
-    b = F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0))
-    per = counts.where(F.col("fold").isin(folds)).groupBy("term").agg(a.alias("a"), b.alias("b"))
-    ratio = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (clean + 1))
-    bound = ratio - 1.64 * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    rows = per.where("a >= 2").withColumn("w", F.round(bound, 6)).where("w > 0")
-    return {r.term: r.w for r in rows.orderBy(F.desc("w"), "term").limit(LEXICON).collect()}
+    b, a = table[:, folds].sum(axis=1).T if len(terms) else np.zeros((2, 0))
+    ratio = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1))
+    bound = np.round(ratio - 1.64 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)), 6)
+    return {terms[i]: float(bound[i]) for i in np.flatnonzero((a >= 2) & (bound > 0))}
 
 
 # -- trees and calibration -------------------------------------------------------------------------------------------
@@ -261,7 +266,7 @@ class Model:
 
 
 def _with_features(sample: DataFrame, words: Callable[[int], dict[str, float]]) -> pd.DataFrame:
-    """The sample's labels and features, each row with the lexicon of the other folds. At most ``SAMPLE`` rows."""
+    """The sample's labels and features, each row with the lexicon of the other folds. The sample bounds them."""
     given = {fold: words(fold) for fold in range(FOLDS)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,22 +283,23 @@ def _with_features(sample: DataFrame, words: Callable[[int], dict[str, float]])
     return got.sort_values(["id", "label"], kind="stable").reset_index(drop=True)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    chosen = hashed_sample(training_labels(labels, "toxic"), SAMPLE).withColumn(
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_ids: int = SAMPLE) -> Model:
+    chosen = hashed_sample(training_labels(labels, "toxic"), sample_ids).withColumn(
         "fold", (F.crc32(F.concat(F.lit("fold "), F.col("id").cast("string")).cast("binary")) % FOLDS).cast("int")
     )
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sample = materialize(rows.join(F.broadcast(chosen), "id"), "toxicity-sample")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    sample = rows.join(F.broadcast(chosen), "id").groupBy("id", "label", "fold").agg(F.min("text").alias("text"))
+    sample = materialize(sample, "toxicity-sample")
     n = Counter({(r.fold, r.label): r["count"] for r in sample.groupBy("fold", "label").count().collect()})
     toxic, clean = (sum(n[f, c] for f in range(FOLDS)) for c in (1, 0))
     if min(toxic, clean) < LEAST:
         share = toxic / (toxic + clean) if toxic + clean else 0.0
         return Model({}, None, np.zeros(1), np.array([share]))
-    counts = materialize(term_counts(sample, candidate_terms(sample)), "toxicity-terms")
+    terms, counts = counts_table(term_counts(sample, candidate_terms(sample)))
 
     def without(fold: int) -> dict[str, float]:
         others = [f for f in range(FOLDS) if f != fold]
-        return lexicon(counts, others, toxic - n[fold, 1], clean - n[fold, 0])
+        return lexicon(terms, counts, others, toxic - n[fold, 1], clean - n[fold, 0])
 
     table = _with_features(sample, without)
     x, y, fold = np.stack(table.x), table.label.to_numpy(np.float64), table.fold.to_numpy()
@@ -302,7 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if (fold == f).any() and (fold != f).any():
             unseen[fold == f] = Boosted().fit(x[fold != f], y[fold != f]).raw(x[fold == f])
     at, share = isotonic(unseen, y)
-    return Model(lexicon(counts, [*range(FOLDS)], toxic, clean), Boosted().fit(x, y), at, share)
+    return Model(lexicon(terms, counts, [*range(FOLDS)], toxic, clean), Boosted().fit(x, y), at, share)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

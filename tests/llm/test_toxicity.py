@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -68,3 +69,45 @@ def test_isotonic_matches_least_squares():
     for i, v in enumerate(at):
         best = max(min(y[(x >= lo) & (x <= hi)].mean() for hi in at[i:]) for lo in at[: i + 1])
         assert abs(share[i] - best) < 1e-9, v
+
+
+def test_lexicon_matches_brute_force(spark):
+    """Counts and weights of every term against a loop over documents."""
+    docs, labels = corpus(150)
+    rows = [(i, text, t, i % T.FOLDS) for (i, text), (_, _, t) in zip(docs, labels, strict=True)]
+    df = spark.createDataFrame(rows, "id long, text string, label int, fold int")
+    terms, table = T.counts_table(T.term_counts(df, T.candidate_terms(df)))
+    toxic, clean = sum(r[2] for r in rows if r[3] != 2), sum(not r[2] for r in rows if r[3] != 2)
+    got = T.lexicon(terms, table, [f for f in range(T.FOLDS) if f != 2], toxic, clean)
+    sets = [({t for w in text.split() for t in [w, *[w[:k] + "~" for k in T.PREFIXES if len(w) > k]]}, label, fold) for _, text, label, fold in rows]
+    want = {}
+    for term in {t for s, label, _ in sets if label for t in s}:
+        a = sum(term in s for s, label, fold in sets if label and fold != 2)
+        b = sum(term in s for s, label, fold in sets if not label and fold != 2)
+        bound = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1)) - 1.64 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        if a >= 2 and round(bound, 6) > 0:
+            want[term] = round(bound, 6)
+    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 2e-6 for t in want) and "grumbel" in want
+
+
+def test_scores_match_a_loop_over_texts(spark, fitted):
+    docs, _, model = fitted
+    token = T.Token(model.words)
+    for r in T.score(docs.limit(40), model).join(docs.withColumnRenamed("doc_id", "id"), "id").collect():
+        x = T.features(r.text, token)
+        raw = model.trees.base
+        for feature, cut, value in model.trees.trees:
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + int(x[feature[node]] > cut[node])
+            raw += value[node - len(feature)]
+        want = 0.999 * np.interp(raw, model.at, model.share) + 0.001 / (1 + math.exp(-raw))
+        assert abs(r.score - want) < 1e-9
+
+
+def test_repeated_ids_stay_within_the_sample(spark):
+    docs, labels = corpus(60)
+    d = spark.createDataFrame(docs + [(0, docs[0][1])] * 200 + [(0, "another text")] * 50, "doc_id long, text string")
+    ls = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once = T.fit(spark.createDataFrame(docs[1:] + [(0, min(docs[0][1], "another text"))], "doc_id long, text string"), ls)
+    assert T.fit(d, ls).words == once.words
