@@ -10,7 +10,8 @@ go: menus, headers, footers, sidebars, notices, adverts, forms, comments, link l
 content and around it, so that the labeller learns structure. Its size is fixed; it is broadcast.
 
 Defined cases: null html is the empty page and gives the empty text; text outside of any tag is a block; unclosed tags
-end where HTML ends them, comments, scripts and styles are never text; white space is collapsed inside a block,
+end where HTML ends them, comments, scripts, styles, templates, drawings and what stands for scripts are never text; a
+quote in a tag that nothing closes ends with the tag; white space is collapsed inside a block,
 character references are decoded; repeated rows stay repeated; an empty table gives an empty result; other columns are
 not looked at. Pages are read whole, whatever their length.
 """
@@ -20,7 +21,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache
 from typing import NamedTuple
 from zlib import crc32
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PATH, WORDS, MEASURES, HIDDEN = 512, 48, 9, 20
-PAGES, EPOCHS, RATE, SEED, KEPT = 1200, 9, 0.01, 5, 200_000
+PAGES, EPOCHS, RATE, SEED, KEPT, AT_ONCE = 1200, 9, 0.01, 5, 200_000, 16_000
 
 #: Fixed values of the HTML standard: tags without content, tags inside text, tags whose content is no markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,15 +40,21 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var".split()
 )
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("script style textarea iframe noembed noframes".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+DROPPED = frozenset("script style textarea iframe noembed noframes noscript template svg".split())
 #: An opening tag closes these open ones, up to the nearest of the second group.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
 }
-_TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Comments and their like, or a tag. An attribute's value is quoted, or goes on to white space or the tag's end and may
+#: hold quotes; a quote that nothing closes ends with the tag.
+_TAG = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|</(?![a-zA-Z])[^>]*>|"""
+    r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?>"[^"]*"|'[^']*'|["'][^>]*|[^\s>"'][^\s>]*|(?=>)|\Z))?+|=)*+)>""",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -79,6 +86,16 @@ def _words_of(attributes: str) -> list[str]:
     return out
 
 
+def _element_end(page: str, tag: str, at: int) -> tuple[int, int]:
+    """Start and end of the closing tag of an element whose content is no text; elements of one name may be nested."""
+    depth, nested = 1, tag not in RAW
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else 1 if nested and not m[0].endswith("/>") else 0
+        if not depth:
+            return m.start(), m.end()
+    return len(page), len(page)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page, in order."""
     page, found = page or "", []
@@ -138,12 +155,15 @@ def blocks(page: str | None) -> list[Block]:
             for word in _words_of(m[3]) if m[3] else ():
                 path[_slots("name " + word)] = 1
             stack.append((tag, path))
-            if tag in RAW and not m[3].rstrip().endswith("/"):
-                end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
+            if tag in DROPPED or tag in RAW:
+                if tag == "svg" and m[3].rstrip().endswith("/"):
+                    stack.pop()
+                    continue
+                start, stop = _element_end(page, tag, at)
                 if tag not in DROPPED:
-                    add(page[at : end.start() if end else len(page)])
+                    add(page[at:start])
                     flush()
-                at = end.end() if end else len(page)
+                at = stop
                 stack.pop()
     tail = page[at:]
     cut = re.search(r"<[a-zA-Z/!?]", tail)
@@ -410,6 +430,18 @@ class PageWriter:
                 out.append(f"<blockquote>{s}</blockquote>")
             elif kind < 0.22:
                 out.append(f"<div>{s}</div>")
+            elif kind < 0.25:
+                cells = [self.text(True, self.prose(1, 6)) for _ in range(2 * r.randrange(1, 4))]
+                tags = [r.choice(["td", "td", "th"]) for _ in cells]
+                body = "".join(("<tr>" if i % 2 == 0 else "") + f"<{t}>{c}" + r.choice(["", f"</{t}>"]) for i, (t, c) in enumerate(zip(tags, cells, strict=True)))
+                out.append(f"<p>{s}</p><table>{r.choice(['', '<tbody>'])}{body}</table>")
+            elif kind < 0.28:
+                out.append(f"<p>{s}</p><figure><img src=x><figcaption>{self.text(True, self.prose(2, 15))}</figcaption></figure>")
+            elif kind < 0.3:
+                out.append(r.choice(["<pre>{}</pre>", "<pre><code>{}</code></pre>"]).format(s))
+            elif kind < 0.32:
+                items = "".join(f"<dt>{self.text(True, self.prose(1, 4))}<dd>{self.text(True, self.prose(2, 15))}" for _ in range(r.randrange(1, 4)))
+                out.append(f"<p>{s}</p><dl>{items}</dl>")
             elif style < 0.3 and i == 0:
                 out.append(f"<p><b>{s}<br>")
             elif style < 0.3:
@@ -485,10 +517,22 @@ def trained(seed: int = SEED) -> BiLSTM:
     return net
 
 
-def main_texts(pages: list[str | None], net: BiLSTM, vectors: Vectors) -> list[str]:
-    cut = [blocks(p) for p in pages]
-    shares = net.probabilities([vectors(b) for b in cut])
-    return ["\n\n".join(b.text for b, s in zip(bs, ss, strict=True) if s >= 0.5) for bs, ss in zip(cut, shares, strict=True)]
+def main_texts(pages: Iterable, net: BiLSTM, vectors: Vectors) -> list[str]:
+    """Main text of each page (strings or Arrow strings); blocks of about ``AT_ONCE`` are labelled together."""
+    out: list[str] = []
+    held: list[list[Block]] = []
+
+    def label() -> None:
+        shares = net.probabilities([vectors(b) for b in held])
+        out.extend("\n\n".join(b.text for b, s in zip(bs, ss, strict=True) if s >= 0.5) for bs, ss in zip(held, shares, strict=True))
+        held.clear()
+
+    for page in pages:
+        held.append(blocks(page.as_py() if isinstance(page, pa.Scalar) else page))
+        if sum(map(len, held)) >= AT_ONCE:
+            label()
+    label()
+    return out
 
 
 def extract(pages: DataFrame, net: BiLSTM | None = None) -> DataFrame:
@@ -500,7 +544,7 @@ def extract(pages: DataFrame, net: BiLSTM | None = None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = main_texts(part.column(2).to_pylist(), shared.value, vectors)
+                texts = main_texts(part.column(2), shared.value, vectors)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))

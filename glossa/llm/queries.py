@@ -34,7 +34,7 @@ def op1_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     got = judge(pages, FIXED_RULES, mine(pages, table(spark, sf_dir, "labels")))
-    return got.select("page_id", "host", "path", "rule", "verdict", "confidence")
+    return got.select("page_id", "host", "path", "rule", "verdict", "confidence", "decided_by")
 
 
 def op2_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """URL filters: fixed host/path rules first, then association rules that FP-growth mines from labels.
 
 A url becomes a set of typed tokens (scheme, host suffixes and host words, path words, file ending, query keys,
-fragment). Labelled pages, as transactions of their tokens and a label token, go through Spark's FP-growth; rules whose
+fragment). Tokens that stand in exactly the same labelled pages (as suffixes of one host do) are one for mining, the
+longest of them, so item sets don't multiply. Labelled pages, as transactions of these and a label token, go through
+Spark's FP-growth; rules whose
 consequent is the low label and that have at least ``SUPPORT`` (a share of the labelled pages, and ``LEAST`` of them)
 and ``CONFIDENCE`` are kept, unless a rule of fewer of the same tokens is as sure. Rules are matched by an inverted
 index: each is filed under its rarest token, and only rules filed under a url's tokens are compared with it.
@@ -20,6 +22,7 @@ rules; an empty table gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
 
@@ -124,6 +127,23 @@ def labelled_transactions(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.where("id is not null").join(known, "id").select(F.concat("tokens", F.array(label)).alias("items"))
 
 
+def collapsed(rows: DataFrame, need: int) -> DataFrame:
+    """``rows`` (items) without tokens of fewer than ``need`` rows, and of tokens that stand in the same rows the longest.
+
+    Rows are told apart by a hash of their position; equal counts and equal sums of two hashes are taken as the same rows.
+    There are at most (tokens of a url) / support such tokens, whatever the number of rows.
+    """
+    at = F.monotonically_increasing_id()
+    placed = materialize(rows.withColumn("at", at), "url-transactions")
+    seen = placed.select(F.explode("items").alias("token"), "at").where(~F.col("token").isin(LOW, HIGH))
+    marks = [F.sum(F.xxhash64(F.lit(i), "at").cast("decimal(38,0)")).alias(f"m{i}") for i in (1, 2)]
+    tokens_ = seen.groupBy("token").agg(F.count("*").alias("n"), *marks).where(F.col("n") >= need)
+    kept = tokens_.groupBy("n", "m1", "m2").agg(F.max(F.struct(F.length("token"), "token")).alias("best")).select(F.col("best.token").alias("token"))
+    labels = rows.sparkSession.createDataFrame([(LOW,), (HIGH,)], "token string")
+    told = placed.select("at", F.explode("items").alias("token")).join(F.broadcast(kept.union(labels)), "token")
+    return told.groupBy("at").agg(F.array_sort(F.collect_set("token")).alias("items")).select("items")
+
+
 def mine(
     pages: DataFrame, labels: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE
 ) -> list[tuple[tuple[str, ...], float]]:
@@ -134,7 +154,8 @@ def mine(
         if not n:
             return []
         share = min(1.0, max(support, least / n))
-        found = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(rows).associationRules
+        items = collapsed(rows, math.ceil(share * n - 1e-9))
+        found = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(items).associationRules
         low = found.where(F.col("consequent")[0] == LOW).where(~F.array_contains("antecedent", HIGH))
         low = materialize(low.select(F.array_sort("antecedent").alias("items"), "confidence"), "url-rules")
         return pruned([(tuple(r["items"]), r["confidence"]) for r in without_longer(low).collect()])
@@ -165,7 +186,10 @@ def pruned(rules: Sequence[tuple[tuple[str, ...], float]]) -> list[tuple[tuple[s
 
 
 def judge(pages: DataFrame, fixed: Sequence[tuple[str, str]], mined: Sequence[tuple[Sequence[str], float]]) -> DataFrame:
-    """(page_id, url, host, path, rule, verdict, confidence) for every row of ``pages``."""
+    """(page_id, url, host, path, rule, verdict, confidence, decided_by) for every row of ``pages``.
+
+    ``decided_by`` is fixed, mined or default.
+    """
     shared = pages.sparkSession.sparkContext.broadcast((FixedRules(fixed), MinedRules(mined)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,15 +200,16 @@ def judge(pages: DataFrame, fixed: Sequence[tuple[str, str]], mined: Sequence[tu
                 host, path = host_and_path(url)
                 rule, verdict = own.find(host, path) or (None, None)
                 sure = learned.confidence(url)
-                rows.append((host, path, rule, verdict or ("allow" if sure is None else "block"), sure))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (*[pa.string()] * 4, pa.float64())
+                by = "fixed" if rule else "default" if sure is None else "mined"
+                rows.append((host, path, rule, verdict or ("allow" if sure is None else "block"), sure, by))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (*[pa.string()] * 4, pa.float64(), pa.string())
             out = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *out], ["page_id", "url", "host", "path", "rule", "verdict", "confidence"]
+                [batch.column(0), batch.column(1), *out], ["page_id", "url", "host", "path", "rule", "verdict", "confidence", "decided_by"]
             )
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"))
     return rows.mapInArrow(
-        run, "page_id long, url string, host string, path string, rule string, verdict string, confidence double"
+        run, "page_id long, url string, host string, path string, rule string, verdict string, confidence double, decided_by string"
     )

@@ -3,12 +3,14 @@
 Writing: each page gives a request, a response (or revisit) and a metadata record; request and metadata name the
 response in WARC-Concurrent-To. A text row is a record without its final CRLF CRLF, which is the writer's line
 separator, so files are gzip-compressed WARC 1.1 on any file system that Spark writes to. A file gets about
-``FILE_BYTES`` of payload. Pages with equal payloads (by SHA-1) of at least ``min_bytes`` bytes are written once, under
+``FILE_BYTES`` of payload, and never more than ``LARGEST_FILE`` or one page. Pages with equal payloads (by SHA-1) of at least ``min_bytes`` bytes are written once, under
 the largest page id; the others are revisits that refer to it and hold HTTP headers only.
 
 Reading: each file is one task row; records are cut by Content-Length from the decompressed stream, payload digests are
 taken from the payload itself and must equal the header's. Assembly: requests and metadata, grouped by the response
 that they name, are hash-joined to responses: one nested row per capture. Payloads needn't go through that shuffle.
+Pages of a frequent payload are joined where they are, and responses, which refer to nothing, take no part in the join
+of revisits.
 
 Defined cases: null html is the empty payload; null urls and ids are left out of the headers and come back as null (a
 null id is smaller than any); line breaks in urls are percent-encoded; fully repeated rows share record ids and come
@@ -27,8 +29,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.plans.materialize import materialize
+from glossa.plans.skew import join_hot
 
-FILE_BYTES, DATE, READ = 64 << 20, "2024-01-01T00:00:00Z", 1 << 20
+FILE_BYTES, LARGEST_FILE, DATE, READ = 64 << 20, 1 << 30, "2024-01-01T00:00:00Z", 1 << 20
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -63,15 +66,12 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumns({"digest": base32_sha1(F.col("html").cast("binary")), "size": F.octet_length("html").cast("long")})
     known = materialize(rows.select("page_id", "url", "digest", "size"), "warc-digests")
-    n, total = known.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    per_file = max(1, int(3 * file_bytes / max(1, total / max(1, n))))
-    shared = known.where(F.col("size") >= min_bytes).groupBy("digest").agg(
-        F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")
-    )
-    shared = materialize(shared.where("n > 1").select("digest", "first"), "warc-shared")
-    rows = rows.join(shared, "digest", "left")
+    n, total, largest = known.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    per_file = 3 * max(1, min(int(file_bytes / max(1, total / max(1, n))), LARGEST_FILE // max(1, largest)))
+    shared = known.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n"))
+    rows = join_hot(rows, materialize(shared, "warc-shared"), ["digest"])
     is_first = F.col("page_id").eqNullSafe(F.col("first.page_id"))
-    again = F.col("first").isNotNull() & (F.col("size") >= min_bytes) & ~is_first
+    again = (F.col("size") >= min_bytes) & ~is_first
     uri = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     own, first = ("page_id", "url", "digest"), (F.col("first.page_id"), F.col("first.url"), F.col("digest"))
     response = _urn("response", *map(F.col, own))
@@ -119,7 +119,9 @@ def _stream(content: bytes) -> Iterator[bytes]:
         while not member.eof and at < len(content):
             piece = view[at : at + READ]
             at += len(piece)
-            yield member.decompress(piece)
+            while piece and not member.eof:  # no more than 8 * READ bytes at once, however well they were compressed
+                yield member.decompress(piece, 8 * READ)
+                piece = member.unconsumed_tail
         at -= len(member.unused_data)
 
 
@@ -237,6 +239,7 @@ def assemble(found: DataFrame) -> DataFrame:
 
 def page_records(captures: DataFrame) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to (a page id) of assembled captures."""
+    captures = materialize(captures.withColumn("response", F.col("response").dropFields("payload")), "warc-captures")
     said = F.regexp_extract(F.col("metadata")[0]["fields"], r"(?m)^page_id: (-?\d+)\r?$", 1)
     rows = captures.select(
         F.when(said != "", said.cast("long")).alias("page_id"),
@@ -245,7 +248,8 @@ def page_records(captures: DataFrame) -> DataFrame:
         F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("to"),
     )
     ids = rows.where("record_type = 'response'").groupBy(F.col("record_id").alias("to")).agg(F.max("page_id").alias("refers_to"))
-    return rows.join(ids, "to", "left").select(
-        "page_id", "url", "payload_bytes", "payload_digest", "record_type",
-        F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to"),
-    )
+    out = ["page_id", "url", "payload_bytes", "payload_digest", "record_type"]
+    revisits = rows.where("record_type = 'revisit'")
+    counts = materialize(revisits.groupBy("to").agg(F.count("*").alias("n")).join(ids, "to", "left"), "warc-referred")
+    first = rows.where("record_type = 'response'").select(*out, F.lit(None).cast("long").alias("refers_to"))
+    return first.unionByName(join_hot(revisits, counts, ["to"]).select(*out, "refers_to"))

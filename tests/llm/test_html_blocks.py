@@ -27,6 +27,16 @@ def test_blocks():
     assert H.blocks("<nav>a<a href=x>bcd</a></nav>")[0].linked == 0.75
 
 
+def test_tags_of_odd_shape():
+    assert texts("<p title=it's>one</p><p>two's</p>") == ["one", "two's"]
+    assert texts('<p title="abc>one</p><p>two') == ["one", "two"]  # nothing closes the quote
+    assert texts('<p title="a>b" x=\'>\' y = z"w>one') == ["one"] and texts("<p a= >one<p =b>two<p a=/x/>three") == ["one", "two", "three"]
+    assert texts('<div class=a"b id=\'c\'>one</div></ x>two<!-->three<!>four') == ["one", "twothreefour"]
+    gone = "<template><p>x<template>y</template>z</p></template><noscript><p>x</p></noscript><svg><text>x</text><svg></svg>x</svg><svg/>"
+    assert texts(f"a{gone}<p>b</p>{gone}c") == ["a", "b", "c"]
+    assert texts("<p " + "a=\"b\" " * 50_000 + ">x") == ["x"] and texts("<p " + "a='" * 3001 + ">x") == ["x"]
+
+
 def test_gradients():
     net, rng = H.BiLSTM(5, 3, 1), np.random.default_rng(0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -82,6 +92,23 @@ def test_table_against_article_element(spark, net, sf):
     assert H.extract(rows.limit(0), net).count() == 0
 
 
+def test_other_elements_of_an_article(net):
+    page = (
+        "<body><nav><a href=/>Home</a></nav><article><h1>Title of it</h1><p>Some words that say what comes.</p><table><tr><th>Head A<th>Head B"
+        "<tr><td>Cell A</td><td>Cell B</td></table><figure><img src=x><figcaption>What the picture shows</figcaption></figure>"
+        "<pre>x = 1\n  y</pre><p title=it's>The last words of it.</p></article><template><p>no</p></template><footer>All rights reserved.</footer>"
+    )
+    want = ["Title of it", "Some words that say what comes.", "Head A", "Head B", "Cell A", "Cell B", "What the picture shows", "x = 1 y", "The last words of it."]
+    assert H.main_texts([page], net, H.Vectors()) == ["\n\n".join(want)]
+
+
+def test_no_markup_in_text(net):
+    writer = H.PageWriter(5)
+    for _ in range(60):
+        page = re.sub("<p>", lambda m: writer.r.choice(["<p>", "<p title=it's>", "<p data-x='a\"b'>", "<p x=\">\">"]), writer.page()[0])
+        assert not re.search("</?[a-z]+[ >]|title=|data-x", H.main_texts([page], net, H.Vectors())[0])
+
+
 def test_very_long_page(net):
     page = "<nav><a>x</a></nav><article>" + "<p>Some words of text here.</p>" * 20000 + "</article>"
     assert len(H.blocks(page)) == 20001

@@ -75,7 +75,11 @@ def test_mined_rules_match_brute_force(spark):
     sets = [{*U.tokens(u), U.HIGH if q else U.LOW} for (i, u), (_, q, _) in zip(pages, labels, strict=True) if i in trained]
     rules = U.mine(p, ls)
     small = [(c, s) for c, s in rules if len(c) <= 3]
-    want = brute_rules(sets, U.SUPPORT, U.LEAST, U.CONFIDENCE)
+    places = {}
+    for t in {t for x in sets for t in x if not t.startswith("label:")}:
+        places.setdefault(tuple(t in x for x in sets), []).append(t)
+    stands = {max(ts, key=lambda t: (len(t), t)) for ts in places.values()} | {U.LOW, U.HIGH}
+    want = brute_rules([x & stands for x in sets], U.SUPPORT, U.LEAST, U.CONFIDENCE)
     assert {(c, round(s, 9)) for c, s in small} == {(c, round(s, 9)) for c, s in want} and want
     verdicts = {r.page_id: r.verdict for r in U.judge(p, [], rules).collect()}
     assert {i for i, v in verdicts.items() if v == "block"} == {i for i, u in pages if "pills" in u and "/de/" in u}
@@ -105,3 +109,14 @@ def test_redundant_rules_do_not_push_out_less_sure_ones(spark, monkeypatch):
     rules = U.mine(p, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     verdicts = {r.page_id: r.verdict for r in U.judge(p, [], rules).collect()}
     assert {i for i, v in verdicts.items() if v == "block"} == {i for i, _ in pages if i % 3 < 2}
+
+
+def test_tokens_of_one_host_are_one(spark):
+    """A host of many labels and words gives one rule, not one for each of their sets."""
+    pages = [(i, f"http://a.b.c.d.e.f.pills.net/cheap/best/{i}" if i % 2 else f"http://news.org/x/{i}") for i in range(200)]
+    ls = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    p = spark.createDataFrame(pages, "page_id long, url string")
+    rules = U.mine(p, ls)
+    assert rules == [(("host:a.b.c.d.e.f.pills.net",), 1.0)]
+    assert {r.decided_by for r in U.judge(p, FIXED_RULES, rules).collect()} == {"fixed", "mined"}
+    assert U.host_and_path("http://h/" + "x" * 10**6) == ("h", "/" + "x" * 10**6) and U.judge(spark.createDataFrame([(1, "http://h/" + "x" * 10**6)], p.schema), [], rules).count() == 1
