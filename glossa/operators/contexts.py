@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import enum
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 
 from glossa.functions import sets, text
 from glossa.functions.inflect import forms
-from glossa.plans.materialize import materialize
 
 TARGET = "TARGETWORD"
 WINDOW, TRIM = 25, 10
@@ -90,31 +90,35 @@ def _keyed(terms: DataFrame, ignore_case: bool) -> DataFrame:
     return terms.select("form", (F.lower("phrase") if ignore_case else F.col("phrase")).alias("phrase")).distinct()
 
 
-def with_hits(tokenised: DataFrame, terms: DataFrame, lengths: list[int], ignore_case: bool = False, doc_id: str = "doc_id") -> DataFrame:
+def with_hits(tokenised: DataFrame, terms: DataFrame, lengths: list[int], ignore_case: bool = False, most_literals: int | None = None) -> DataFrame:
     """``tokenised`` with hits array<struct<pos, length, phrase>>, empty or missing where a document has none.
 
     ``lengths`` are the numbers of words that phrases have. Up to ``LITERALS`` phrases are looked up in a hash set inside
     the projection: no n-gram leaves its document. More phrases are joined as a table, and the hits of a document, not
     its words, are what is shuffled.
     """
-    keyed = _keyed(terms, ignore_case)
+    keyed, most = _keyed(terms, ignore_case), LITERALS if most_literals is None else most_literals
     grams = F.concat(*[n_grams(F.col("words"), n) for n in lengths])
     named = lambda g: F.struct(g["pos"].alias("pos"), g["length"].alias("length"), (F.lower(g["gram"]) if ignore_case else g["gram"]).alias("phrase"))
-    some = [r.phrase for r in keyed.select("phrase").distinct().limit(LITERALS + 1).collect()]
-    if len(some) <= LITERALS:
+    some = [r.phrase for r in keyed.select("phrase").distinct().limit(most + 1).collect()]
+    if len(some) <= most:
         hits = F.filter(F.transform(grams, named), lambda h: h["phrase"].isin(some)) if some else F.array().cast("array<struct<pos:int,length:int,phrase:string>>")
         return tokenised.withColumn("hits", hits)
-    cells = tokenised.select(doc_id, F.explode(F.transform(grams, named)).alias("h"))
+    # hits follow from the words alone, so rows are known by 128 bits of these: ids may repeat or be null
+    same = [F.xxhash64("words").alias("_w1"), F.xxhash64(F.lit("again"), "words").alias("_w2")]
+    cells = tokenised.select(*same, F.explode(F.transform(grams, named)).alias("h"))
     found = cells.join(keyed.select("phrase").distinct(), F.col("h.phrase") == F.col("phrase"), "left_semi")
-    return tokenised.join(found.groupBy(doc_id).agg(F.array_sort(F.collect_list("h")).alias("hits")), doc_id)
+    found = found.groupBy("_w1", "_w2").agg(F.array_sort(F.collect_set("h")).alias("hits"))
+    return tokenised.select("*", *same).join(found, ["_w1", "_w2"]).drop("_w1", "_w2")
 
 
 def word_contexts(
-    tokenised: DataFrame, terms: DataFrame, lengths: list[int], size: int = WINDOW, left_mode: str = "intended", ignore_case: bool = False, doc_id: str = "doc_id"
+    tokenised: DataFrame, terms: DataFrame, lengths: list[int], size: int = WINDOW, left_mode: str = "intended", ignore_case: bool = False, doc_id: str = "doc_id",
+    most_literals: int | None = None,
 ) -> DataFrame:
     """(form, doc_id, pos, length, context): the words around every match. Windows are cut before rows are made."""
     check_config(ContextType.WORD, size)
-    docs = with_hits(tokenised, terms, lengths, ignore_case, doc_id)
+    docs = with_hits(tokenised, terms, lengths, ignore_case, most_literals)
     cut = F.transform(
         "hits",
         lambda h: F.struct(h["phrase"].alias("phrase"), h["pos"].alias("pos"), h["length"].alias("length"), window(F.col("words"), h["pos"], h["length"], size, left_mode).alias("context")),
@@ -131,10 +135,10 @@ def longest_only(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 def document_contexts(tokenised: DataFrame, terms: DataFrame, lengths: list[int], ignore_case: bool = False, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(form, doc_id, context): a whole document once for each form in it."""
-    docs = with_hits(tokenised, terms, lengths, ignore_case, doc_id)
-    phrases = docs.select(doc_id, F.explode(F.array_distinct(F.transform("hits", lambda h: h["phrase"]))).alias("phrase"))
-    forms_in = phrases.join(_keyed(terms, ignore_case), "phrase").select(doc_id, "form").distinct()
-    return forms_in.join(tokenised.select(doc_id, F.col(text_col).alias("context")), doc_id).select("form", doc_id, "context")
+    docs = with_hits(tokenised, terms, lengths, ignore_case)
+    phrases = F.array_distinct(F.transform("hits", lambda h: h["phrase"]))
+    found = docs.select(doc_id, F.col(text_col).alias("context"), F.explode(phrases).alias("phrase"))
+    return found.join(_keyed(terms, ignore_case), "phrase").select("form", doc_id, "context").distinct()
 
 
 def line_contexts(docs: DataFrame, terms: DataFrame, lengths: list[int], ignore_case: bool = False, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,25 +164,11 @@ def trim_context(rows: DataFrame, size: int = TRIM) -> DataFrame:
     })
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` with row_idx from 0 in the order of given columns, without sorting in one task: counts by range first."""
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(
-        {"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}
-    )
-    spread = materialize(spread, "numbered")
-    sizes = {r._part: r.n for r in spread.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row per partition
-    base, starts = 0, []
-    for part in sorted(sizes):
-        starts += [F.lit(part), F.lit(base)]
-        base += sizes[part]
-    offset = F.element_at(F.create_map(*starts), F.col("_part")) if starts else F.lit(0)
-    index = F.col("_at").bitwiseAND((1 << 33) - 1) + offset
-    return spread.withColumn("row_idx", index.cast("long")).drop("_part", "_at")
-
-
 # -- pattern path ----------------------------------------------------------------------------------------------------
 
-_LINES = re.compile(r"[\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029] *")
+#: What str.splitlines documents as line boundaries.
+_BOUNDARIES = "\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029"
+_LINES = re.compile(f"[{_BOUNDARIES}] *")
 _WORDS = re.compile(r"\W+")
 
 
@@ -197,13 +187,15 @@ def pattern(term: str, kind: TermType, inflect: bool, ignore_case: bool) -> re.P
 
 
 def _trim(parts: list[str]) -> list[str]:
-    """Without one single sign and then one empty string at each end."""
-    for at in (0, -1):
-        if parts and len(parts[at]) == 1 and not parts[at].isalnum():
-            del parts[at]
-        if parts and not parts[at]:
-            del parts[at]
-    return parts
+    """``parts`` less what a match leaves at an end: a lone sign, if there is one, then an empty string, if there is one."""
+
+    def spare(ordered: Iterable[str]) -> int:
+        few = list(islice(ordered, 2))
+        signs = int(bool(few) and len(few[0]) == 1 and not few[0].isalnum())
+        return signs + (few[signs : signs + 1] == [""])
+
+    parts = parts[spare(parts) :]
+    return parts[: len(parts) - spare(reversed(parts))]
 
 
 def _nearby(document: str, start: int, end: int, size: int) -> tuple[list[str], list[str]]:
@@ -229,11 +221,19 @@ def context_of(document: str, start: int, end: int, kind: ContextType, size: int
             left = min(n, size - n)
         return " ".join([*before[n - left :], TARGET, *after[:size]])
     before, after = _trim(_LINES.split(document[:start])), _trim(_LINES.split(document[end:]))
-    gaps = [i for i, line in enumerate(before) if not line.strip()] or [-1]
-    first = gaps[-size] if size < len(gaps) else gaps[-1]
-    stops = [i for i, line in enumerate(after) if not line.strip()] or [len(after)]
-    last = stops[size - 1] if size < len(stops) else stops[-1]
-    return " ".join([*before[first + 1 :], TARGET, *after[:last]])
+    before = before[len(before) - _blank(before[::-1], size, False) :]
+    return " ".join([*before, TARGET, *after[: _blank(after, size, True)]])
+
+
+def _blank(lines: list[str], n: int, farthest: bool) -> int:
+    """How many lines stand before the n-th blank one; with at most n blank lines, before the last or the first of them.
+
+    Without a blank line, all lines.
+    """
+    blank = [i for i, line in enumerate(lines) if not line.strip()]
+    if not blank:
+        return len(lines)
+    return blank[n - 1] if n < len(blank) else blank[-1 if farthest else 0]
 
 
 def extract(

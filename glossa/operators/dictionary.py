@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,11 +13,13 @@ from glossa.functions.stopwords import ENGLISH
 
 #: A source's answer when it has none.
 NO_RESULT = "no results"
+#: The concept of a row that the tagger failed on.
+ERROR = "error"
 NOT_CLINICAL = ["Genes & Molecular Sequences"]
 
 
 def merge_sources(pairs: DataFrame, wanted: DataFrame | None = None, stopwords: frozenset[str] = ENGLISH) -> DataFrame:
-    """(sf, lf, source): standardised pairs of (sf, lf, source), sources of a pair as a bar set, sorted.
+    """(sf, lf, source): standardised pairs of (sf, lf, source), sources of a pair as a bar set.
 
     Long forms that are stopwords, empty, or the short form itself go; ``wanted`` (sf) keeps only its short forms.
     """
@@ -22,7 +27,7 @@ def merge_sources(pairs: DataFrame, wanted: DataFrame | None = None, stopwords:
     rows = rows.where(~F.col("lf").isin(*sorted(stopwords), NO_RESULT) & (F.col("lf") != F.lower("sf")) & (F.col("lf") != ""))
     if wanted is not None:
         rows = rows.join(wanted.select("sf").distinct(), "sf", "left_semi")
-    return rows.groupBy("sf", "lf").agg(sets.to_bars(F.collect_set("source")).alias("source")).orderBy("sf", "lf", "source")
+    return rows.groupBy("sf", "lf").agg(sets.to_bars(F.collect_set("source")).alias("source"))
 
 
 def standardize(rows: DataFrame, lf_base: Column, position: Column | None = None) -> DataFrame:
@@ -122,3 +127,40 @@ def vocabulary(rows: DataFrame, position: str) -> DataFrame:
 def token_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """(sf, lf, lf_id, support): ids of (sf, lf); -1 and a null support where unknown."""
     return tokens.join(vocab, ["sf", "lf"], "left").withColumn("lf_id", F.coalesce("lf_id", F.lit(-1)))
+
+
+def last_attributes(rows: DataFrame, columns: list[str], position: str) -> DataFrame:
+    """(sf, lf, columns..): for each long form of a short form the attributes of its last row."""
+    last = F.max_by(F.struct(*columns), F.col(position)).alias("last")
+    return rows.groupBy("sf", "lf").agg(last).select("sf", "lf", "last.*")
+
+
+def tag_in_batches(rows: DataFrame, tagger: Callable[[list[str]], list[str | None]], size: int = 1000) -> DataFrame:
+    """(idx, cui): concepts from a tagger that takes lists of at most ``size`` phrases and may fail.
+
+    Base forms go in batches; the rows of a batch that failed are tried one by one by their long form; what fails again
+    has the concept ``ERROR``. Each Spark task holds one client, and a lost task is run again.
+    """
+
+    def one(phrase: str) -> str | None:
+        try:
+            return tagger([phrase])[0]
+        except Exception:  # whatever a service raises marks the row, not the job
+            return ERROR
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), size):
+                batch = whole.iloc[at : at + size]
+                try:
+                    found = tagger(batch.lf_base.tolist())
+                except Exception:
+                    found = [one(x) for x in batch.lf]
+                yield pd.DataFrame({"idx": batch.idx.to_numpy(), "cui": found})
+
+    return rows.select(F.col("idx").cast("long").alias("idx"), "lf_base", "lf").mapInPandas(run, "idx long, cui string")
+
+
+def untagged(rows: DataFrame, tagged: DataFrame) -> DataFrame:
+    """Rows that a stopped run hasn't tagged: a rerun takes these."""
+    return rows.join(tagged.select("idx"), "idx", "left_anti")

@@ -37,6 +37,10 @@ def hashed_layers(pieces: list[list[str]], width: int = 32, layers: int = 6) ->
     return out
 
 
+#: Pieces on either side that a piece's hidden layers depend on; what is further needn't be encoded.
+hashed_layers.reach = 5
+
+
 def pieces_of(text: str) -> list[str]:
     """Lower-case words cut into pieces of four letters, continuations marked."""
     return [p for w in text.lower().split() for p in [w[:4], *["##" + w[i : i + 4] for i in range(4, len(w), 4)]]]
@@ -55,8 +59,14 @@ def embed(
         for batch in batches:
             pieces = [tokenizer(t or "") for t in batch.context_trimmed]
             spans = [word_piece_span(p, (s or "").lower()) for p, s in zip(pieces, batch.sf, strict=True)]
+            reach = getattr(encoder, "reach", None)
+            if reach is not None:  # the span and its surroundings stand for the whole text
+                starts = [0 if sp is None else max(0, sp[0] - reach) for sp in spans]
+                pieces = [[] if sp is None else p[a : sp[1] + reach] for p, sp, a in zip(pieces, spans, starts, strict=True)]
+            else:
+                starts = [0] * len(spans)
             hidden = encoder(pieces) if pieces else []
-            vectors = [None if sp is None else h[-last_layers:, sp[0] : sp[1]].mean(axis=1).mean(axis=0).tolist() for h, sp in zip(hidden, spans, strict=True)]
+            vectors = [None if sp is None else h[-last_layers:, sp[0] - a : sp[1] - a].mean(axis=1).mean(axis=0).tolist() for h, sp, a in zip(hidden, spans, starts, strict=True)]
             yield pd.DataFrame({"row_idx": batch.row_idx, "form": batch.form, "sf": batch.sf, "span": [None if s is None else list(s) for s in spans], "embedding": vectors})
 
     rows = contexts.select(F.col(row_id).alias("row_idx"), "form", "sf", "context_trimmed")
@@ -77,6 +87,16 @@ def bundles(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.collect_list(F.struct(*columns)).alias("items"))
 
 
+def by_form(rows: DataFrame, own: bool | None = None) -> DataFrame:
+    """``rows`` dealt by short form and form, with is_own; only the short form's own rows, or only the others, if asked.
+
+    A form's vectors stay rows, as a form may have any number of them.
+    """
+    marked = rows.withColumn("is_own", F.col("sf").eqNullSafe(F.col("form")))
+    marked = marked if own is None else marked.where(F.col("is_own") == F.lit(own))
+    return marked.repartition("sf", "form")
+
+
 def organised(rows: DataFrame) -> DataFrame:
     """(sf, form, is_own, n): vectors of each short form by form, the short form's own apart."""
     return rows.groupBy("sf", "form").agg(F.count("*").alias("n")).withColumn("is_own", F.col("sf") == F.col("form"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.plans.ranges import running_sums
+
 
 def classification_report(rows: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
     """(label, precision, recall, f1, support): per class, then 'macro avg', 'weighted avg' and 'accuracy'.
@@ -29,25 +31,27 @@ def classification_report(rows: DataFrame, truth: str = "truth", predicted: str
     return classes.unionByName(macro).unionByName(weighted.withColumn("label", F.lit("weighted avg"))).unionByName(overall.withColumn("label", F.lit("accuracy")))
 
 
-def roc_curve(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """(threshold, tpr, fpr, youden): one row per distinct score; equal scores move together.
+def _by_score(rows: DataFrame, label: str, score: str) -> DataFrame:
+    """(threshold, pos, n, upto_pos, upto_n): counts of each distinct score, and of all scores from the highest down to it."""
+    per = rows.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).cast("long").alias("pos"), F.count("*").alias("n"))
+    return running_sums(per, ["pos", "n"], F.desc("threshold"))
 
-    Scores are first counted, so the ordered window runs over distinct scores only.
-    """
-    per = rows.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
-    upto, whole = Window.orderBy(F.desc("threshold")), Window.partitionBy()
-    neg = F.col("n") - F.col("pos")
-    tpr, fpr = (F.try_divide(F.sum(c).over(upto), F.sum(c).over(whole)) for c in (F.col("pos"), neg))
+
+def roc_curve(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """(threshold, tpr, fpr, youden): one row per distinct score; equal scores move together."""
+    per = _by_score(rows, label, score)
+    pos, n = per.agg(F.sum("pos"), F.sum("n")).first()
+    tpr = F.try_divide(F.col("upto_pos").cast("double"), F.lit(float(pos or 0)))
+    fpr = F.try_divide((F.col("upto_n") - F.col("upto_pos")).cast("double"), F.lit(float((n or 0) - (pos or 0))))
     return per.select("threshold", tpr.alias("tpr"), fpr.alias("fpr"), (tpr - fpr).alias("youden"))
 
 
 def roc_auc(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """(auc): by ranks over distinct scores, ties at their middle; null without both classes."""
-    per = rows.groupBy(F.col(score).alias("s")).agg(F.sum(label).cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
-    below = F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = per.withColumn("rank", F.coalesce(below, F.lit(0.0)) + (F.col("n") + 1) / 2)
-    pos, neg = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
-    return ranked.agg(F.try_divide(F.sum(F.col("rank") * F.col("pos")) - pos * (pos + 1) / 2, pos * neg).alias("auc"))
+    """(auc): pairs of a positive and a negative in order, equal scores for half; null without both classes."""
+    per = _by_score(rows, label, score)
+    neg = (F.col("n") - F.col("pos")).cast("double")
+    above = (F.col("upto_pos") - F.col("pos")).cast("double")
+    return per.agg(F.try_divide(F.sum(neg * (above + F.col("pos") / 2)), F.sum("pos") * F.sum(neg)).alias("auc"))
 
 
 def fold_average(rows: DataFrame, key: str, probability: str = "p", threshold: float = 0.5) -> DataFrame:

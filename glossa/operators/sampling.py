@@ -6,9 +6,13 @@ the same sample there.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.plans.ranges import numbered
+
 MAX_LONG, MAX_SHORT = 1_000, 50_000
 
 
@@ -45,12 +49,15 @@ def by_cluster(rows: DataFrame, group: str, unit: str, most: int, rank: Column)
     return small.unionByName(rows.join(chosen, [group, unit], "left_semi").select(*rows.columns))
 
 
-def downsample(contexts: DataFrame, max_long: int = MAX_LONG, max_short: int = MAX_SHORT) -> DataFrame:
+def downsample(
+    contexts: DataFrame, max_long: int = MAX_LONG, max_short: int = MAX_SHORT, long_rank: Column | None = None, short_rank: Column | None = None
+) -> DataFrame:
     """Long-form contexts: at most ``max_long`` of a form; short-form contexts: whole documents up to ``max_short`` rows."""
     is_short = F.col("form") == F.col("sf")
-    long_rows = per_group(contexts.where(~is_short), "form", max_long, hashed("doc_id", "context", seed=1992), "doc_id", "context")
-    short_rows = by_cluster(contexts.where(is_short), "form", "doc_id", max_short, hashed("doc_id", seed=1992))
-    return long_rows.unionByName(short_rows)
+    long_rank = hashed("doc_id", "context", seed=1992) if long_rank is None else long_rank
+    long_rows = per_group(contexts.where(~is_short), "form", max_long, long_rank, "doc_id", "context")
+    short_rank = hashed("doc_id", seed=1992) if short_rank is None else short_rank
+    return long_rows.unionByName(by_cluster(contexts.where(is_short), "form", "doc_id", max_short, short_rank))
 
 
 def row_pairs(rows: DataFrame, group: str, n_groups: int, rank: Column, group_rank: Column, columns: tuple[str, ...], tie: str) -> DataFrame:
@@ -63,10 +70,10 @@ def row_pairs(rows: DataFrame, group: str, n_groups: int, rank: Column, group_ra
 
 
 def train_labels(rows: DataFrame, rank: Column, *ties: str) -> DataFrame:
-    """Adds is_train: 0 for the first third by rank, 1 for the rest. For annotation sets (hundreds of rows)."""
-    order = Window.orderBy(rank, *ties)
-    numbered = rows.withColumns({"_at": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy())})
-    return numbered.withColumn("is_train", (F.col("_at") > F.floor(F.col("_n") / 3)).cast("int")).drop("_at", "_n")
+    """Adds is_train: 0 for the first third by rank, 1 for the rest. Ranges are counted, no task sorts all rows."""
+    placed = numbered(rows.withColumn("_rank", rank), "_rank", *ties)
+    third = rows.count() // 3
+    return placed.withColumn("is_train", (F.col("row_idx") >= third).cast("int")).drop("_rank", "row_idx")
 
 
 def split(rows: DataFrame, rank: Column, share: float = 0.8, buckets: int = 1000003) -> DataFrame:
@@ -74,9 +81,25 @@ def split(rows: DataFrame, rank: Column, share: float = 0.8, buckets: int = 1000
     return rows.withColumn("is_train", (F.pmod(rank, F.lit(buckets)) < int(share * buckets)).cast("int"))
 
 
-def stratified_folds(rows: DataFrame, label: str, folds: int, test_share: float, key: str) -> DataFrame:
-    """(fold, is_test, columns..): every row in every fold; in each, the same share of each class is test."""
+def stratified_folds(
+    rows: DataFrame, label: str, folds: int, test_share: float, key: str, rank: Callable[[Column], Column] | None = None, buckets: int = 4096, most: int = 1000003
+) -> DataFrame:
+    """(fold, is_test, columns..): every row in every fold; in each, the same share of each class is test.
+
+    Those with the lowest ranks (from 0 up to ``most``, by default of a hash of fold and key) are. Ranks are counted by
+    bucket; only the bucket in which the share ends is ordered, so no task orders a class.
+    """
+    rank = rank or (lambda fold: F.pmod(F.xxhash64(fold, F.col(key)), F.lit(most)))
     spread = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    order = Window.partitionBy("fold", label).orderBy(F.xxhash64("fold", key), key)
-    size = F.count("*").over(Window.partitionBy("fold", label))
-    return spread.withColumn("is_test", (F.row_number().over(order) <= F.round(size * test_share)).cast("int"))
+    spread = spread.withColumn("_rank", rank(F.col("fold"))).withColumn("_bucket", F.floor(F.col("_rank") * buckets / most))
+    sizes = spread.groupBy("fold", label, "_bucket").agg(F.count("*").alias("_n"))
+    per = Window.partitionBy("fold", label)
+    upto = F.sum("_n").over(per.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    wanted = F.round(F.sum("_n").over(per) * test_share)
+    told = sizes.select("fold", label, "_bucket", (wanted - (upto - F.col("_n"))).alias("_left"), "_n")
+    same = spread["fold"].eqNullSafe(told["fold"]) & spread[label].eqNullSafe(told[label]) & (spread["_bucket"] == told["_bucket"])
+    met = spread.join(told, same).select(spread["*"], "_left", "_n")
+    sure = met.where("_left <= 0 or _left >= _n").withColumn("is_test", (F.col("_left") > 0).cast("int"))
+    order = F.row_number().over(Window.partitionBy("fold", label).orderBy("_rank", key))
+    edge = met.where("_left > 0 and _left < _n").withColumn("is_test", (order <= F.col("_left")).cast("int"))
+    return sure.unionByName(edge).drop("_rank", "_bucket", "_left", "_n")

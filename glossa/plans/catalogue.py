@@ -8,7 +8,6 @@ for the corpus, ``embeddings`` for context vectors (long form: label, short form
 from __future__ import annotations
 
 import string
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,24 +17,12 @@ from glossa.operators import (
     abbreviations, cluster, collect, contexts, dictionary, disambiguate, embedding, inclusion, listings, metrics, sampling,
 )
 
-from glossa.sources.readers import lookup_source, synthetic_vectors
+from glossa.plans.ranges import numbered
+from glossa.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from glossa.sources.readers import evaluation_rows, lookup_source, synthetic_documents, synthetic_vectors
+from glossa.sources import sinks
 from glossa.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 #: (form, phrase variants by bars)
 SHORT_TERMS = ("The", "And", "Of", "In", "That")
 LONG_TERMS = ("of the", "the and", "in the|at the", "thth of")
@@ -58,8 +45,8 @@ def terms(spark: SparkSession, forms: tuple[str, ...]) -> DataFrame:
     return contexts.variants(spark.sql(f"SELECT * FROM VALUES {values} AS t(form)"))
 
 
-def english(spark: SparkSession, sf: str) -> DataFrame:
-    return contexts.tokenise(table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "text"))
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return contexts.tokenise(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 # -- text functions and scans ----------------------------------------------------------------------------------------
@@ -92,7 +79,7 @@ def year_scan(spark, sf):
 
 @query(rf"""SELECT doc_id, row_number() OVER (ORDER BY lang, doc_id) - 1 AS row_idx FROM documents""")
 def row_numbers(spark, sf):
-    return contexts.numbered(table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id").select("doc_id", "row_idx")
+    return numbered(table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id").select("doc_id", "row_idx")
 
 
 @query(r"""SELECT doc_id, n_ascii, n_words, first_three, squeezed FROM (SELECT doc_id,
@@ -247,7 +234,7 @@ def term_lookup(spark, sf):
     return lookup_source(wanted, rows.where("size > 40").select("sf", "lf").distinct())
 
 
-_VOCAB = f"""WITH p AS (SELECT {SF_SQL} AS sf, p_name || ' ' || p_type AS lf, p_partkey AS pos, CASE WHEN p_type IN ('PROMO', 'SMALL') THEN 0 ELSE p_size % 7 + 1 END AS support FROM part WHERE p_size > 25),
+_VOCAB = f"""WITH p AS (SELECT {SF_SQL} AS sf, p_name || ' ' || p_type AS lf, p_partkey AS pos, CASE WHEN p_type IN ('PROMO', 'SMALL') THEN 0 ELSE p_size % 7 + 1 END AS support FROM part),
  f AS (SELECT sf, lf, min(pos) AS first_at, max(support) AS support FROM p WHERE support > 0 GROUP BY sf, lf),
  k AS (SELECT sf, lf, CAST(row_number() OVER (PARTITION BY sf ORDER BY first_at, lf) - 1 AS INTEGER) AS lf_id, CAST(support AS BIGINT) AS support FROM f),
  z AS (SELECT sf, '$' || coalesce(string_agg(DISTINCT lf, '$' ORDER BY lf) FILTER (WHERE support = 0), '') AS lf,
@@ -256,7 +243,7 @@ _VOCAB = f"""WITH p AS (SELECT {SF_SQL} AS sf, p_name || ' ' || p_type AS lf, p_
 
 
 def _vocabulary(spark, sf):
-    rows = expansions(spark, sf).where("size > 25")
+    rows = expansions(spark, sf)
     support = F.when(F.col("cui").isin("PROMO", "SMALL"), 0).otherwise(F.col("size") % 7 + 1)
     return dictionary.vocabulary(rows.select("sf", F.concat_ws(" ", "lf", "cui").alias("lf"), F.col("id").alias("pos"), support.alias("support")), "pos")
 
@@ -275,6 +262,32 @@ def vocab_lookup(spark, sf):
     return dictionary.token_ids(tokens, _vocabulary(spark, sf)).select("id", "lf_id", "support")
 
 
+@query(f"""SELECT sf, lf, arg_max(source, id) AS source, arg_max(cui, id) AS cui FROM (SELECT p_partkey AS id, {SF_SQL} AS sf, p_name AS lf, p_brand AS source, p_type AS cui FROM part) t GROUP BY sf, lf""")
+def last_attributes(spark, sf):
+    return dictionary.last_attributes(expansions(spark, sf), ["source", "cui"], "id")
+
+
+@query(f"""SELECT sf, count(*) AS n, string_agg(lf, '|' ORDER BY lf) AS lfs FROM (SELECT {SF_SQL} AS sf, p_name AS lf FROM part) t GROUP BY sf""")
+def long_form_lists(spark, sf):
+    got = abbreviations.by_short_form(expansions(spark, sf).select("sf", "lf"))
+    return got.select("sf", F.size("lfs").cast("long").alias("n"), F.array_join("lfs", "|").alias("lfs"))
+
+
+def _tagger(phrases: list[str]) -> list[str | None]:
+    """A service that knows words of five letters and fails on any list with 'green' in it."""
+    if any("green" in p for p in phrases):
+        raise RuntimeError("no answer")
+    return [next((w.upper() for w in p.split() if len(w) == 5), None) for p in phrases]
+
+
+@query("""SELECT p_partkey AS idx, CASE WHEN contains(p_name, 'green') THEN CASE WHEN contains(p_type, 'green') THEN 'error' ELSE upper(list_filter(string_split(p_type, ' '), lambda w: length(w) = 5)[1]) END
+ ELSE upper(list_filter(string_split(p_name, ' '), lambda w: length(w) = 5)[1]) END AS cui FROM part""")
+def tag_in_batches(spark, sf):
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("lf_base"), F.col("p_type").alias("lf"))
+    done = dictionary.tag_in_batches(rows.where("idx % 2 = 0"), _tagger, 1)
+    return done.union(dictionary.tag_in_batches(dictionary.untagged(rows, done), _tagger, 1))
+
+
 # -- clusters --------------------------------------------------------------------------------------------------------
 
 _NAMES = """WITH RECURSIVE n AS (SELECT DISTINCT upper(left(p_name, 1)) AS sf, p_name AS id, string_split(p_name, ' ') AS w FROM part),
@@ -311,14 +324,24 @@ def lf_clusters(spark, sf):
     return cluster.cluster(_names(spark, sf), 0.3)
 
 
-@query(f"""WITH RECURSIVE p AS (SELECT p_partkey AS id, {SF_SQL} AS sf, p_name AS lf, p_brand AS source, p_brand || '|' || p_size AS cui FROM part WHERE p_partkey < 300),
+@query(
+    _NAMES
+    + """, e AS (SELECT a, b FROM s WHERE similarity > 0.3 AND sf IN ('B', 'R') UNION SELECT b, a FROM s WHERE similarity > 0.3 AND sf IN ('B', 'R')), r(a, b) AS (SELECT id, id FROM n WHERE sf IN ('B', 'R') UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT a AS id, min(b) AS cluster_id FROM r GROUP BY a"""
+)
+def selected_clusters(spark, sf):
+    """Clusters of some short forms, which is what this operator's argument selects."""
+    return cluster.cluster(_names(spark, sf), 0.3, only=("B", "R"))
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT p_partkey AS id, {SF_SQL} AS sf, p_name AS lf, p_brand AS source, p_brand || '|' || p_size AS cui FROM part),
  c AS (SELECT id, sf, unnest(string_split(cui, '|')) AS x FROM p),
  f AS (SELECT sf, x, min(id) AS m FROM c GROUP BY sf, x), q AS (SELECT sf, lf, min(id) AS m FROM p GROUP BY sf, lf),
  e AS (SELECT id AS a, m AS b FROM c JOIN f USING (sf, x) UNION SELECT p.id, q.m FROM p JOIN q USING (sf, lf)),
  g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT id, id FROM p UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a), k AS (SELECT a AS id, min(b) AS cluster_id FROM r GROUP BY a)
 SELECT sf, cluster_id, string_agg(DISTINCT lf, '|' ORDER BY lf) AS lf, string_agg(DISTINCT source, '|' ORDER BY source) AS source FROM p JOIN k USING (id) GROUP BY sf, cluster_id""")
 def merged_clusters(spark, sf):
-    rows = expansions(spark, sf).where("id < 300").withColumns({"cui": F.concat_ws("|", "source", "size"), "row_id": F.col("lf")})
+    rows = expansions(spark, sf).withColumns({"cui": F.concat_ws("|", "source", "size"), "row_id": F.col("lf")})
     rows = rows.withColumn("lf_own", F.col("lf")).withColumn("lf", F.concat_ws(" ", F.lit("x"), F.col("id").cast("string"))).select("id", "sf", "lf", "cui", "source", "row_id", "lf_own")
     clusters = cluster.cluster(rows, 0.66)
     return cluster.merged_clusters(rows.withColumn("lf", F.col("lf_own")), clusters, ("lf", "source"))
@@ -331,7 +354,7 @@ def _values(forms: tuple[str, ...]) -> str:
     return ", ".join(f"('{f}', '{p}')" for f in forms for p in f.split("|"))
 
 
-def _found(forms: tuple[str, ...], length: int, ignore_case: bool = False, where: str = "lang = 'en'") -> str:
+def _found(forms: tuple[str, ...], length: int, ignore_case: bool = False, where: str = "true") -> str:
     """CTEs d (documents' words) and o (occurrences: doc_id, w, pos, form)."""
     gram = " || ' ' || ".join(f"w[pos + {i + 1}]" for i in range(length))
     gram = f"lower({gram})" if ignore_case else gram
@@ -346,34 +369,40 @@ def _window(size: int, left: str = "least(pos, {n})") -> str:
 
 @query(_found(SHORT_TERMS, 1) + f"SELECT form, doc_id, CAST(pos AS INTEGER) AS pos, {_window(25)} AS context FROM o")
 def short_form_contexts(spark, sf):
-    return contexts.word_contexts(english(spark, sf), terms(spark, SHORT_TERMS), [1]).drop("length")
+    return contexts.word_contexts(corpus(spark, sf), terms(spark, SHORT_TERMS), [1]).drop("length")
 
 
 @query(_found(LONG_TERMS, 2, True) + f"SELECT form, doc_id, CAST(pos AS INTEGER) AS pos, {_window(25)} AS context FROM o")
 def long_form_contexts(spark, sf):
-    found = contexts.word_contexts(english(spark, sf), terms(spark, LONG_TERMS), [2], ignore_case=True)
+    found = contexts.word_contexts(corpus(spark, sf), terms(spark, LONG_TERMS), [2], ignore_case=True)
     return contexts.longest_only(found).drop("length")
 
 
+@query(_found(SHORT_TERMS, 1) + f"SELECT form, doc_id, CAST(pos AS INTEGER) AS pos, {_window(25)} AS context FROM o")
+def joined_term_contexts(spark, sf):
+    """Short-form contexts by the path for dictionaries that are too large for a projection."""
+    return contexts.word_contexts(corpus(spark, sf), terms(spark, SHORT_TERMS), [1], most_literals=0).drop("length")
+
+
 _COMPAT = "CASE WHEN pos < {n} THEN least(pos, {n} - pos) ELSE {n} END"
 
 
 @query(_found(SHORT_TERMS, 1) + f"SELECT form, doc_id, CAST(pos AS INTEGER) AS pos, {_window(25, _COMPAT)} AS context FROM o")
 def contexts_compat_left_window(spark, sf):
-    return contexts.word_contexts(english(spark, sf), terms(spark, SHORT_TERMS), [1], left_mode="compat").drop("length")
+    return contexts.word_contexts(corpus(spark, sf), terms(spark, SHORT_TERMS), [1], left_mode="compat").drop("length")
 
 
 @query(_found(LONG_TERMS, 2) + " SELECT DISTINCT form, doc_id, md5(text) AS context FROM o")
 def document_contexts(spark, sf):
-    got = contexts.document_contexts(english(spark, sf), terms(spark, LONG_TERMS), [2])
+    got = contexts.document_contexts(corpus(spark, sf), terms(spark, LONG_TERMS), [2])
     return got.withColumn("context", F.md5("context"))
 
 
-@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE lang = 'en'),
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
  d AS (SELECT doc_id, line, {WORDS} AS w FROM l WHERE trim(text) <> ''), x AS (SELECT *, unnest(range(len(w))) AS pos FROM d), terms(form, phrase) AS (VALUES {_values(SHORT_TERMS)})
 SELECT form, doc_id, CAST(line AS INTEGER) AS line, CAST(pos AS INTEGER) AS pos, array_to_string(list_concat(w[1:pos], ['TARGETWORD'], w[pos + 2:]), ' ') AS context FROM x JOIN terms ON w[pos + 1] = phrase""")
 def paragraph_contexts(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'en'")
+    docs = table(spark, sf, "documents")
     return contexts.line_contexts(docs, terms(spark, SHORT_TERMS), [1])
 
 
@@ -384,21 +413,23 @@ def _dictionary(spark):
     return spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, DICTIONARY)) + " AS t(sf, lf, pos)")
 
 
-def _contexts_of(spark, sf, source):
-    docs = contexts.tokenise(table(spark, sf, "documents").where(F.col("source") == source).select("doc_id", "text"))
+def _contexts_of(spark, sf, first):
+    """Contexts of one source, or of all the others."""
+    own = F.coalesce(F.col("source") == "src1", F.lit(False))
+    docs = contexts.tokenise(table(spark, sf, "documents").where(own if first else ~own).select("doc_id", "text"))
     found = contexts.word_contexts(docs, terms(spark, SHORT_TERMS), [1], 5)
     return found.select("form", F.col("doc_id").cast("string").alias("doc_id"), "context")
 
 
 def _collected(spark, sf):
-    return collect.collect({s: _contexts_of(spark, sf, s) for s in ("src1", "src2")}, _dictionary(spark))
+    return collect.collect({"first": _contexts_of(spark, sf, True), "rest": _contexts_of(spark, sf, False)}, _dictionary(spark))
 
 
 _COLLECT = (
-    _found(SHORT_TERMS, 1, where="source IN ('src1', 'src2')")
+    _found(SHORT_TERMS, 1)
     + f""", dict(sf, lf, pos) AS (VALUES {", ".join(map(str, DICTIONARY))}), own AS (SELECT DISTINCT sf AS form, sf FROM dict),
  idx AS (SELECT * FROM own UNION ALL SELECT lf, arg_min(sf, pos) FROM dict WHERE lf NOT IN (SELECT form FROM own) GROUP BY lf),
- col AS (SELECT DISTINCT form, CAST(doc_id AS VARCHAR) AS doc_id, {_window(5)} AS context, source FROM o) """
+ col AS (SELECT DISTINCT form, CAST(doc_id AS VARCHAR) AS doc_id, {_window(5)} AS context, CASE WHEN source = 'src1' THEN 'first' ELSE 'rest' END AS source FROM o) """
 )
 
 
@@ -409,7 +440,7 @@ def collect_contexts(spark, sf):
 
 @query(_COLLECT + "SELECT DISTINCT form FROM col WHERE form NOT IN (SELECT form FROM idx)")
 def unknown_forms(spark, sf):
-    rows = _contexts_of(spark, sf, "src1").union(_contexts_of(spark, sf, "src2"))
+    rows = _contexts_of(spark, sf, True).union(_contexts_of(spark, sf, False))
     return collect.unknown_forms(rows, _dictionary(spark))
 
 
@@ -446,10 +477,23 @@ def section_lines(spark, sf):
     return listings.flat_section_lines(pages, ("th",))
 
 
+@query("""WITH n AS (SELECT n_regionkey AS r, n_nationkey AS k, n_name AS name FROM nation),
+ w AS (SELECT r, coalesce(max(k) FILTER (WHERE k % 4 = 2), max(k) FILTER (WHERE k % 4 = 0) + 100) AS s FROM n GROUP BY r)
+SELECT CAST(w.r AS VARCHAR) AS page, unnest([lower(name), 'line of ' || s]) AS line FROM w JOIN n ON n.k = s % 100""")
+def section_tree(spark, sf):
+    """Pages are regions; every second nation is a section on medicine, and every fourth of those has one part."""
+    nation = table(spark, sf, "nation")
+    k, page = F.col("n_nationkey"), F.col("n_regionkey").cast("string").alias("page")
+    body = lambda at: F.concat(F.lower("n_name"), F.lit("\nline of "), at.cast("string")).alias("text")
+    top = nation.select(page, k.alias("ord"), F.lit(None).cast("int").alias("parent"), F.when(k % 2 == 0, "Medical terms").otherwise("Places").alias("title"), body(k))
+    parts = nation.where(k % 4 == 0).select(page, (k + 100).alias("ord"), k.alias("parent"), F.lit("In science").alias("title"), body(k + 100))
+    return listings.section_lines(top.union(parts))
+
+
 @query()
 def pattern_contexts(spark, sf):
     wanted = [("The", contexts.TermType.SHORT_FORM), ("thing|of the", contexts.TermType.LONG_FORM)]
-    docs = table(spark, sf, "documents").where("lang = 'en'")
+    docs = table(spark, sf, "documents")
     return contexts.pattern_contexts(docs, wanted, contexts.ContextType.WORD, 5, inflect=True)
 
 
@@ -484,10 +528,10 @@ def sample_pairs(spark, sf):
     return sampling.row_pairs(expansions(spark, sf), "sf", 30, sampling.modular("id"), F.col("sf"), ("lf", "source"), "id")
 
 
-@query(f"""WITH s AS (SELECT p_partkey, {KEY_SQL.format("p_partkey")} AS k FROM part WHERE p_partkey < 300), r AS (SELECT *, row_number() OVER (ORDER BY k, p_partkey) AS r, count(*) OVER () AS n FROM s)
+@query(f"""WITH s AS (SELECT p_partkey, {KEY_SQL.format("p_partkey")} AS k FROM part), r AS (SELECT *, row_number() OVER (ORDER BY k, p_partkey) AS r, count(*) OVER () AS n FROM s)
 SELECT p_partkey, CAST(r > floor(n / 3) AS INTEGER) AS is_train FROM r""")
 def train_labels(spark, sf):
-    rows = table(spark, sf, "part").where("p_partkey < 300").select("p_partkey")
+    rows = table(spark, sf, "part").select("p_partkey")
     return sampling.train_labels(rows, sampling.modular("p_partkey"), "p_partkey")
 
 
@@ -497,11 +541,29 @@ def train_split(spark, sf):
     return rows.groupBy("is_train").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH f AS (SELECT doc_id, quality, unnest(range(9)) AS fold FROM labels), k AS (SELECT *, ((doc_id * 9 + fold) * 2654435761) % 1000003 AS k FROM f),
+ r AS (SELECT *, row_number() OVER (PARTITION BY fold, quality ORDER BY k, doc_id) AS r, count(*) OVER (PARTITION BY fold, quality) AS n FROM k)
+SELECT CAST(fold AS INTEGER) AS fold, doc_id, quality, CAST(r <= round(n * 0.2) AS INTEGER) AS is_test FROM r""")
 def stratified_folds(spark, sf):
     rows = table(spark, sf, "labels").select("doc_id", "quality")
-    got = sampling.stratified_folds(rows, "quality", 9, 0.2, "doc_id")
-    return got.groupBy("fold", "quality").agg(F.sum("is_test").alias("tests"), F.count("*").alias("n"))
+    rank = lambda fold: sampling.modular(F.col("doc_id") * 9 + fold)
+    return sampling.stratified_folds(rows, "quality", 9, 0.2, "doc_id", rank)
+
+
+_LARGE, _SMALL = 700, 40
+
+
+@query(f"""WITH l AS (SELECT event_type AS form, 'S' AS sf, event_id AS doc_id, event_id AS row_id, row_number() OVER (PARTITION BY event_type ORDER BY {KEY_SQL.format("event_id")}, event_id) AS r FROM events),
+ n AS (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS u FROM events GROUP BY 1),
+ d AS (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY {KEY_SQL.format("user_id")}, user_id) AS r FROM (SELECT DISTINCT event_type, user_id FROM events) t)
+SELECT form, sf, doc_id, row_id FROM l WHERE r <= {_SMALL} UNION ALL
+SELECT event_type, event_type, user_id, event_id FROM events JOIN n USING (event_type) JOIN d USING (event_type, user_id) WHERE n <= {_LARGE} OR r <= floor({_LARGE}.0 / n * u)""")
+def downsample(spark, sf):
+    rows = table(spark, sf, "events")
+    long_rows = rows.select(F.col("event_type").alias("form"), F.lit("S").alias("sf"), F.col("event_id").alias("doc_id"), F.col("event_id").alias("row_id"))
+    short_rows = rows.select(F.col("event_type").alias("form"), F.col("event_type").alias("sf"), F.col("user_id").alias("doc_id"), F.col("event_id").alias("row_id"))
+    both = long_rows.union(short_rows).withColumn("context", F.col("row_id").cast("string"))
+    return sampling.downsample(both, _SMALL, _LARGE, sampling.modular("doc_id"), sampling.modular("doc_id")).drop("context")
 
 
 # -- vectors and disambiguation --------------------------------------------------------------------------------------
@@ -614,17 +676,27 @@ def gibbs_disambiguate(spark, sf):
 
 @query()
 def topic_gibbs(spark, sf):
-    sample = sampling.per_group(_vectors(spark, sf), "lf", 20, sampling.modular("id"), "id")
-    frame = sample.withColumn("doc", F.col("id") % 20).select("doc", "sf", "embedding").orderBy("doc", "sf", "id").toPandas()  # 20 a long form
-    vocab = {s: [f"L{i}" for i in range(10) if i % 3 == int(s)] for s in sorted(set(frame.sf))}
-    got = disambiguate.topic_gibbs(frame, vocab, topics=5, sweeps=20)
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(got["log_joint"])], "sweep int, log_joint double")
+    rows = _vectors(spark, sf).withColumn("doc", F.col("id") % 20)
+    named = sorted((r.sf, r.lf) for r in rows.select("sf", "lf").distinct().collect())
+    vocab = {s: [lf for t, lf in named if t == s] for s in {s for s, _ in named}}
+    _, joints = disambiguate.topic_gibbs(rows, vocab, topics=5, sweeps=5)
+    return spark.createDataFrame(list(enumerate(joints)), "sweep int, log_joint double")
 
 
-@query()
+_INITIAL = """WITH e AS (SELECT CAST(label % 3 AS VARCHAR) AS sf, 'L' || label AS lf, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ v(sf, lf, support) AS (VALUES ('0', 'L0', 3), ('0', 'L3', 1), ('1', 'L1', 5), ('1', 'L4', 0), ('0', 'L999', 0)),
+ c AS (SELECT sf, lf, unnest(range(len(x))) AS pos, unnest(x) AS y FROM e), m AS (SELECT sf, lf, round(sum(a), 6) AS total FROM (SELECT sf, lf, pos, avg(y) AS a FROM c GROUP BY 1, 2, 3) z GROUP BY 1, 2)
+"""
+
+
+@query(_INITIAL + "SELECT sf, lf, round((support + 1.0) / sum(support + 1.0) OVER (PARTITION BY sf), 9) AS beta, total FROM v LEFT JOIN m USING (sf, lf)")
 def initial_parameters(spark, sf):
-    vocab = spark.sql("SELECT * FROM VALUES ('0', 'L0', 3), ('0', 'L3', 1), ('0', '$', 0) AS t(sf, lf, support)")
-    return disambiguate.initial_parameters(vocab, _vectors(spark, sf), 64)
+    """Entries without contexts start from noise, whose sum isn't given."""
+    vocab = spark.sql("SELECT * FROM VALUES ('0', 'L0', 3), ('0', 'L3', 1), ('1', 'L1', 5), ('1', 'L4', 0), ('0', 'L999', 0) AS t(sf, lf, support)")
+    got = disambiguate.initial_parameters(vocab, _vectors(spark, sf), 64)
+    known = _vectors(spark, sf).select("sf", "lf").distinct().withColumn("known", F.lit(True))
+    total = F.when(F.col("known"), F.round(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x), 6))
+    return got.join(known, ["sf", "lf"], "left").select("sf", "lf", F.round("beta", 9).alias("beta"), total.alias("total"))
 
 
 @query()
@@ -636,10 +708,41 @@ def pca_reduce(spark, sf):
 @query()
 def embed_contexts(spark, sf):
     rows = context_trim(spark, sf).withColumn("sf", F.upper("form"))
-    rows = contexts.numbered(rows, "doc_id", "pos", "form")
+    rows = numbered(rows, "doc_id", "pos", "form")
     return embedding.embed(rows)
 
 
+_FORMS = "WITH e AS (SELECT vec_id AS id, CAST(label % 3 AS VARCHAR) AS sf, CASE WHEN vec_id % 4 = 0 THEN CAST(label % 3 AS VARCHAR) ELSE 'L' || label END AS form, embedding[1] AS first FROM embeddings) "
+
+
+def _form_vectors(spark, sf):
+    own = F.when(F.col("id") % 4 == 0, F.col("sf")).otherwise(F.col("lf"))
+    return _vectors(spark, sf).withColumn("form", own).drop("lf")
+
+
+@query(_FORMS + "SELECT id, sf, form, sf = form AS is_own, first FROM e")
+def vectors_by_form(spark, sf):
+    got = embedding.by_form(_form_vectors(spark, sf))
+    return got.select("id", "sf", "form", "is_own", F.col("embedding")[0].cast("float").alias("first"))
+
+
+@query(_FORMS + "SELECT id, sf, form FROM e WHERE sf <> form")
+def vectors_of_long_forms(spark, sf):
+    return embedding.by_form(_form_vectors(spark, sf), own=False).select("id", "sf", "form")
+
+
+@query(_FORMS + "SELECT form, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM e GROUP BY form")
+def vector_bundles(spark, sf):
+    got = embedding.bundles(_form_vectors(spark, sf), "form", ["id"])
+    return got.select("form", "n", F.array_join(F.transform(F.array_sort("items"), lambda x: x["id"].cast("string")), ",").alias("ids"))
+
+
+@query("SELECT vec_id AS id, CAST(label % 3 AS VARCHAR) AS sf, 'L' || label AS form, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings")
+def scatter_points(spark, sf):
+    rows = _vectors(spark, sf).withColumnsRenamed({"lf": "form", "embedding": "pc"})
+    return sinks.scatter(rows, "id", "sf").join(sinks.scatter(rows, "id", "form").select("id", "form"), "id")
+
+
 @query("SELECT CAST(label % 3 AS VARCHAR) AS sf, 'L' || label AS form, false AS is_own, count(*) AS n FROM embeddings GROUP BY label")
 def organised_vectors(spark, sf):
     return embedding.organised(_vectors(spark, sf).withColumnRenamed("lf", "form")).select("sf", "form", "is_own", "n")
@@ -650,6 +753,17 @@ def synthetic_data(spark, sf):
     return synthetic_vectors(spark, ["AB", "CD", "EF"], 100, 10, 1.0, 7)
 
 
+@query("""WITH d AS (SELECT unnest(range(200)) AS doc_id), w AS (SELECT doc_id, unnest(range(12)) AS i FROM d)
+SELECT doc_id, string_agg(['aorta', 'blood', 'cell', 'drug', 'ear'][CAST((((doc_id * 12 + i + 3) * 2654435761) % 1000003) % 5 + 1 AS INTEGER)], ' ' ORDER BY i) AS text FROM w GROUP BY doc_id""")
+def synthetic_texts(spark, sf):
+    return synthetic_documents(spark, ["aorta", "blood", "cell", "drug", "ear"], 200, 12, 3)
+
+
+@query("SELECT unnest(range(10)) AS id, 'AB' AS sf, 'above' AS lf, 8 AS width")
+def evaluation_data(spark, sf):
+    return evaluation_rows(spark, "AB", "above", 8).select("id", "sf", "lf", F.size("embedding").alias("width"))
+
+
 # -- metrics and models ----------------------------------------------------------------------------------------------
 
 
@@ -705,6 +819,13 @@ def label_counts(spark, sf):
     return metrics.label_counts(_scored(spark, sf), "label", "toxic")
 
 
+@query(f"""WITH p AS (SELECT p_partkey AS id, p_type AS t, left(p_type, 1) AS g FROM part) SELECT id, string_agg(DISTINCT x, ',' ORDER BY x) AS names FROM (SELECT id, unnest([t, g]) AS x FROM p) z GROUP BY id""")
+def inclusion_names(spark, sf):
+    """The semantic names that become one-hot features."""
+    rows = expansions(spark, sf).select("id", "sf", "lf", F.col("lf").alias("lf_base"), "source", F.col("cui").alias("semtypes"), F.substring("cui", 1, 1).alias("semgroups"))
+    return inclusion.featurise(rows).select("id", F.array_join(F.array_sort("names"), ",").alias("names"))
+
+
 @query()
 def inclusion_forest(spark, sf):
     rows = expansions(spark, sf).select(
@@ -715,12 +836,24 @@ def inclusion_forest(spark, sf):
     return inclusion.predict(model, rows.where("is_train = 0")).select("id", "p", "is_valid", "label")
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name AS x FROM part WHERE p_name < 'd') SELECT a.x AS lf_1, b.x AS lf_2, round(len(list_intersect(string_split(a.x, ' '), string_split(b.x, ' '))) / len(list_distinct(list_concat(string_split(a.x, ' '), string_split(b.x, ' ')))), 9) AS similarity
-FROM n a JOIN n b ON left(a.x, 1) = left(b.x, 1) AND a.x < b.x""")
+_MERGE = _NAMES + ", m AS (SELECT a AS lf_1, b AS lf_2, similarity FROM s WHERE similarity > 0) "
+
+
+def _merge_scores(spark, sf):
+    pairs = cluster.similar_pairs(_names(spark, sf), 0.0)
+    return inclusion.merge_scores(pairs.select(F.col("a").alias("lf_1"), F.col("b").alias("lf_2")))
+
+
+@query(_MERGE + "SELECT lf_1, lf_2, round(similarity, 9) AS similarity FROM m")
 def merge_scores(spark, sf):
-    names = table(spark, sf, "part").where("p_name < 'd'").select(F.col("p_name").alias("x"), F.substring("p_name", 1, 1).alias("k")).distinct()
-    pairs = names.select("k", F.col("x").alias("lf_1")).join(names.select("k", F.col("x").alias("lf_2")), "k").where("lf_1 < lf_2")
-    return inclusion.merge_scores(pairs).select("lf_1", "lf_2", F.round("similarity", 9).alias("similarity"))
+    return _merge_scores(spark, sf).select("lf_1", "lf_2", F.round("similarity", 9).alias("similarity"))
+
+
+@query(_MERGE + """, y AS (SELECT similarity, CAST(length(lf_1) = length(lf_2) AS INTEGER) AS label FROM m)
+SELECT round(sum(CASE WHEN p.similarity > n.similarity THEN 1.0 WHEN p.similarity = n.similarity THEN 0.5 ELSE 0 END) / count(*), 9) AS auc FROM y p, y n WHERE p.label = 1 AND n.label = 0""")
+def merge_score_auc(spark, sf):
+    rows = _merge_scores(spark, sf).select(F.col("similarity").alias("score"), (F.length("lf_1") == F.length("lf_2")).cast("int").alias("label"))
+    return metrics.roc_auc(rows).select(F.round("auc", 9).alias("auc"))
 
 
 @query()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from glossa.functions.text import standardize_upper
+from glossa.operators import abbreviations
 
 NULL_WORDS = ("", "NA", "N/A", "null", "nan")
 
@@ -111,6 +112,13 @@ def by_key(spark: SparkSession, path: str, key: str, wanted: list[str]) -> DataF
     return spark.read.parquet(path).where(F.col(key).isin(wanted))
 
 
+def parameters(spark: SparkSession, path: str, iteration: int | None = None) -> DataFrame:
+    """Saved model parameters of one iteration, by default the last one."""
+    rows = spark.read.parquet(path)
+    wanted = rows.agg(F.max("iter")).first()[0] if iteration is None else iteration
+    return rows.where(F.col("iter") == F.lit(wanted))
+
+
 def text_directory(spark: SparkSession, path: str) -> DataFrame:
     """(file, text): each *.txt whole."""
     return spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(
@@ -126,6 +134,16 @@ def merged_json_shards(spark: SparkSession, path: str) -> DataFrame:
     return shards.groupBy("key").agg(F.max_by("items", "file").alias("items"))
 
 
+def merged_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(sf, lf) of a term service's saved answers: JSON shards, the last one of a key wins."""
+    return merged_json_shards(spark, path).select(F.col("key").alias("sf"), F.explode("items").alias("lf"))
+
+
+def abstract_pairs(abstracts: DataFrame) -> DataFrame:
+    """(sf, lf) that abstracts (id, abstract) define."""
+    return abbreviations.extract(abstracts, "id", "abstract").select("sf", "lf")
+
+
 def xml_abstracts(spark: SparkSession, path: str, row_tag: str = "PubmedArticle") -> DataFrame:
     """(id, abstract): article abstracts of (gzipped) XML; parts of a structured abstract are joined by a space."""
     schema = (
@@ -143,7 +161,9 @@ def lookup_source(terms: DataFrame, table: DataFrame, term: str = "sf") -> DataF
 
 
 #: Source name to a function of (spark, path) that gives (sf, lf).
-SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"json": json_map_of_lists}
+SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "json": json_map_of_lists, "pubmed": lambda spark, path: abstract_pairs(xml_abstracts(spark, path)), "umls": merged_pairs,
+}
 
 
 def from_sources(spark: SparkSession, paths: Mapping[str, tuple[str, str]]) -> DataFrame:
@@ -163,3 +183,17 @@ def synthetic_vectors(spark: SparkSession, keys: list[str], n: int, width: int,
     return rows.select(
         F.col("id").alias("row_id"), F.element_at(names, (F.col("id") % len(keys) + 1).cast("int")).alias("sf"), F.array(*cells).alias("embedding")
     )
+
+
+def synthetic_documents(spark: SparkSession, words: list[str], n: int, size: int, seed: int = 0) -> DataFrame:
+    """(doc_id, text): ``n`` documents of ``size`` words each, scrambled by integer arithmetic: the same everywhere."""
+    names = F.array(*[F.lit(w) for w in words])
+    at = lambda i: F.pmod((F.col("id") * size + i + seed) * 2654435761 % 1000003, F.lit(len(words))) + 1
+    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")), lambda i: F.element_at(names, at(i).cast("int"))), " ")
+    return spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))
+
+
+def evaluation_rows(spark: SparkSession, sf: str, lf: str, width: int, n: int = 10) -> DataFrame:
+    """(id, sf, lf, embedding): ``n`` equal rows, which any sound evaluation answers alike."""
+    ones = F.array_repeat(F.lit(1.0), width)
+    return spark.range(n).select("id", F.lit(sf).alias("sf"), F.lit(lf).alias("lf"), ones.alias("embedding"))

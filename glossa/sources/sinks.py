@@ -25,8 +25,11 @@ def write_partitioned(rows: DataFrame, path: str, key: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-def write_iteration(params: DataFrame, path: str, iteration: int) -> None:
-    """Parameters of one iteration as the partition iter=<n>."""
+def write_iteration(params: DataFrame, path: str, iteration: int, clear: bool = False) -> None:
+    """Parameters of one iteration as the partition iter=<n>; ``clear`` removes what an earlier run left."""
+    if clear:
+        old = params.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        old.getFileSystem(params.sparkSession._jsc.hadoopConfiguration()).delete(old, True)
     write_partitioned(params.withColumn("iter", F.lit(iteration)), path, "iter")
 
 

@@ -9,7 +9,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from glossa.plans import catalogue
+from glossa.plans import catalogue, source_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

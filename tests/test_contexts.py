@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossa.operators import contexts as C
+from glossa.plans.ranges import numbered, running_sums
 
 DOC = (
     "The patient's CT scan was clear. A repeat CT was done, and the scans were read.\n\n"
@@ -75,6 +76,21 @@ def test_large_dictionaries_are_joined(spark, sf, monkeypatch):
     assert longest.count() == longest.select("doc_id", "pos").distinct().count()
 
 
+def test_joined_path_with_repeated_and_null_ids(spark):
+    rows = [(1, "the cat of the house"), (1, "of the dog the"), (None, "the cat of the house"), (1, "the cat of the house"), (None, "none"), (2, None), (3, "")]
+    docs = C.tokenise(spark.createDataFrame(rows, "doc_id long, text string"))
+    terms = spark.createDataFrame([("f", "the"), ("f", "of the"), ("g", "dog")], "form string, phrase string")
+    small, joined = (sorted(map(tuple, C.word_contexts(docs, terms, [1, 2], 2, most_literals=n).collect()), key=repr) for n in (5000, 0))
+    assert small == joined and len(small) == 3 * 3 + 4
+
+
+def test_running_sums(spark):
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 as k", "id % 5 as v", "double(1) as w").repartition(7)
+    got = {r.k: (r.upto_v, r.upto_w) for r in running_sums(df, ["v", "w"], F.desc("k")).collect()}
+    v = {r.k: r.v for r in df.collect()}
+    assert all(got[k] == (sum(v[j] for j in range(k, 1000)), 1000.0 - k) for k in (0, 1, 500, 998, 999)) and len(got) == 1000
+
+
 def test_config():
     for bad in (("word", 1), (W, 0), (W, -1), (W, 2.5)):
         with pytest.raises(ValueError):
@@ -102,5 +118,5 @@ def test_word_pieces():
 
 def test_numbered(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 as k").repartition(7)
-    assert {(r.k, r.row_idx) for r in C.numbered(df, "k").collect()} == {(i, i) for i in range(1000)}
-    assert C.numbered(df.limit(0), "k").count() == 0
+    assert {(r.k, r.row_idx) for r in numbered(df, "k").collect()} == {(i, i) for i in range(1000)}
+    assert numbered(df.limit(0), "k").count() == 0

@@ -10,7 +10,7 @@ from glossa.operators import abbreviations, cluster, collect, dictionary, disamb
 def test_merge_sources(spark):
     rows = [("a.b", "Alpha-Beta", "x"), ("AB", "alphabeta", "y"), ("AB", "the", "x"), ("AB", "AB", "x"), ("AB", "No results", "x"), ("AB", "--", "x"), ("CD", "c d", "x"), ("NA", "null", "x")]
     df = spark.createDataFrame(rows, "sf string, lf string, source string")
-    got = [tuple(r) for r in dictionary.merge_sources(df).collect()]
+    got = sorted(tuple(r) for r in dictionary.merge_sources(df).collect())
     assert got == [("AB", "alphabeta", "x|y"), ("CD", "c d", "x"), ("NA", "null", "x")]
     assert dictionary.merge_sources(df, spark.createDataFrame([("CD",)], "sf string")).count() == 1
 
@@ -122,16 +122,52 @@ def test_gibbs(spark):
     assert {r.id % 2: r.lf for r in disambiguate.best_assignment(scored.where("sf = 'S'")).collect()} == {0: "lo", 1: "hi"}
 
 
-def test_topic_gibbs():
-    import pandas as pd
-
+def test_topic_gibbs(spark):
     rng = np.random.default_rng(1)
-    rows = [(d, s, rng.normal(size=3) + (4 if d % 2 else -4)) for d in range(10) for s in ("A", "B") for _ in range(4)]
-    frame = pd.DataFrame(rows, columns=["doc", "sf", "embedding"])
-    got = disambiguate.topic_gibbs(frame, {"A": ["x", "y"], "B": ["u", "v", "w"]}, topics=3, sweeps=25)
-    again = disambiguate.topic_gibbs(frame, {"A": ["x", "y"], "B": ["u", "v", "w"]}, topics=3, sweeps=25)
-    assert got["log_joint"] == again["log_joint"] and np.allclose(got["thetas"].sum(1), 1)
-    assert all(np.allclose(b.sum(1), 1) for b in got["betas"].values()) and np.mean(got["log_joint"][-5:]) > got["log_joint"][0]
+    rows = [(d, s, (rng.normal(size=3) + (4 if d % 2 else -4)).tolist()) for d in range(10) for s in ("A", "B") for _ in range(4)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)] + [(99, 1, "unknown", [0.0] * 3)], "id long, doc int, sf string, embedding array<double>")
+    vocab = {"A": ["x", "y"], "B": ["u", "v", "w"]}
+    got, joints = disambiguate.topic_gibbs(df, vocab, topics=3, sweeps=8)
+    rows = sorted(map(tuple, got.collect()))
+    again, other = disambiguate.topic_gibbs(df, vocab, topics=3, sweeps=8)
+    assert len(rows) == 80 and rows == sorted(map(tuple, again.collect())) and np.allclose(joints, other)
+    assert joints[-1] > joints[0] and {r[3] for r in rows} <= {"x", "y", "u", "v", "w"} and {r[4] for r in rows} <= {0, 1, 2}
+
+
+def test_neighbours_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    known = [(i, "hot" if i % 3 else "b", f"L{i % 4}", rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(200)]
+    known = [(i, s, lf, x if any(x) else [1.0, 0.0, 0.0]) for i, s, lf, x in known]
+    queries = [(i, s, x) for i, s, _, x in known[:40]] + [(500, "none", [1.0, 1.0, 1.0])]
+    k = spark.createDataFrame(known, "id long, sf string, lf string, embedding array<double>")
+    q = spark.createDataFrame(queries, "q long, sf string, embedding array<double>")
+    want = set()
+    for i, s, x in queries:
+        sims = sorted(((-round(float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)), 9), j, lf) for j, t, lf, y in known if s == t))[:5]
+        want |= {(i, s, lf, j, r + 1) for r, (_, j, lf) in enumerate(sims)}
+    for block in (4096, 7):
+        assert {(r.q, r.sf, r.lf, r.id, r["rank"]) for r in disambiguate.neighbours(q, k, 5, block).collect()} == want
+
+
+def test_cropped_encoding_is_the_same(spark):
+    rows = [(i, "f", "heart", f"{'wide words here and there ' * (i % 4)}the heart beats {'so long as it can ' * (i % 3)}") for i in range(12)] + [(99, "f", "gone", "nothing")]
+    df = spark.createDataFrame(rows, "row_idx long, form string, sf string, context_trimmed string")
+    whole = lambda pieces: embedding.hashed_layers(pieces)
+    key = lambda got: sorted((r.row_idx, r.span, None if r.embedding is None else [round(x, 12) for x in r.embedding]) for r in got.collect())
+    assert key(embedding.embed(df)) == key(embedding.embed(df, encoder=whole))
+
+
+def test_tagger_that_fails(spark):
+    def tagger(phrases):
+        if any("bad" in p for p in phrases):
+            raise ValueError(phrases)
+        return [p.upper() for p in phrases]
+
+    rows = [(1, "a", "x"), (2, "bad", "y"), (3, "c", "bad too"), (4, "d", "z")]
+    df = spark.createDataFrame(rows, "idx long, lf_base string, lf string").coalesce(1)
+    got = {r.idx: r.cui for r in dictionary.tag_in_batches(df, tagger, 3).collect()}
+    assert got == {1: "X", 2: "Y", 3: dictionary.ERROR, 4: "D"}
+    assert [r.idx for r in dictionary.untagged(df, df.where("idx < 4")).collect()] == [4]
 
 
 def test_metrics(spark):
