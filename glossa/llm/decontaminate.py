@@ -33,8 +33,10 @@ from xxhash import xxh64_intdigest
 from glossa.llm.rows import text_key
 from glossa.plans.materialize import materialize
 
-WINDOW, LITERALS, COVERAGE, MOST_KEYS, KEPT = 5, 2, 0.8, 1_000_000, 300_000
+WINDOW, LITERALS, COVERAGE, MOST_KEYS, KEPT, SIFT_BITS = 5, 2, 0.8, 1_000_000, 300_000, 22
 FIND = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?\n]|\d+(?:[.,]\d+)*").findall
+#: The same tokens of texts in ASCII, found faster.
+FIND_ASCII = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)*|[.!?\n]|[0-9]+(?:[.,][0-9]+)*").findall
 #: Units of measure, money and time, in the corpus languages.
 UNITS = frozenset(
     "mm cm dm m km in ft yd mi g kg mg t oz lb lbs l ml cl s sec min h hr hrs ms kb mb gb tb w kw v a hz khz mhz ghz c f k "
@@ -46,75 +48,80 @@ UNITS = frozenset(
 )
 _NUMBER, _NAME, _UNIT = (xxh64_intdigest(x) for x in ("<number>", "<name>", "<unit>"))
 _TYPES = np.array([0, _NUMBER, _NAME, _UNIT], np.uint64)
+_SHIFT = np.uint64(64 - SIFT_BITS)
+_KIND_BITS = 4
 _LABEL = {1: "<number>", 2: "<name>", 3: "<unit>"}
 _MULTIPLIERS = np.array([xxh64_intdigest(f"window {i}") | 1 for i in range(WINDOW)], np.uint64)
+_ONES = np.ones(WINDOW, np.int64)
 _LENGTHS = np.array([xxh64_intdigest(f"length {i}") for i in range(WINDOW + 1)], np.uint64)
 
 
 class Vocabulary(dict):
-    """Token to row of two arrays: the hash of its lower-case form, and its kind (bits: break, number, title, unit)."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.hashes, self.kinds = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint8)
+    """Token to the hash of its lower-case form, whose last bits are its kind (break, number, title, unit)."""
 
     def __missing__(self, token: str) -> int:
-        n = len(self)
-        if n == len(self.kinds):
-            self.hashes, self.kinds = np.resize(self.hashes, 2 * n), np.resize(self.kinds, 2 * n)
         low = token.lower()
-        self.hashes[n] = xxh64_intdigest(low)
         title = len(token) > 1 and token[0].isupper() and token[1:].islower()
-        self.kinds[n] = (token in ".!?\n") | (token[0].isdigit() << 1) | (title << 2) | ((low in UNITS) << 3)
-        self[token] = n
-        return n
-
-    def windows(self, text: str | None) -> tuple[list[str], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Tokens, places of words among them, and (keys of windows, slot kind of each word or 0) of each kind of form.
+        kind = (token in ".!?\n") | (token[0].isdigit() << 1) | (title << 2) | ((low in UNITS) << 3)
+        got = self[token] = xxh64_intdigest(low) >> _KIND_BITS << _KIND_BITS | kind
+        return got
 
-        The forms: template, template with a capitalised first word of a sentence as a name too, plain words. A key is 0
-        where the form is one of those before it.
+    def windows(self, text: str | None) -> tuple[list[str], np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Tokens, places of words among them, and (first words of windows, their keys, slot kind of each word or 0) of
+        each kind of form: plain words, template, template with a capitalised first word of a sentence as a name too.
         """
         if len(self) > KEPT:
             self.clear()
-        tokens = FIND(text or "")
-        at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        kinds = self.kinds[at]
+        text = text or ""
+        tokens = FIND_ASCII(text) if text.isascii() else FIND(text)
+        plain = np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+        kinds = plain.astype(np.uint8)
         breaks = (kinds & 1) > 0
-        before = np.append(True, breaks[:-1]) if len(at) else breaks
-        after_number = np.append(False, (kinds[:-1] & 2) > 0) if len(at) else breaks
-        slot = np.zeros(len(at), np.uint8)
+        before = np.append(True, breaks[:-1]) if len(tokens) else breaks
+        after_number = np.append(False, (kinds[:-1] & 2) > 0) if len(tokens) else breaks
+        slot = np.zeros(len(tokens), np.uint8)
         slot[((kinds & 4) > 0) & ~before] = 2
         slot[((kinds & 8) > 0) & after_number] = 3
         slot[(kinds & 2) > 0] = 1
         words = np.flatnonzero(~breaks)
         first = (((kinds & 4) > 0) & before & (slot == 0))[words]
-        slot, plain = slot[words], self.hashes[at[words]]
+        slot, plain = slot[words], plain[words] >> np.uint64(_KIND_BITS)
         k = min(WINDOW, len(words))
         if not k:
             return tokens, words, []
         wide = np.where(first, np.uint8(2), slot)
-        by_words, _ = self._keys(plain, np.zeros_like(slot), k)
+        none = np.zeros_like(slot)
+        by_words, _ = self._keys(plain, none, k)
         by_type, telling = self._keys(plain, slot, k)
         by_wide, wider = self._keys(plain, wide, k)
-        wider &= np.convolve(first, np.ones(k, np.int64), "valid") > 0
-        zero = np.uint64(0)
-        return tokens, words, [
-            (np.where(telling, by_type, by_words), slot), (np.where(wider, by_wide, zero), wide), (np.where(telling, by_words, zero), np.zeros_like(slot)),
-        ]
+        wider &= np.correlate(first.astype(np.int64), _ONES[:k], "valid") > 0
+        typed, named = np.flatnonzero(telling), np.flatnonzero(wider)
+        return tokens, words, [(np.arange(len(by_words)), by_words, none), (typed, by_type[typed], slot), (named, by_wide[named], wide)]
 
     @staticmethod
     def _keys(plain: np.ndarray, slot: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Key of each window of ``k`` words with some slots, and whether it has any slot and enough plain words."""
-        typed = np.where(slot == 0, plain, _TYPES[slot])
-        n = len(plain) - k + 1
-        keys, slots = np.full(n, _LENGTHS[k], np.uint64), np.zeros(n, np.int64)
-        for i in range(k):
-            keys += typed[i : i + n] * _MULTIPLIERS[i]
-            slots += slot[i : i + n] > 0
+        filled = slot > 0
+        keys = np.correlate(np.where(filled, _TYPES[slot], plain), _MULTIPLIERS[:k], "valid") + _LENGTHS[k]
+        slots = np.correlate(filled.astype(np.int64), _ONES[:k], "valid")
         return keys, (slots > 0) & (k - slots >= LITERALS)
 
 
+class Sift:
+    """Which keys are among some sorted ones: the leading bits are looked up first, survivors are searched for."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.leading = keys, np.zeros(1 << SIFT_BITS, bool)
+        self.leading[keys >> _SHIFT] = True
+
+    def __call__(self, got: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(self.leading[got >> _SHIFT])
+        if not len(at):
+            return at
+        near = np.minimum(np.searchsorted(self.keys, got[at]), len(self.keys) - 1)
+        return at[self.keys[near] == got[at]]
+
+
 _SCHEMA = "id long, text_key string, at int, key long, form string, words array<string>, slots array<boolean>"
 
 
@@ -122,25 +129,19 @@ def windows(rows: DataFrame, keys=None) -> DataFrame:
     """Windows of (id, text_key, text), those whose key is in the broadcast sorted ``keys`` if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, wanted = Vocabulary(), None if keys is None else keys.value
+        vocabulary, sift = Vocabulary(), None if keys is None else Sift(keys.value)
         for batch in batches:
             out: list[tuple] = []
             for doc, own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 tokens, words, forms = vocabulary.windows(text.as_py())
                 k = min(WINDOW, len(words))
-                for got, slot in forms:
-                    hits = np.flatnonzero(got)
-                    if wanted is not None:
-                        got_here = got[hits]
-                        near = np.minimum(np.searchsorted(wanted, got_here), len(wanted) - 1)
-                        hits = hits[wanted[near] == got_here] if len(wanted) else hits[:0]
-                    for p in hits.tolist():
+                for places, got, slot in forms:
+                    for hit in (range(len(got)) if sift is None else sift(got).tolist()):
+                        p, key = int(places[hit]), int(got[hit])
                         low = [tokens[i].lower() for i in words[p : p + k]]
                         kinds = slot[p : p + k].tolist()
-                        filled = k - sum(map(bool, kinds)) >= LITERALS
-                        form = [_LABEL[s] if s and filled else w for w, s in zip(low, kinds, strict=True)]
-                        key = int(got[p])
-                        out.append((doc, own, p, key - (1 << 64) if key >> 63 else key, " ".join(form), low, [bool(s and filled) for s in kinds]))
+                        form = [_LABEL[s] if s else w for w, s in zip(low, kinds, strict=True)]
+                        out.append((doc, own, p, key - (1 << 64) if key >> 63 else key, " ".join(form), low, [s > 0 for s in kinds]))
                     if len(out) > 5000:
                         yield _batch(out)
                         out = []

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from glossa.llm.decontaminate import contaminated
@@ -157,3 +158,16 @@ def test_empty_tables(spark):
 def test_very_long_text_and_many_copies(spark):
     docs = [(1, "x y z. " * 100_000 + ITEM)] + [(i, ITEM + ". " + ITEM) for i in range(2, 300)]
     assert len(run(spark, docs, [(1, ITEM)])) == 299
+
+
+def test_ascii_tokens_and_sift():
+    from glossa.llm.decontaminate import FIND, FIND_ASCII, Sift, Vocabulary
+
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choices("abZ'_.,!?\n 019-\t\x00", k=rng.randrange(60)))
+        assert FIND_ASCII(text) == FIND(text)
+    got = Vocabulary().windows("Tom has 5 km to go. Anna has 7,5 kg of it")[2][0][1]
+    keys = np.sort(got[::2])
+    assert Sift(keys)(got).tolist() == np.flatnonzero(np.isin(got, keys)).tolist()
+    assert Sift(keys[:0])(got).tolist() == []
