@@ -142,6 +142,129 @@ def op10_quality_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFr
     return _scored(got, quality.THRESHOLD)
 
 
+def op11_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.packing import pack
+
+    got = pack(table(spark, sf_dir, "documents"))
+    return got.select(
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.vector_codes import compress, digest
+
+    got, book = compress(table(spark, sf_dir, "embeddings"))
+    return got.select(
+        F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error",
+        F.lit(None if book is None else digest(book)).cast("string").alias("codebooks_sha256"),
+    )
+
+
+_NEAREST = """
+SELECT vec_id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+  SELECT p.vec_id, p.part, b.entry,
+    list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.v[i]) * (p.v[i] - b.v[i])))::BIGINT AS d
+  FROM parts p JOIN {book} b ON b.part = p.part
+) GROUP BY vec_id, part
+"""
+#: The floor of a quotient, in whole numbers.
+_MEANS = """
+SELECT part, entry, list(x ORDER BY pos) AS v FROM (
+  SELECT a.part, a.entry, pos, ((s - ((s % n) + n) % n) // n)::BIGINT AS x FROM (
+    SELECT a.part, a.entry, pos, sum(p.v[pos])::BIGINT AS s, count(*) AS n
+    FROM {near} a JOIN parts p ON p.vec_id = a.vec_id AND p.part = a.part, range(1, 1 + (SELECT max(len(v)) FROM parts)) t(pos)
+    GROUP BY ALL
+  ) a
+) GROUP BY part, entry
+UNION ALL
+SELECT part, entry, v FROM {book} b WHERE NOT EXISTS (SELECT 1 FROM {near} a WHERE a.part = b.part AND a.entry = b.entry)
+"""
+OP12_SQL = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS v FROM kept, range(16) t(part)
+), book0 AS MATERIALIZED (
+  SELECT part, entry, v FROM parts JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64
+  ) USING (vec_id)
+), near0 AS MATERIALIZED ({_NEAREST.format(book="book0")}
+), book1 AS MATERIALIZED ({_MEANS.format(book="book0", near="near0")}
+), near1 AS MATERIALIZED ({_NEAREST.format(book="book1")}
+), book2 AS MATERIALIZED ({_MEANS.format(book="book1", near="near1")}
+), near2 AS MATERIALIZED ({_NEAREST.format(book="book2")}
+), coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', entry::INTEGER), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+  FROM near2 JOIN kept USING (vec_id) GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM book2) AS codebooks_sha256
+FROM coded
+"""
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents")).drop("source", "path")
+
+
+#: Bits of a number's decimal text, divided in the way of the checksum; the last inversion turns odd into even.
+_ODD_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, c: list_reduce(list_prepend(xor(a, c), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]),
+      lambda b, k: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END)) % 2 = 1"""
+
+
+def _field(sql: str) -> str:
+    return f"coalesce(octet_length(encode({sql}::VARCHAR))::VARCHAR || ':' || {sql}::VARCHAR, '-')"
+
+
+_LEAF = " || ".join(_field(f) for f in ("doc_id", "source", "lang", "n_chars"))
+OP13_SQL = f"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT doc_id, source, sha256({_LEAF} || {_field("text")}) AS leaf,
+    sha256({_LEAF} || {_field(f"CASE WHEN {_ODD_CRC} THEN replace(text, chr(10), '') ELSE text END")}) AS present
+  FROM documents
+), placed AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM docs
+), low AS (
+  SELECT tree, 0 AS lvl, pos, n, leaf AS d FROM placed
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY pos)) FROM low WHERE n > 1
+  GROUP BY tree, lvl, pos // 3, n
+), high AS (
+  SELECT tree AS t, 1000 AS lvl, tree AS pos, (SELECT count(DISTINCT tree) FROM placed) AS n, d FROM low WHERE n = 1
+  UNION ALL
+  SELECT 0, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY pos)) FROM high WHERE n > 1
+  GROUP BY lvl, pos // 3, n
+), nodes AS (
+  SELECT tree, lvl, pos, n, d FROM low WHERE n > 1 UNION ALL SELECT -1, lvl, pos, n, d FROM high WHERE n > 1
+), sides AS MATERIALIZED (
+  SELECT a.tree, a.lvl, a.pos, coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 GROUP BY ALL
+), steps AS MATERIALIZED (
+  SELECT p.doc_id, p.leaf, p.tree, p.pos, row_number() OVER (PARTITION BY p.tree, p.pos ORDER BY s.lvl) AS step, s.l, s.r
+  FROM placed p JOIN sides s
+    ON (s.tree = p.tree AND s.lvl < 1000 AND s.pos = p.pos // (3 ** s.lvl)::BIGINT)
+    OR (s.tree = -1 AND s.pos = p.tree // (3 ** (s.lvl - 1000))::BIGINT)
+), fold AS (
+  SELECT tree, pos, 0 AS step, present AS d FROM placed
+  UNION ALL
+  SELECT f.tree, f.pos, f.step + 1, sha256(s.l || f.d || s.r) FROM fold f JOIN steps s ON s.tree = f.tree AND s.pos = f.pos AND s.step = f.step + 1
+), ends AS (SELECT tree, pos, arg_max(d, step) AS folded_root FROM fold GROUP BY tree, pos
+), proofs AS (SELECT tree, pos, sha256(string_agg(l || r, '' ORDER BY step)) AS proof_sha256 FROM steps GROUP BY tree, pos
+), roots AS (SELECT tree, d AS subroot FROM low WHERE n = 1
+), top AS (SELECT d AS root FROM high WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN ends USING (tree, pos) JOIN roots USING (tree) LEFT JOIN proofs USING (tree, pos), top
+"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -155,6 +278,11 @@ QUERIES: dict[str, Query] = {
         op8_template_decontamination,
         op9_nn_descent,
         op10_quality_positive_unlabelled,
+        op11_mixture_packing,
+        op12_vector_codes,
+        op13_merkle_manifest,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_warc_transactions": OP3_SQL, "op7_chat_grammar_round_trip": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_transactions": OP3_SQL, "op7_chat_grammar_round_trip": OP7_SQL, "op12_vector_codes": OP12_SQL, "op13_merkle_manifest": OP13_SQL,
+}
