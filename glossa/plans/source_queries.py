@@ -98,23 +98,59 @@ def csv_directory(spark, sf):
     return readers.csv_directory(spark, path, _CSV)
 
 
-_TRIMMED = r"""WITH t AS (SELECT regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM documents) SELECT md5(text) AS text, true AS numbered FROM t WHERE length(text) > 1"""
+#: Documents of one file.
+_PER_FILE = 250
 
 
-def _digested(docs: DataFrame, prefix: str) -> DataFrame:
-    return docs.select(F.md5("text").alias("text"), F.col("doc_id").rlike(rf"^{prefix}_part-.*_\d+$").alias("numbered"))
+def _shelves(spark, sf, record: Column, name: str) -> str:
+    """Text files of the documents in order of their ids, ``_PER_FILE`` consecutive ids in a file, with ``record`` for each."""
+    path = scratch_path(spark, name)
+    docs = table(spark, sf, "documents").withColumn("text", F.regexp_replace("text", "\r\n?", "\n"))
+    rows = docs.withColumn("shelf", F.floor(F.col("doc_id") / _PER_FILE)).select("shelf", "doc_id", record.alias("value"))
+    rows.repartition("shelf").sortWithinPartitions("shelf", "doc_id").select("shelf", "value").write.partitionBy("shelf").text(path)
+    return path
 
 
-@query(_TRIMMED)
-def marked_document_files(spark, sf):
-    docs = table(spark, sf, "documents")
-    return _digested(readers.marked_documents(spark, _text(docs, F.col("text"), "marked", lineSep="<DOCSTART>"), prefix="m"), "m")
+def _shelved(docs: DataFrame) -> DataFrame:
+    shelf = F.regexp_extract("file", r"shelf=(\d+)/", 1).cast("long")
+    return docs.select(shelf.alias("shelf"), "doc_id", F.length("text").cast("long").alias("size"), F.md5("text").alias("text_md5"))
+
 
+#: Documents with the lines they take in their file; {lines} are those that the file has besides the text's own.
+_SHELVES_SQL = f"""
+d AS (SELECT doc_id, doc_id // {_PER_FILE} AS shelf, regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g') AS text FROM documents),
+l AS (SELECT *, length(text) - length(replace(text, chr(10), '')) + 1 AS own FROM d)"""
 
-@query(_TRIMMED)
+
+@query(
+    f"""WITH {_SHELVES_SQL}, e AS (
+  SELECT *, sum(own + 3 + CAST(doc_id % 5 = 0 AS INTEGER)) OVER (PARTITION BY shelf ORDER BY doc_id) - CAST(doc_id % 5 = 0 AS INTEGER) - 1 AS line,
+    text || chr(10) || 'says <DOCSTART> inside' || chr(10) || ' <DOCSTART>' || chr(10) AS whole FROM l
+)
+SELECT shelf, 'm_' || line::BIGINT AS doc_id, length(whole) AS size, md5(whole) AS text_md5 FROM e"""
+)
+def marked_document_files(spark, sf):
+    """Markers inside lines are text, a marker's own line is dropped, two markers in a row close nothing."""
+    more = F.when(F.col("doc_id") % 5 == 0, "\n<DOCSTART>").otherwise("")
+    record = F.concat("text", F.lit("\nsays <DOCSTART> inside\n <DOCSTART>\n<DOCSTART> id="), "doc_id", more)
+    return _shelved(readers.marked_documents(spark, _shelves(spark, sf, record, "marked"), prefix="m"))
+
+
+@query(
+    f"""WITH {_SHELVES_SQL}, r AS (
+  SELECT shelf, doc_id, i, unnest, sum(1) OVER (PARTITION BY shelf ORDER BY doc_id, i) - 1 AS line
+  FROM (SELECT shelf, doc_id, unnest(string_split(text || chr(10), chr(10))) AS unnest, generate_subscripts(string_split(text || chr(10), chr(10)), 1) AS i FROM d)
+), g AS (
+  SELECT *, count(*) FILTER (WHERE unnest = '') OVER (PARTITION BY shelf ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM r
+), t AS (
+  SELECT shelf, max(line) AS line, string_agg(unnest || chr(10), '' ORDER BY line) FILTER (WHERE unnest <> '') AS whole FROM g GROUP BY shelf, k
+)
+SELECT shelf, CAST(CAST(line AS BIGINT) AS VARCHAR) AS doc_id, length(whole) AS size, md5(whole) AS text_md5 FROM t WHERE whole IS NOT NULL"""
+)
 def blank_line_document_files(spark, sf):
-    docs = table(spark, sf, "documents")
-    return _digested(readers.blank_line_documents(spark, _text(docs, F.col("text"), "blank", lineSep="\n\n"), prefix="b"), "b")
+    """Every text is closed by an empty line; empty lines inside texts close documents too."""
+    docs = _shelved(readers.blank_line_documents(spark, _shelves(spark, sf, F.concat("text", F.lit("\n")), "blank")))
+    return docs.withColumn("doc_id", F.substring_index("doc_id", "_", 1))
 
 
 @query("""SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998""")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from glossa.functions.text import standardize_upper
 from glossa.operators import abbreviations
+from glossa.sources.segments import line_documents
 
 NULL_WORDS = ("", "NA", "N/A", "null", "nan")
 
@@ -75,31 +76,24 @@ def in_batches(rows: DataFrame, function: Callable, schema: str | StructType) ->
 
 
 def marked_documents(spark: SparkSession, path: str, marker: str = "<DOCSTART>", prefix: str = "doc") -> DataFrame:
-    """(doc_id, text): text between boundary markers, longer than one character.
+    """(doc_id, text, file): the lines before each line that starts with the marker, if longer than one character.
 
-    The marker is the reader's record separator, so documents are read in parallel and a document after the last marker
-    is kept. Ids count records within a file: <prefix>_<file name>_<n>.
+    A marker inside a line is text; a line that starts with it is dropped whole. doc_id is <prefix>_<index of the closing
+    line>. Lines after the last marker are a document of any length, named by the file's last line. Ids are counted in
+    each file.
     """
-    rows = spark.read.option("lineSep", marker).text(path)
-    return _numbered(rows, prefix)
-
-
-def blank_line_documents(spark: SparkSession, path: str, prefix: str = "doc") -> DataFrame:
-    """(doc_id, text): text between blank lines; repeated blank lines give no empty documents, the last one is kept."""
-    rows = spark.read.option("lineSep", "\n\n").text(path)
-    return _numbered(rows, prefix)
-
-
-def _numbered(rows: DataFrame, prefix: str) -> DataFrame:
-    rows = rows.select(
-        F.trim(F.regexp_replace("value", r"^[\s]+|[\s]+$", "")).alias("text"),
-        F.col("_metadata.file_name").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
-    ).where(F.length("text") > 1)
-    order = Window.partitionBy("file").orderBy("block", "at")
-    n = F.row_number().over(order) - 1
-    return rows.select(F.concat_ws("_", F.lit(prefix), "file", n).alias("doc_id"), "text")
+    docs = line_documents(spark, path, F.col("value").startswith(marker)).where(~F.col("closed") | (F.length("text") > 1))
+    return docs.select(F.concat_ws("_", F.lit(prefix), "line").alias("doc_id"), "text", "file")
+
+
+def blank_line_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, text, file): the lines before each empty line. doc_id is <index of that line>_<file name>.
+
+    Repeated empty lines give no empty documents. Lines after the last empty line are a document too, named by the
+    file's last line.
+    """
+    docs = line_documents(spark, path, F.col("value") == "")
+    return docs.select(F.concat_ws("_", "line", F.element_at(F.split("file", "/"), -1)).alias("doc_id"), "text", "file")
 
 
 def documents_by_year(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:

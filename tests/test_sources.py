@@ -1,5 +1,6 @@
 import gzip
 import json
+import random
 
 import pytest
 
@@ -47,11 +48,12 @@ def test_delimited_and_csv(spark, put):
 
 
 def test_documents(spark, put):
-    path = put("c.txt", "<DOCSTART> first\nline\n<DOCSTART><DOCSTART>z<DOCSTART> last one")
-    got = R.marked_documents(spark, path).collect()
-    assert [(r.doc_id, r.text) for r in got] == [("doc_c.txt_0", "first\nline"), ("doc_c.txt_1", "last one")]
+    path = put("c.txt", "first note\nmore\n<DOCSTART> id=17\nsecond says <DOCSTART> inside\n<DOCSTART>\nx\n")
+    got = R.marked_documents(spark, path).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.text) for r in got] == [("doc_2", "first note\nmore\n"), ("doc_4", "second says <DOCSTART> inside\n"), ("doc_5", "x\n")]
     path = put("b.txt", "one\nmore\n\n\n\ntwo\n\nthree")
-    assert [r.text for r in R.blank_line_documents(spark, path).orderBy("doc_id").collect()] == ["one\nmore", "two", "three"]
+    got = {r.doc_id: r.text for r in R.blank_line_documents(spark, path).collect()}
+    assert got == {"2_b.txt": "one\nmore\n", "6_b.txt": "two\n", "7_b.txt": "three\n"}
     put("x/n.txt", "hello\n")
     put("x/n.md", "no")
     assert [tuple(r) for r in R.text_directory(spark, path.rsplit("/", 1)[0] + "/x").collect()] == [("n.txt", "hello\n")]
@@ -99,3 +101,36 @@ def test_batches_and_synthetic(spark):
     assert rows.collect() == R.synthetic_vectors(spark, ["A", "B"], 10, 3, 1.0, 5).collect()
     assert {r.sf for r in rows.collect()} == {"A", "B"} and all(len(r.embedding) == 3 for r in rows.collect())
     assert R.in_batches(rows.select("row_id"), lambda b: b.assign(row_id=b.row_id * 2), "row_id long").agg({"row_id": "sum"}).first()[0] == 90
+
+
+def _scan(text, marker):
+    """What a walk through one file's lines gives."""
+    out, held, lines = [], "", text.split("\n")[: -1 if text.endswith("\n") or not text else None]
+    for i, line in enumerate(lines):
+        if line.startswith(marker):
+            if len(held) > 1:
+                out.append((f"doc_{i}", held))
+            held = ""
+        else:
+            held += line + "\n"
+    return [*out, *([(f"doc_{len(lines) - 1}", held)] if held else [])]
+
+
+@pytest.mark.parametrize("split", ["300b", "16m"])
+def test_one_file_is_spread_over_splits(spark, put, split):
+    rng = random.Random(7)
+    parts = ["<DOCSTART>", "<DOCSTART> id", " <DOCSTART>", "word " * 9, "", "a", "é", "b" * 150]
+    texts = ["".join(rng.choice(parts) + "\n" for _ in range(150)), "no marker\n" * 60, "<DOCSTART>\n<DOCSTART>\n\n<DOCSTART>\nq", "\n", ""]
+    for i, text in enumerate(texts):
+        path = put(f"s{split}/{i}.txt", text)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        got = R.marked_documents(spark, path.rsplit("/", 1)[0]).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for i, text in enumerate(texts):
+        mine = sorted((r.doc_id, r.text) for r in got if r.file.endswith(f"/{i}.txt"))
+        assert mine == sorted(_scan(text, "<DOCSTART>"))
