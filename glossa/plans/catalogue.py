@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from glossa.functions import edit, sets, text, vectors
 from glossa.operators import (
     abbreviations, cluster, collect, contexts, dictionary, disambiguate, embedding, inclusion, listings, metrics, sampling,
+    sweep,
 )
 
 from glossa.plans.ranges import numbered
@@ -490,11 +491,41 @@ def section_tree(spark, sf):
     return listings.section_lines(top.union(parts))
 
 
-@query()
+_PATTERN_TERMS = [("The", contexts.TermType.SHORT_FORM), ("thing|of the", contexts.TermType.LONG_FORM)]
+_DICTIONARY = [
+    *_PATTERN_TERMS, ("she", contexts.TermType.SHORT_FORM), ("of", contexts.TermType.SHORT_FORM), ("and the|a hour", contexts.TermType.LONG_FORM),
+    ("in that of|all that|he", contexts.TermType.LONG_FORM), ("de la|que|une personne", contexts.TermType.LONG_FORM), ("der die|das|und", contexts.TermType.LONG_FORM),
+    ("man of the world|child", contexts.TermType.LONG_FORM),
+]
+
+
+def _sweep_sql(found: list[tuple[str, contexts.TermType]], size: int) -> str:
+    """Contexts of the phrases that terms stand for; no phrase of these terms begins inside another of its form."""
+    text = lambda v: "'" + v.replace("'", "''") + "'"
+    rows = ", ".join(f"({text(form)}, {text(first)}, {n}, {text(phrase)}, {rank})" for form, first, n, phrase, rank in sweep.phrases(found, True, True))
+    return rf"""WITH p(form, first, n, phrase, rank) AS (VALUES {rows}),
+d AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS w,
+  list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+([^\p{{L}}\p{{N}}_]*)', 1), lambda g: regexp_replace(g, '\s+', ' ', 'g')) AS g FROM documents),
+x AS (SELECT *, unnest(range(len(w))) AS pos FROM d),
+c AS (SELECT x.*, p.form, p.n, p.rank FROM x JOIN p ON lower(w[pos + 1]) = first
+  AND array_to_string(list_transform(range(p.n), lambda i: lower(w[pos + i + 1]) || CASE WHEN i < p.n - 1 THEN g[pos + i + 1] ELSE '' END), '') = phrase),
+b AS (SELECT form, doc_id, pos, any_value(w) AS w, arg_min(n, rank) AS n FROM c GROUP BY form, doc_id, pos)
+SELECT form, CAST(doc_id AS VARCHAR) AS doc_id,
+  array_to_string(list_concat(w[greatest(pos - {size}, 0) + 1:pos], ['TARGETWORD'], w[pos + n + 1:pos + n + {size}]), ' ') AS context FROM b"""
+
+
+@query(_sweep_sql(_PATTERN_TERMS, 5))
 def pattern_contexts(spark, sf):
-    wanted = [("The", contexts.TermType.SHORT_FORM), ("thing|of the", contexts.TermType.LONG_FORM)]
+    """Inflected terms by their regular expressions."""
     docs = table(spark, sf, "documents")
-    return contexts.pattern_contexts(docs, wanted, contexts.ContextType.WORD, 5, inflect=True)
+    return contexts.pattern_contexts(docs, _PATTERN_TERMS, contexts.ContextType.WORD, 5, inflect=True)
+
+
+@query(_sweep_sql(_DICTIONARY, 10))
+def dictionary_contexts(spark, sf):
+    """Inflected terms of a dictionary in one pass over each document."""
+    known = spark.createDataFrame([(f, k.value) for f, k in _DICTIONARY], "form string, kind string")
+    return sweep.dictionary_contexts(table(spark, sf, "documents"), known, size=10)
 
 
 # -- samples ---------------------------------------------------------------------------------------------------------
