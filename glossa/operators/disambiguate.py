@@ -1,7 +1,4 @@
-"""Which long form does an occurrence of a short form mean? Nearest neighbours, and Gaussian mixtures by sampling.
-
-Parameters are those of the vocabulary and stay on the driver; vectors stay in their tasks, which return sums.
-"""
+"""Which long form does an occurrence of a short form mean? Nearest neighbours, and assignment by Gaussian parameters."""
 
 from __future__ import annotations
 
@@ -13,8 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions import sets, vectors
-from glossa.plans.materialize import discard, materialize
-from glossa.plans.skew import join_hot
 
 #: Known vectors that one matrix product takes.
 BLOCK = 4096
@@ -138,145 +133,6 @@ def initial_parameters(vocab: DataFrame, labelled: DataFrame, width: int, seed:
     return rows.select("sf", "lf", beta.alias("beta"), F.coalesce("mean", noise).alias("mean"))
 
 
-GIBBS = "iter int, sf string, lf string, beta double, n long, mean array<double>, log_fit double, validation_fit double"
-_DRAWN = "sf string, lf string, is_train int, n long, fit double, total array<double>"
-
-
-def _draws(logp: np.ndarray, ids: np.ndarray, *salt: int) -> np.ndarray:
-    """An index for each row of ``logp`` by its weights, from a number that follows from the row's id alone."""
-    p = np.exp(logp - logp.max(1, keepdims=True))
-    mixed = ids.astype(np.uint64) + np.uint64(hash((97, *salt)) & (1 << 63) - 1)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
-        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
-    u = (mixed >> np.uint64(11)) / float(1 << 53)
-    return np.minimum((u[:, None] > np.cumsum(p / p.sum(1, keepdims=True), axis=1)).sum(1), p.shape[1] - 1)
-
-
-def gibbs(
-    data: DataFrame, params: DataFrame, sweeps: int = 50, expansion_prior: float = 1.0, prior_mean: float = 0.0, prior_var: float = 1.0,
-    likelihood_var: float = 1.0, seed: int = 0, keep_every: int = 0,
-) -> DataFrame:
-    """Gibbs sampling of assignments, shares and means of each short form; seeded, so runs repeat.
-
-    ``data`` (id, sf, embedding, is_train), ``params`` (sf, lf, beta, mean): the vocabulary, which the driver holds. A sweep
-    is one job: rows draw their long form against broadcast parameters, tasks add up counts and vectors by long form, and
-    only these sums are shuffled and drawn from, so no short form is gathered. Returns the last sweep's parameters (and every
-    ``keep_every``-th), with mean log likelihoods of training and validation rows. Variances stand for standard deviations
-    of the draws, as with prior and likelihood of 1 both agree.
-    """
-    spark = data.sparkSession
-    x = data.select("sf", F.col("id").cast("long").alias("id"), F.col("is_train").cast("int").alias("is_train"), vectors.doubles(F.col("embedding")).alias("x"))
-    x = materialize(x, "gibbs-data")
-    given = params.select("sf", "lf", "beta", "mean").orderBy("sf", "lf").collect()
-    state = {s: ([r.lf for r in given if r.sf == s], np.array([r.beta for r in given if r.sf == s]), np.array([r["mean"] for r in given if r.sf == s])) for s in {r.sf for r in given}}
-    out: list[tuple] = []
-    for sweep in range(1, sweeps + 1):
-        shared = spark.sparkContext.broadcast(state)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, sweep=sweep) -> Iterator[pa.RecordBatch]:
-            sums: dict[tuple, list] = {}
-            for batch in batches:
-                sfs = batch.column(0).to_numpy(zero_copy_only=False)
-                ids, train, vec = batch.column(1).to_numpy(), batch.column(2).to_numpy(), _matrix(batch.column(3))
-                for s in set(sfs) & shared.value.keys():
-                    at = np.flatnonzero(sfs == s)
-                    names, beta, means = shared.value[s]
-                    v, width = vec[at], vec.shape[1]
-                    distance = (v**2).sum(1)[:, None] - 2 * v @ means.T + (means**2).sum(1)[None, :]
-                    const = -0.5 * width * np.log(2 * np.pi) - width * np.log(likelihood_var)
-                    logp = np.log(beta + 1e-300)[None, :] + const - distance / (2 * likelihood_var**2)
-                    drawn = _draws(logp, ids[at], seed, sweep)
-                    fit = logp[np.arange(len(at)), drawn]
-                    for i, t in {(int(i), int(t)) for i, t in zip(drawn, train[at], strict=True)}:
-                        here = (drawn == i) & (train[at] == t)
-                        cell = sums.setdefault((s, names[i], t), [0, 0.0, np.zeros(width)])
-                        cell[0] += int(here.sum())
-                        cell[1] += float(fit[here].sum())
-                        cell[2] += v[here].sum(0)
-            rows = [(*key, n, fit, total.tolist()) for key, (n, fit, total) in sums.items()]
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["sf", "lf", "is_train", "n", "fit", "total"])
-
-        parts = x.mapInArrow(run, _DRAWN).groupBy("sf", "lf", "is_train").agg(
-            F.sum("n").alias("n"), F.array_sort(F.collect_list("fit")).alias("fits"), F.array_sort(F.collect_list("total")).alias("totals")
-        )  # a vector for each task and long form: no more than tasks times the vocabulary
-        seen = {(r.sf, r.lf, r.is_train): (r.n, sum(r.fits), np.sum(r.totals, axis=0)) for r in parts.collect()}
-        rng, fresh = np.random.default_rng([seed, sweep]), {}
-        for s in sorted(state):
-            names, beta, means = state[s]
-            own = [seen.get((s, lf, 1), (0, 0.0, 0.0)) for lf in names]
-            other = [seen.get((s, lf, 0), (0, 0.0, 0.0)) for lf in names]
-            counts, sums = np.array([c for c, _, _ in own]), np.array([t + np.zeros(means.shape[1]) for _, _, t in own])
-            if sweep == sweeps or keep_every and sweep % keep_every == 0:
-                fits = [sum(f for _, f, _ in side) / n if (n := sum(c for c, _, _ in side)) else float("nan") for side in (own, other)]
-                out += [(sweep, s, lf, float(b), int(c), m.tolist(), *fits) for lf, b, c, m in zip(names, beta, counts, means, strict=True)]
-            spread = 1 / prior_var + counts / likelihood_var
-            centre = (prior_mean / prior_var + sums / likelihood_var) / spread[:, None]
-            drawn = rng.normal(centre, (1 / spread)[:, None])
-            fresh[s] = (names, rng.dirichlet(counts + expansion_prior), np.where(counts[:, None] > 0, drawn, means))
-        shared.unpersist()
-        state = fresh
-    return spark.createDataFrame(out, GIBBS)
-
-
-def topic_gibbs(
-    examples: DataFrame, vocab: dict[str, list[str]], topics: int, sweeps: int = 50, topic_prior: float = 1.0, expansion_prior: float = 1.0, seed: int = 0
-) -> tuple[DataFrame, list[float]]:
-    """Gibbs sampling where each document mixes topics and each topic has its own shares of a short form's long forms.
-
-    ``examples`` (id, doc, sf, embedding) of any size; ``vocab`` and the topics' parameters are what the driver holds. Each
-    sweep counts the topics of each document, draws every row's long form and topic against broadcast shares and means, and
-    writes the rows with their new state; new shares and means come from sums by (topic, long form). A document's mixture is
-    the mean of its topics' posterior, not a draw. Returns rows (id, doc, sf, lf, topic) and the mean log joint by sweep.
-    """
-    spark = examples.sparkSession
-    rng = np.random.default_rng(seed)
-    rows = examples.select(F.col("id").cast("long").alias("id"), F.col("doc").cast("string").alias("doc"), "sf", vectors.doubles(F.col("embedding")).alias("x"))
-    rows = rows.where(F.col("sf").isin(*vocab))
-    rows = materialize(rows.withColumns({"topic": F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(topics)).cast("int"), "lf": F.lit(None).cast("string")}), "topic-rows")
-    width = rows.select(F.size("x").alias("n")).first()
-    width = width.n if width else 1
-    betas = {s: rng.dirichlet(np.full(len(v), expansion_prior), topics) for s, v in vocab.items()}
-    means = {s: rng.normal(size=(len(v), width)) for s, v in vocab.items()}
-    joints: list[float] = []
-    schema = "id long, doc string, sf string, x array<double>, topic int, lf string, joint double"
-    for sweep in range(sweeps):
-        counts = F.array(*[F.count_if(F.col("topic") == t) for t in range(topics)])
-        told = materialize(rows.groupBy("doc").agg(counts.alias("counts"), F.count("*").alias("n")), "topic-docs")
-        shared = spark.sparkContext.broadcast((betas, means))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, sweep=sweep) -> Iterator[pa.RecordBatch]:
-            betas, means = shared.value
-            for batch in batches:
-                ids, sfs = batch.column("id").to_numpy(), batch.column("sf").to_numpy(zero_copy_only=False)
-                vec, theta = _matrix(batch.column("x")), _matrix(batch.column("counts")) + topic_prior
-                theta = np.log(theta / theta.sum(1, keepdims=True))
-                topic, joint = batch.column("topic").to_numpy().copy(), np.zeros(len(ids))
-                names = np.empty(len(ids), object)
-                for s in set(sfs):
-                    at = np.flatnonzero(sfs == s)
-                    fit = -0.5 * (((vec[at][:, None, :] - means[s][None]) ** 2) + np.log(2 * np.pi)).sum(2)
-                    lf = _draws(np.log(betas[s][topic[at]] + 1e-300) + fit, ids[at], seed, sweep, 1)
-                    weight = theta[at] + np.log(betas[s][:, lf].T + 1e-300)
-                    topic[at] = _draws(weight, ids[at], seed, sweep, 2)
-                    names[at] = np.array(vocab[s], object)[lf]
-                    joint[at] = weight[np.arange(len(at)), topic[at]] + fit[np.arange(len(at)), lf]
-                state = [pa.array(topic, pa.int32()), pa.array(names, pa.string()), pa.array(joint)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "doc", "sf", "x")], *state], ["id", "doc", "sf", "x", "topic", "lf", "joint"])
-
-        last, rows = rows, materialize(join_hot(rows, told, ["doc"]).mapInArrow(run, schema), "topic-rows")
-        discard(last)
-        cells = {(r.sf, r.lf, r.topic): r.n for r in rows.groupBy("sf", "lf", "topic").agg(F.count("*").alias("n")).collect()}
-        centres = {(r.sf, r.lf): np.array(r["mean"]) for r in vectors.mean_vectors(rows, ["sf", "lf"], "x").select("sf", "lf", "mean").collect()}
-        joints.append(rows.agg(F.avg("joint")).first()[0])
-        for s, names in vocab.items():
-            betas[s] = np.stack([rng.dirichlet([cells.get((s, lf, t), 0) + expansion_prior for lf in names]) for t in range(topics)])
-            means[s] = np.stack([centres.get((s, lf), old) for lf, old in zip(names, means[s], strict=True)])
-        shared.unpersist()
-    return rows.select("id", "doc", "sf", "lf", "topic"), joints
-
-
 def evaluate(data: DataFrame, params: DataFrame) -> DataFrame:
     """(id, sf, truth, predicted): the likeliest long form of labelled vectors (id, sf, lf, embedding) by saved parameters."""
     best = best_assignment(assignments(data, params)).select("id", F.col("lf").alias("predicted"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import edit, sets, text, vectors
 from glossa.operators import (
-    abbreviations, cluster, collect, contexts, dictionary, disambiguate, embedding, inclusion, listings, metrics, sampling,
+    abbreviations, cluster, collect, contexts, dictionary, disambiguate, embedding, inclusion, listings, metrics, sampler, sampling,
     sweep,
 )
 
@@ -702,15 +702,13 @@ def stable_products(spark, sf):
 def gibbs_disambiguate(spark, sf):
     rows = sampling.split(_vectors(spark, sf), sampling.modular("id"))
     params = disambiguate.mean_parameters(rows.where("is_train = 1"))
-    return disambiguate.gibbs(rows, params, sweeps=30, keep_every=10)
+    return sampler.gibbs(rows, params, sweeps=30, keep_every=10)
 
 
 @query()
 def topic_gibbs(spark, sf):
     rows = _vectors(spark, sf).withColumn("doc", F.col("id") % 20)
-    named = sorted((r.sf, r.lf) for r in rows.select("sf", "lf").distinct().collect())
-    vocab = {s: [lf for t, lf in named if t == s] for s in {s for s, _ in named}}
-    _, joints = disambiguate.topic_gibbs(rows, vocab, topics=5, sweeps=5)
+    _, joints = sampler.topic_gibbs(rows, rows.select("sf", "lf").distinct(), topics=5, sweeps=5)
     return spark.createDataFrame(list(enumerate(joints)), "sweep int, log_joint double")
 
 

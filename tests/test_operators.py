@@ -107,33 +107,6 @@ def test_knn_ties_go_to_the_farthest(spark):
     assert got.n == 3 and abs(got.exact - 1 / 3) < 1e-12 and abs(got.approximate - 2 / 3) < 1e-12
 
 
-def test_gibbs(spark):
-    rng = np.random.default_rng(0)
-    rows = [(i, s, (rng.normal(size=4) * 0.3 + (3 if i % 2 else -3)).tolist(), int(i % 5 > 0)) for i in range(120) for s in ("S", "T")]
-    data = spark.createDataFrame(rows, "id long, sf string, embedding array<double>, is_train int")
-    params = spark.createDataFrame([(s, lf, 0.5, [v] * 4) for s in "ST" for lf, v in (("hi", 1.0), ("lo", -1.0))], "sf string, lf string, beta double, mean array<double>")
-    got = disambiguate.gibbs(data, params, sweeps=20, keep_every=5)
-    rows = got.orderBy("sf", "iter", "lf").collect()
-    assert len(rows) == 16 and rows == disambiguate.gibbs(data, params, sweeps=20, keep_every=5).orderBy("sf", "iter", "lf").collect()
-    last = {(r.sf, r.lf): r for r in rows if r.iter == 20}
-    assert all(abs(sum(last[s, lf].beta for lf in ("hi", "lo")) - 1) < 1e-9 for s in "ST")
-    assert all(np.mean(last[s, "hi"].mean) > 2 and np.mean(last[s, "lo"].mean) < -2 for s in "ST")
-    scored = disambiguate.assignments(data, params)
-    assert {r.id % 2: r.lf for r in disambiguate.best_assignment(scored.where("sf = 'S'")).collect()} == {0: "lo", 1: "hi"}
-
-
-def test_topic_gibbs(spark):
-    rng = np.random.default_rng(1)
-    rows = [(d, s, (rng.normal(size=3) + (4 if d % 2 else -4)).tolist()) for d in range(10) for s in ("A", "B") for _ in range(4)]
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)] + [(99, 1, "unknown", [0.0] * 3)], "id long, doc int, sf string, embedding array<double>")
-    vocab = {"A": ["x", "y"], "B": ["u", "v", "w"]}
-    got, joints = disambiguate.topic_gibbs(df, vocab, topics=3, sweeps=8)
-    rows = sorted(map(tuple, got.collect()))
-    again, other = disambiguate.topic_gibbs(df, vocab, topics=3, sweeps=8)
-    assert len(rows) == 80 and rows == sorted(map(tuple, again.collect())) and np.allclose(joints, other)
-    assert joints[-1] > joints[0] and {r[3] for r in rows} <= {"x", "y", "u", "v", "w"} and {r[4] for r in rows} <= {0, 1, 2}
-
-
 def test_neighbours_in_blocks(spark):
     rng = np.random.default_rng(2)
     known = [(i, "hot" if i % 3 else "b", f"L{i % 4}", rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(200)]
