@@ -38,11 +38,18 @@ WINDOW, GRAIN, END_ID = 4096, 64, 2
 QUEUES = 256
 #: A share of 1, in the whole numbers that shares are rounded to; a share is at least 1.
 UNIT = 1 << 20
-KEPT_WORDS, KEPT_LENGTH = 300_000, 64
+KEPT_WORDS, KEPT_LENGTH = 500_000, 64
+#: Unknown words that the library reads as one text.
+JOINED = 2000
 #: Tokens of rows that leave a task in one batch.
 BATCH_TOKENS = 1 << 20
-#: White space to Python that the tokenizer's rules take as ordinary characters.
+#: The words that the vocabulary's rules make of lower-cased text in plain Latin letters.
+NUMBER = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+WORD = rf"[^\W_{NUMBER}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBER}]|(?:[^\w\s]|_)+"
+#: Beyond plain Latin letters, normalising and lower-casing are left to the library; so are characters that are white
+#: space to Python only, and what may be an added token.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+OTHER = re.compile("[^\x00-\x1b\x20-\u024f]|<\\|")
 
 
 def default_path() -> str:
@@ -52,7 +59,7 @@ def default_path() -> str:
 
 
 class WordEncoder:
-    """Ids of texts by the tokenizers library, which is asked once for each word between white space.
+    """Ids of texts by the tokenizers library, which is asked once for each word.
 
     The vocabulary's rules drop white space, and neither its normaliser nor its pattern reaches across it, so a text's
     ids are those of its words. Ids are packed as little-endian unsigned 16-bit integers.
@@ -67,25 +74,53 @@ class WordEncoder:
         self.library.no_padding()
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
+        self.words = re.compile(WORD).findall
         self.kept: dict[str, bytes] = {}
+        self.others: set[str] = set()
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ask_words(self, words: list[str]) -> list[bytes]:
+        """Ids of single words, read as one text and cut where words end."""
+        ids = np.frombuffer(self._ask([" ".join(words)])[0], "<u2")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return self._ask(words)
+        raw, cuts = ids.tobytes(), [0, *(2 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _split(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if not OTHER.search(text):
+            return self.words(text.lower())
+        out: list[str] = []
+        for part in [text] if SEPARATORS.search(text) else text.split():
+            if OTHER.search(part):
+                self.others.add(part)
+                out.append(part)
+            else:
+                out += self.words(part.lower())
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
-        split = [None if not t or SEPARATORS.search(t) else t.split() for t in texts]
-        unknown = list({w for words in split if words for w in words if w not in self.kept})
-        found = dict(zip(unknown, self._ask(unknown), strict=True))
-        self.kept.update((w, ids) for w, ids in found.items() if len(w) <= KEPT_LENGTH)
-        look = self.kept | found if len(found) < len(self.kept) // 8 else {**self.kept, **found}
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(self._ask([text])[0] if text else b"")
-            else:
-                out.append(b"".join([look[w] for w in words]))
+        split, kept = [self._split(t) for t in texts], self.kept
+        unknown = {w for words in split for w in words if w not in kept}
+        plain, rest = list(unknown - self.others), list(unknown & self.others)
+        self.others.clear()
+        for at in range(0, len(plain), JOINED):
+            part = plain[at : at + JOINED]
+            kept.update(zip(part, self._ask_words(part), strict=True))
+        kept.update(zip(rest, self._ask(rest), strict=True))
+        out = [b"".join(map(kept.__getitem__, words)) for words in split]
+        for w in unknown:
+            if len(w) > KEPT_LENGTH:
+                del kept[w]
         return out
 
 
