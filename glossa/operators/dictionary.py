@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import sets, text
 from glossa.functions.stopwords import ENGLISH
+from glossa.plans.materialize import scratch_path
 
 #: A source's answer when it has none.
 NO_RESULT = "no results"
@@ -135,12 +136,8 @@ def last_attributes(rows: DataFrame, columns: list[str], position: str) -> DataF
     return rows.groupBy("sf", "lf").agg(last).select("sf", "lf", "last.*")
 
 
-def tag_in_batches(rows: DataFrame, tagger: Callable[[list[str]], list[str | None]], size: int = 1000) -> DataFrame:
-    """(idx, cui): concepts from a tagger that takes lists of at most ``size`` phrases and may fail.
-
-    Base forms go in batches; the rows of a batch that failed are tried one by one by their long form; what fails again
-    has the concept ``ERROR``. Each Spark task holds one client, and a lost task is run again.
-    """
+def _tagged(tagger: Callable[[list[str]], list[str | None]], batch: pd.DataFrame) -> list[str | None]:
+    """Concepts of one batch by its base forms; if that fails, of its rows one by one by their long forms."""
 
     def one(phrase: str) -> str | None:
         try:
@@ -148,19 +145,72 @@ def tag_in_batches(rows: DataFrame, tagger: Callable[[list[str]], list[str | Non
         except Exception:  # whatever a service raises marks the row, not the job
             return ERROR
 
+    try:
+        return tagger(batch.lf_base.tolist())
+    except Exception:
+        return [one(x) for x in batch.lf]
+
+
+def tag_in_batches(rows: DataFrame, tagger: Callable[[list[str]], list[str | None]], size: int = 1000) -> DataFrame:
+    """(idx, cui): concepts from a tagger that takes lists of at most ``size`` phrases and may fail.
+
+    Base forms go in batches; the rows of a batch that failed are tried one by one by their long form; what fails again
+    has the concept ``ERROR``. Each Spark task holds one client, and a lost task is run again.
+    """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for at in range(0, len(whole), size):
-                batch = whole.iloc[at : at + size]
-                try:
-                    found = tagger(batch.lf_base.tolist())
-                except Exception:
-                    found = [one(x) for x in batch.lf]
-                yield pd.DataFrame({"idx": batch.idx.to_numpy(), "cui": found})
+            found = [_tagged(tagger, whole.iloc[at : at + size]) for at in range(0, len(whole), size)]
+            yield pd.DataFrame({"idx": whole.idx.to_numpy(), "cui": [c for part in found for c in part]})
 
     return rows.select(F.col("idx").cast("long").alias("idx"), "lf_base", "lf").mapInPandas(run, "idx long, cui string")
 
 
+def tag_with_restart(
+    rows: DataFrame, tagger: Callable[[list[str]], list[str | None]], path: str, size: int = 1000, wave: int = 256, most_waves: int | None = None
+) -> DataFrame:
+    """(idx, batch, cui): ``tag_in_batches`` into ``path``, a folder the cluster shares, so that a stopped run goes on where it was.
+
+    Row idx belongs to batch idx // ``size``, whatever the run; its rows are tagged by one call. ``wave`` batches are one job
+    and are committed together: a later run with the same arguments skips what is committed, asks again for no batch of it,
+    and at most one wave is done twice. ``most_waves`` ends a run early. Rows without idx are not tagged; a batch is held in
+    one task, and repeated rows are tagged each for itself.
+    """
+    spark, root = rows.sparkSession, path.rstrip("/")
+    todo = scratch_path(spark, "tag-rows")
+    batch = F.floor(F.col("idx") / size).cast("long")
+    dealt = rows.where("idx is not null").select(F.col("idx").cast("long").alias("idx"), "lf_base", "lf").withColumn("batch", batch)
+    dealt.withColumn("wave", F.floor(F.col("batch") / wave).cast("long")).write.partitionBy("wave").parquet(todo)
+    waves = sorted(r.wave for r in spark.read.schema("wave long").parquet(todo).select("wave").distinct().collect())
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = {w for w in waves if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/wave={w}/_SUCCESS"))}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def flush() -> pd.DataFrame:
+            mine = pd.concat(held)
+            return pd.DataFrame({"idx": mine.idx.to_numpy(), "batch": mine.batch.to_numpy(), "cui": _tagged(tagger, mine)})
+
+        for part in batches:
+            for key, mine in part.groupby("batch", sort=True):
+                if held and held[0].batch.iat[0] != key:
+                    yield flush()
+                    held = []
+                held.append(mine)
+        if held:
+            yield flush()
+
+    schema = "idx long, batch long, cui string"
+    for w in [w for w in waves if w not in done][:most_waves]:
+        mine = spark.read.parquet(todo).where(F.col("wave") == w).select("idx", "batch", "lf_base", "lf")
+        tagged = mine.repartition("batch").sortWithinPartitions("batch", "idx").mapInPandas(run, schema)
+        tagged.write.mode("overwrite").parquet(f"{root}/wave={w}")
+        done.add(w)
+    parts = [f"{root}/wave={w}" for w in sorted(done)]
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+
 def untagged(rows: DataFrame, tagged: DataFrame) -> DataFrame:
     """Rows that a stopped run hasn't tagged: a rerun takes these."""
     return rows.join(tagged.select("idx"), "idx", "left_anti")

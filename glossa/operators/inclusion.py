@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import CountVectorizer, VectorAssembler
@@ -11,6 +15,8 @@ from pyspark.sql import functions as F
 
 from glossa.functions import sets, text
 from glossa.functions.stopwords import ENGLISH
+from glossa.operators import sampling
+from glossa.plans.materialize import materialize
 
 NUMERIC = ("support", "distance", "base_distance", "base_length", "stopwords", "from_pubmed")
 
@@ -54,6 +60,27 @@ def keep_valid(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return predict(model, rows).where("is_valid = 1").select(*rows.columns)
 
 
+def cross_validate(
+    rows: DataFrame, key: str, label: str = "label", folds: int = 99, test_share: float = 0.2, kind: str = "forest", trees: int = 200, seed: int = 0, parallelism: int = 4
+) -> DataFrame:
+    """(fold, key, label, p): the probability of every test row of every stratified fold, by a model fitted on the fold's other rows.
+
+    Each fold's fit is a Spark job over the fold's rows, ``parallelism`` of them at a time; models are small and features
+    are learned from training rows alone. What a fold predicts is written before its model is let go.
+    """
+    given = rows.select(key, label, "sf", "lf", "lf_base", "source", "semtypes", "semgroups")
+    dealt = materialize(sampling.stratified_folds(given, label, folds, test_share, key), "folds")
+
+    def one(fold: int) -> DataFrame:
+        mine = dealt.where(F.col("fold") == fold)
+        model = fit(mine.where("is_test = 0"), label, kind, trees, seed + fold)
+        return materialize(predict(model, mine.where("is_test = 1")).select("fold", key, label, "p"), "fold-predicted")
+
+    with ThreadPool(min(parallelism, folds)) as pool:
+        found = pool.map(inheritable_thread_target(rows.sparkSession)(one), range(folds))
+    return reduce(DataFrame.unionByName, found)
+
+
 def merge_scores(pairs: DataFrame) -> DataFrame:
     """``pairs`` (lf_1, lf_2) with the Jaccard similarity of their lower-case tokens."""
     tokens = [text.space_tokens(F.lower(F.col(c))) for c in ("lf_1", "lf_2")]

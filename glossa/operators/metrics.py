@@ -54,6 +54,20 @@ def roc_auc(rows: DataFrame, label: str = "label", score: str = "score") -> Data
     return per.agg(F.try_divide(F.sum(neg * (above + F.col("pos") / 2)), F.sum("pos") * F.sum(neg)).alias("auc"))
 
 
+def roc_auc_by(rows: DataFrame, by: str, label: str = "label", score: str = "score") -> DataFrame:
+    """(by, n, auc): ``roc_auc`` of each group, all groups in one pass; null where a group has one class only."""
+    per = rows.groupBy(by, F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
+    told = running_sums(per, ["pos"], by, "score")
+    # positives with a lower score, counted from where the group begins
+    before = told.groupBy(by).agg(F.min(F.col("upto_pos") - F.col("pos")).alias("open"), F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n"))
+    cells = told.join(before, told[by].eqNullSafe(before[by])).drop(before[by])
+    below = (F.col("upto_pos") - F.col("pos") - F.col("open")).cast("double")
+    neg = (F.col("n") - F.col("pos")).cast("double")
+    above = F.col("all_pos") - below - F.col("pos")
+    got = cells.groupBy(by).agg(F.sum(neg * (above + F.col("pos") / 2)).alias("won"), F.first("all_pos").alias("p"), F.first("all_n").alias("n"))
+    return got.select(by, "n", F.try_divide("won", F.col("p").cast("double") * (F.col("n") - F.col("p"))).alias("auc"))
+
+
 def fold_average(rows: DataFrame, key: str, probability: str = "p", threshold: float = 0.5) -> DataFrame:
     """(key, p, predicted): mean probability of a row over the folds that tested it."""
     return rows.groupBy(key).agg(F.avg(probability).alias("p")).withColumn("predicted", (F.col("p") >= threshold).cast("int"))

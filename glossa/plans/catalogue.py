@@ -18,10 +18,11 @@ from glossa.operators import (
     sweep,
 )
 
+from glossa.plans.materialize import scratch_path
 from glossa.plans.ranges import numbered
 from glossa.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
-from glossa.sources.readers import evaluation_rows, lookup_source, synthetic_documents, synthetic_vectors
-from glossa.sources import sinks
+from glossa.sources.readers import lookup_source
+from glossa.sources import models, sinks
 from glossa.sources.tables import table
 
 #: (form, phrase variants by bars)
@@ -228,11 +229,11 @@ def find_term(spark, sf):
     return dictionary.find_term(rows, "anvil")
 
 
-@query(f"""SELECT DISTINCT {SF_SQL} AS sf, p_name AS lf FROM part WHERE p_size > 40 AND {SF_SQL} IN ('RB', 'OG')""")
+@query(f"""SELECT DISTINCT {SF_SQL} AS sf, p_name AS lf FROM part WHERE {SF_SQL} IN ('RB', 'OG')""")
 def term_lookup(spark, sf):
     rows = expansions(spark, sf)
     wanted = spark.sql("SELECT * FROM VALUES ('RB'), ('OG'), ('XX') AS t(sf)")
-    return lookup_source(wanted, rows.where("size > 40").select("sf", "lf").distinct())
+    return lookup_source(wanted, rows.select("sf", "lf").distinct())
 
 
 _VOCAB = f"""WITH p AS (SELECT {SF_SQL} AS sf, p_name || ' ' || p_type AS lf, p_partkey AS pos, CASE WHEN p_type IN ('PROMO', 'SMALL') THEN 0 ELSE p_size % 7 + 1 END AS support FROM part),
@@ -289,6 +290,24 @@ def tag_in_batches(spark, sf):
     return done.union(dictionary.tag_in_batches(dictionary.untagged(rows, done), _tagger, 1))
 
 
+def _careful_tagger(phrases: list[str]) -> list[str | None]:
+    """As ``_tagger``, but only a green part of a number that ends in 777 is too much."""
+    if any("green" in p and p.endswith("777") for p in phrases):
+        raise RuntimeError("no answer")
+    return [next((w.upper() for w in p.split() if len(w) == 5 and w.isalpha()), None) for p in phrases]
+
+
+@query("""WITH p AS (SELECT p_partkey AS idx, p_partkey // 1000 AS batch, p_type, p_name, bool_or(contains(p_name, 'green') AND p_partkey % 1000 = 777) OVER (PARTITION BY p_partkey // 1000) AS failed FROM part)
+SELECT idx, CAST(batch AS BIGINT) AS batch, upper(list_filter(string_split(CASE WHEN failed THEN p_type ELSE p_name END, ' '), lambda w: length(w) = 5)[1]) AS cui FROM p""")
+def tag_with_restart(spark, sf):
+    """Batches of 1,000; a run that ends after one wave, and one that goes on from what it wrote."""
+    number = F.concat_ws(" ", "p_name", "p_partkey")
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("idx"), number.alias("lf_base"), F.col("p_type").alias("lf"))
+    path = scratch_path(spark, "tagged")
+    dictionary.tag_with_restart(rows, _careful_tagger, path, wave=4, most_waves=1)
+    return dictionary.tag_with_restart(rows, _careful_tagger, path, wave=4)
+
+
 # -- clusters --------------------------------------------------------------------------------------------------------
 
 _NAMES = """WITH RECURSIVE n AS (SELECT DISTINCT upper(left(p_name, 1)) AS sf, p_name AS id, string_split(p_name, ' ') AS w FROM part),
@@ -777,22 +796,6 @@ def organised_vectors(spark, sf):
     return embedding.organised(_vectors(spark, sf).withColumnRenamed("lf", "form")).select("sf", "form", "is_own", "n")
 
 
-@query()
-def synthetic_data(spark, sf):
-    return synthetic_vectors(spark, ["AB", "CD", "EF"], 100, 10, 1.0, 7)
-
-
-@query("""WITH d AS (SELECT unnest(range(200)) AS doc_id), w AS (SELECT doc_id, unnest(range(12)) AS i FROM d)
-SELECT doc_id, string_agg(['aorta', 'blood', 'cell', 'drug', 'ear'][CAST((((doc_id * 12 + i + 3) * 2654435761) % 1000003) % 5 + 1 AS INTEGER)], ' ' ORDER BY i) AS text FROM w GROUP BY doc_id""")
-def synthetic_texts(spark, sf):
-    return synthetic_documents(spark, ["aorta", "blood", "cell", "drug", "ear"], 200, 12, 3)
-
-
-@query("SELECT unnest(range(10)) AS id, 'AB' AS sf, 'above' AS lf, 8 AS width")
-def evaluation_data(spark, sf):
-    return evaluation_rows(spark, "AB", "above", 8).select("id", "sf", "lf", F.size("embedding").alias("width"))
-
-
 # -- metrics and models ----------------------------------------------------------------------------------------------
 
 
@@ -855,16 +858,39 @@ def inclusion_names(spark, sf):
     return inclusion.featurise(rows).select("id", F.array_join(F.array_sort("names"), ",").alias("names"))
 
 
-@query()
-def inclusion_forest(spark, sf):
-    rows = expansions(spark, sf).select(
+def _judged(spark, sf):
+    """Expansions with features, and a label that follows from them."""
+    return expansions(spark, sf).select(
         "id", "sf", "lf", F.col("lf").alias("lf_base"), "source", F.col("cui").alias("semtypes"), F.substring("cui", 1, 1).alias("semgroups"), (F.length("lf") > 9).cast("int").alias("label")
     )
-    rows = sampling.split(rows, sampling.modular("id"))
+
+
+@query()
+def inclusion_forest(spark, sf):
+    rows = sampling.split(_judged(spark, sf), sampling.modular("id"))
     model = inclusion.fit(rows.where("is_train = 1"), trees=20)
     return inclusion.predict(model, rows.where("is_train = 0")).select("id", "p", "is_valid", "label")
 
 
+@query()
+def stored_inclusion_filter(spark, sf):
+    """A filter that is fitted, saved, loaded by its columns, and applied to all expansions."""
+    rows = _judged(spark, sf)
+    path = scratch_path(spark, "inclusion-model")
+    models.save_model(inclusion.fit(rows, kind="logistic"), inclusion.featurise(rows), path)
+    return inclusion.keep_valid(models.load_model(spark, path, inclusion.featurise(rows)), rows).select("id", "sf", "lf", "label")
+
+
+@query()
+def cross_validation(spark, sf):
+    """Five stratified folds through fitted forests: AUC of each, and how many rows the mean over folds gets wrong."""
+    found = inclusion.cross_validate(_judged(spark, sf), "id", folds=5, trees=10)
+    truth = found.select("id", "label").distinct()
+    wrong = metrics.mispredicted(metrics.fold_average(found, "id").join(truth, "id"), "label").select("id")
+    per = found.join(wrong.withColumn("wrong", F.lit(1)), "id", "left").groupBy("fold").agg(F.count("wrong").alias("mispredicted"))
+    return metrics.roc_auc_by(found, "fold", "label", "p").join(per, "fold")
+
+
 _MERGE = _NAMES + ", m AS (SELECT a AS lf_1, b AS lf_2, similarity FROM s WHERE similarity > 0) "
 
 

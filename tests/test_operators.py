@@ -1,7 +1,10 @@
 import math
 import random
+import uuid
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from glossa.operators import abbreviations, cluster, collect, dictionary, disambiguate, embedding, inclusion, listings, metrics, sampling
@@ -130,6 +133,36 @@ def test_cropped_encoding_is_the_same(spark):
     assert key(embedding.embed(df)) == key(embedding.embed(df, encoder=whole))
 
 
+def test_tagging_goes_on_after_a_stop(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def tagger(phrases):
+        (calls / uuid.uuid4().hex).write_text("|".join(phrases))
+        if "p25" in phrases or stop.exists() and "p33" in phrases:
+            raise (SystemExit if "p33" in phrases else ValueError)("no answer")
+        return [p.upper() for p in phrases]
+
+    stop = tmp_path / "stop"
+    rows = [(i, f"p{i}", f"q{i}") for i in range(60) if i != 41] + [(None, "x", "y"), (7, "p7", "q7")]
+    df = spark.createDataFrame(rows, "idx long, lf_base string, lf string").repartition(4)
+    whole = sorted(map(tuple, dictionary.tag_with_restart(df, tagger, f"{tmp_path}/whole", 5, 2).collect()))
+    assert len(whole) == 60 and {c for i, b, c in whole if b == 5} == {f"Q{i}" for i in range(25, 30)} and (7, 1, "P7") in whole
+    for old in calls.iterdir():
+        old.unlink()
+    stop.touch()
+    with pytest.raises(Exception, match="SystemExit|no answer|crash|failed"):
+        dictionary.tag_with_restart(df, tagger, f"{tmp_path}/cut", 5, 2)
+    stop.unlink()
+    before = {c.read_text() for c in calls.iterdir()}
+    assert sorted(map(tuple, dictionary.tag_with_restart(df, tagger, f"{tmp_path}/cut", 5, 2).collect())) == whole
+    seen = Counter(c.read_text() for c in calls.iterdir())
+    # the waves before the stop were asked for once, by the run that was stopped
+    first = [t for t in seen if t.startswith("p") and int(t.split("|")[0][1:]) < 30]
+    assert len(first) == 6 and all(seen[t] == 1 and t in before for t in first)
+    assert dictionary.tag_with_restart(df.limit(0), tagger, f"{tmp_path}/none").count() == 0
+
+
 def test_tagger_that_fails(spark):
     def tagger(phrases):
         if any("bad" in p for p in phrases):

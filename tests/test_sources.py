@@ -134,3 +134,11 @@ def test_one_file_is_spread_over_splits(spark, put, split):
     for i, text in enumerate(texts):
         mine = sorted((r.doc_id, r.text) for r in got if r.file.endswith(f"/{i}.txt"))
         assert mine == sorted(_scan(text, "<DOCSTART>"))
+
+
+def test_made_up_rows_repeat(spark):
+    vectors = R.synthetic_vectors(spark, ["AB", "CD"], 10, 3, 1.0, 7).collect()
+    assert vectors == R.synthetic_vectors(spark, ["AB", "CD"], 10, 3, 1.0, 7).collect() and [r.sf for r in vectors[:3]] == ["AB", "CD", "AB"]
+    texts = R.synthetic_documents(spark, ["x", "y"], 5, 4).collect()
+    assert len(texts) == 5 and all(set(r.text.split()) <= {"x", "y"} and len(r.text.split()) == 4 for r in texts)
+    assert {tuple(r.embedding) for r in R.evaluation_rows(spark, "AB", "above", 2).collect()} == {(1.0, 1.0)}
