@@ -13,7 +13,7 @@
    Every link then lies inside a group.
 5. Links inside a group are counted exactly, in pairs of blocks, without listing them: a pair of blocks gives counts and
    a spanning forest. The forests give the components.
-6. Audit: ``AUDIT`` nodes (lowest hashes) are compared with all nodes. If less than ``RECALL`` of their links were
+6. Audit: ``AUDIT`` nodes (lowest hashes), or up to ``AUDIT_MOST`` until they have ``AUDIT_LINKS`` links, are compared with all nodes. If less than ``RECALL`` of their links were
    counted, the graph gets as many more rounds and another descent, at most ``RETRIES`` times; after that every label is
    one group, which is exact. The last audit's share is returned with each row.
 
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from glossa.plans.components import connected_components
@@ -43,6 +43,8 @@ THRESHOLD, K, K_MOST, BLOCK = 0.98, 8, 32, 1024
 BUCKET, MEET, AT_ONCE, SEED = 512, 0.999, 2, 11
 STEPS, SLOW = 5, 0.001
 AUDIT, RECALL, RETRIES = 200, 0.995, 2
+#: Links that an audit should see, and the most nodes it takes for them.
+AUDIT_LINKS, AUDIT_MOST = 100, 1600
 
 
 def _vectors(column: pa.ListArray) -> np.ndarray:
@@ -318,9 +320,25 @@ def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[i
         yield key, nodes, np.concatenate(parts), np.concatenate(weights)
 
 
-def audited(classes: DataFrame, counted: DataFrame, threshold: float) -> float:
-    """The share of the audit nodes' links, found by comparing them with all nodes, that were counted."""
-    chosen = classes.orderBy(F.xxhash64(F.lit("audit"), "node")).limit(AUDIT).select("node", "label", "dim", "unit").collect()
+def audited(classes: DataFrame, counted: DataFrame, threshold: float) -> float | None:
+    """The share of the audit nodes' links, found by comparing them with all nodes, that were counted.
+
+    Nodes are taken until they have ``AUDIT_LINKS`` links, at most ``AUDIT_MOST`` of them; None if they have none at all.
+    """
+    real = got = taken = 0
+    while taken < AUDIT_MOST and real < AUDIT_LINKS:
+        size = min(max(AUDIT, taken), AUDIT_MOST - taken)
+        chosen = classes.orderBy(F.xxhash64(F.lit("audit"), "node"), "node").limit(taken + size).select("node", "label", "dim", "unit").collect()[taken:]
+        if not chosen:
+            break
+        taken += len(chosen)
+        links = _audit(classes, counted, threshold, chosen)
+        real, got = real + links[0], got + links[1]
+    return got / real if real else None
+
+
+def _audit(classes: DataFrame, counted: DataFrame, threshold: float, chosen: list[Row]) -> tuple[int, int]:
+    """(links, those that were counted) of some nodes."""
     groups: dict[tuple[int, int], tuple[list[int], np.ndarray]] = {}
     for r in chosen:
         groups.setdefault((r.label, r.dim), ([], []))[0].append(r.node)  # type: ignore[arg-type]
@@ -344,7 +362,7 @@ def audited(classes: DataFrame, counted: DataFrame, threshold: float) -> float:
 
     real = classes.mapInArrow(run, "node long, real long").groupBy("node").agg(F.sum("real").alias("real"))
     got = real.join(counted, "node", "left").agg(F.sum("real"), F.sum(F.coalesce("links", F.lit(0)))).first()
-    return got[1] / got[0] if got[0] else 1.0
+    return got[0] or 0, got[1] or 0
 
 
 def _groups(classes: DataFrame, lists: DataFrame, threshold: float, k_most: int) -> DataFrame:
@@ -362,7 +380,7 @@ def _groups(classes: DataFrame, lists: DataFrame, threshold: float, k_most: int)
 def near_duplicates(
     rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """(vec_id, n_links, component_id, audited): one row for every row given."""
+    """(vec_id, n_links, component_id, audited): one row for every row given; audited is null where the audit saw no link."""
     rows = rows.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).cast("long").alias("label")
     )
@@ -372,7 +390,7 @@ def near_duplicates(
     n = classes.count()
     bits, rounds = planned_rounds(n, threshold)
     floor = 2 * threshold**2 - 1
-    lists, links, counted, recall = None, -1, None, 1.0
+    lists, links, counted, recall = None, -1, None, None
     for attempt in range(RETRIES + 2 if n else 0):
         if attempt <= RETRIES:
             for at in range(attempt * rounds, (attempt + 1) * rounds, AT_ONCE):
@@ -390,9 +408,9 @@ def near_duplicates(
         counted = count_links(classes, members, threshold)
         per = materialize(counted.where("links is not null").groupBy("node").agg(F.sum("links").alias("links")), "vector-counts")
         recall = audited(classes, per, threshold)
-        if recall >= RECALL:
+        if recall is None or recall >= RECALL:
             break
-    own = [F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(recall).alias("audited")]
+    own = [F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(recall).cast("double").alias("audited")]
     lone = rows.where(~usable).select("vec_id", *own)
     if not n:
         return lone

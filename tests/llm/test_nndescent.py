@@ -119,3 +119,20 @@ def test_descent_finds_links(spark):
     for _ in range(3):
         lists = N.descend(classes, lists, 0.98, N.K, N.K_MOST, 0.9)
     assert lists.where("sim >= 0.98").count() > 0.9 * 20 * 12 * 11
+
+
+def test_an_audit_without_links_says_nothing(spark):
+    rows = [(i, [float(i == j) for j in range(8)], 1) for i in range(8)]
+    got = N.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {(r.n_links, r.audited) for r in got} == {(0, None)}
+
+
+def test_an_audit_goes_on_until_it_sees_links(spark, monkeypatch):
+    """Two linked nodes among many lone ones: the first nodes of the audit have no links."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 32))
+    x[299] = x[0] + 1e-3
+    monkeypatch.setattr(N, "AUDIT", 5)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    got = N.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.audited for r in got} == {1.0} and {r.vec_id for r in got if r.n_links} == {0, 299}
