@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from glossa.operators.contexts import word_piece_span
 
-Encoder = Callable[[list[list[str]]], np.ndarray]
 LAYERS = 4
 
 
@@ -46,31 +45,104 @@ def pieces_of(text: str) -> list[str]:
     return [p for w in text.lower().split() for p in [w[:4], *["##" + w[i : i + 4] for i in range(4, len(w), 4)]]]
 
 
+#: Tokens of a padded block, padding included: the encoder's memory is that times its layers and width.
+BLOCK_TOKENS = 1 << 15
+PAD = ""
+
+
+def hashed_block(block: list[list[str]], width: int = 32, layers: int = 6) -> np.ndarray:
+    """``hashed_layers`` of a padded block (texts of one length, filled with ``PAD``): (layers, texts, tokens, width)."""
+    known: dict[str, int] = {}
+    hashes = np.array([[known[t] if t in known else known.setdefault(t, crc32(t.encode())) for t in row] for row in block], np.int64)
+    real = np.array([[t != PAD for t in row] for row in block])
+    own = np.zeros((*hashes.shape, width))
+    np.put_along_axis(own, (hashes % width)[..., None], np.where(hashes >> 16 & 1, 1.0, -1.0)[..., None], axis=2)
+    own *= real[..., None]
+    stack = [own]
+    for _ in range(layers - 1):
+        last = stack[-1]
+        around = np.zeros_like(last)
+        around[:, 1:] += last[:, :-1]
+        around[:, :-1] += last[:, 1:]
+        stack.append((0.5 * last + 0.25 * around) * real[..., None])
+    return np.stack(stack)
+
+
+hashed_block.reach = hashed_layers.reach
+
+
+def _blocks(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows by length, cut so that a block padded to its longest row stays within ``BLOCK_TOKENS``."""
+    order = np.argsort(-sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    at = 0
+    while at < len(order):
+        n = max(1, BLOCK_TOKENS // int(sizes[order[at]]))
+        yield order[at : at + n]
+        at += n
+
+
+_EMBEDDED = "row_idx long, form string, sf string, span array<int>, embedding array<double>"
+
+
 def embed(
-    contexts: DataFrame, encoder: Callable = hashed_layers, tokenizer: Callable[[str], list[str]] = pieces_of, last_layers: int = LAYERS,
-    row_id: str = "row_idx",
+    contexts: DataFrame, encoder: Callable[[list[list[str]]], np.ndarray] = hashed_block, tokenizer: Callable[[str], list[str]] = pieces_of,
+    last_layers: int = LAYERS, row_id: str = "row_idx",
 ) -> DataFrame:
     """(row_idx, form, sf, span, embedding): mean over the short form's first span of pieces, then over the last layers.
 
-    Rows whose short form isn't found in its trimmed context get nulls. Batches are Arrow batches.
+    The encoder gets blocks of texts of nearly one length, padded with ``PAD``, once each, and returns (layers, texts, tokens,
+    width). If it has a ``reach``, the pieces on either side that a piece's layers depend on, the span and its surroundings
+    stand for the text, and texts that share them are encoded once a batch. Rows whose short form isn't found get nulls.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reach = getattr(encoder, "reach", None)
         for batch in batches:
-            pieces = [tokenizer(t or "") for t in batch.context_trimmed]
-            spans = [word_piece_span(p, (s or "").lower()) for p, s in zip(pieces, batch.sf, strict=True)]
-            reach = getattr(encoder, "reach", None)
-            if reach is not None:  # the span and its surroundings stand for the whole text
-                starts = [0 if sp is None else max(0, sp[0] - reach) for sp in spans]
-                pieces = [[] if sp is None else p[a : sp[1] + reach] for p, sp, a in zip(pieces, spans, starts, strict=True)]
-            else:
-                starts = [0] * len(spans)
-            hidden = encoder(pieces) if pieces else []
-            vectors = [None if sp is None else h[-last_layers:, sp[0] - a : sp[1] - a].mean(axis=1).mean(axis=0).tolist() for h, sp, a in zip(hidden, spans, starts, strict=True)]
-            yield pd.DataFrame({"row_idx": batch.row_idx, "form": batch.form, "sf": batch.sf, "span": [None if s is None else list(s) for s in spans], "embedding": vectors})
+            spans, starts, slots, texts = [], [], [], {}
+            for text, sf in zip(batch.context_trimmed, batch.sf, strict=True):
+                pieces = tokenizer(text or "")
+                span = word_piece_span(pieces, (sf or "").lower())
+                start = 0 if span is None or reach is None else max(0, span[0] - reach)
+                spans.append(span)
+                starts.append(start)
+                cut = () if span is None else tuple(pieces) if reach is None else tuple(pieces[start : span[1] + reach])
+                slots.append(None if span is None else texts.setdefault((cut, span[0] - start, span[1] - start), len(texts)))
+            keys = list(texts)
+            sizes = np.array([len(k[0]) for k in keys], np.int64)
+            vectors: list[list[float] | None] = [None] * len(keys)
+            for rows in _blocks(sizes):
+                longest = int(sizes[rows].max())
+                hidden = encoder([[*keys[r][0], *[PAD] * (longest - len(keys[r][0]))] for r in rows])[-last_layers:]
+                first, end = (np.array([keys[r][i] for r in rows]) for i in (1, 2))
+                inside = (np.arange(longest) >= first[:, None]) & (np.arange(longest) < end[:, None])
+                sums = np.einsum("lntw,nt->nw", hidden, inside / (end - first)[:, None])
+                for r, v in zip(rows.tolist(), (sums / len(hidden)).tolist(), strict=True):
+                    vectors[r] = v
+            yield pd.DataFrame({
+                "row_idx": batch.row_idx, "form": batch.form, "sf": batch.sf, "span": [None if s is None else list(s) for s in spans],
+                "embedding": [None if k is None else vectors[k] for k in slots],
+            })
 
     rows = contexts.select(F.col(row_id).alias("row_idx"), "form", "sf", "context_trimmed")
-    return rows.mapInPandas(run, "row_idx long, form string, sf string, span array<int>, embedding array<double>")
+    return rows.mapInPandas(run, _EMBEDDED)
+
+
+def embed_with_restart(contexts: DataFrame, path: str, batch: int = 100_000, most: int | None = None, row_id: str = "row_idx", **how: object) -> DataFrame:
+    """``embed`` into ``path``, a folder the cluster shares: rows row_idx // ``batch`` are one job and are committed together.
+
+    A stopped run, or one that ends after ``most`` batches, goes on from what is committed and encodes none of it again.
+    """
+    spark, root = contexts.sparkSession, path.rstrip("/")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    at = F.floor(F.col(row_id) / batch).cast("long")
+    wanted = sorted(r.at for r in contexts.where(F.col(row_id).isNotNull()).select(at.alias("at")).distinct().collect())
+    done = [k for k in wanted if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/batch={k}/_SUCCESS"))]
+    for k in [k for k in wanted if k not in done][:most]:
+        mine = contexts.where((F.col(row_id) >= k * batch) & (F.col(row_id) < (k + 1) * batch))
+        embed(mine, row_id=row_id, **how).write.mode("overwrite").parquet(f"{root}/batch={k}")
+        done.append(k)
+    return spark.read.schema(_EMBEDDED).parquet(*[f"{root}/batch={k}" for k in done]) if done else spark.createDataFrame([], _EMBEDDED)
 
 
 def reduce_dimensions(rows: DataFrame, k: int, vector: str = "embedding", out: str = "pc") -> tuple[DataFrame, list[float]]:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glossa.operators import abbreviations, cluster, collect, dictionary, disambiguate, embedding, inclusion, listings, metrics, sampling
+from glossa.operators import abbreviations, cluster, collect, contexts, dictionary, disambiguate, embedding, inclusion, listings, metrics, sampling
 
 
 def test_merge_sources(spark):
@@ -125,12 +125,45 @@ def test_neighbours_in_blocks(spark):
         assert {(r.q, r.sf, r.lf, r.id, r["rank"]) for r in disambiguate.neighbours(q, k, 5, block).collect()} == want
 
 
-def test_cropped_encoding_is_the_same(spark):
-    rows = [(i, "f", "heart", f"{'wide words here and there ' * (i % 4)}the heart beats {'so long as it can ' * (i % 3)}") for i in range(12)] + [(99, "f", "gone", "nothing")]
-    df = spark.createDataFrame(rows, "row_idx long, form string, sf string, context_trimmed string")
-    whole = lambda pieces: embedding.hashed_layers(pieces)
-    key = lambda got: sorted((r.row_idx, r.span, None if r.embedding is None else [round(x, 12) for x in r.embedding]) for r in got.collect())
-    assert key(embedding.embed(df)) == key(embedding.embed(df, encoder=whole))
+def _contexts(spark):
+    rows = [(i, "f", "heart", f"{'wide words here and there ' * (i % 4)}the heart beats {'so long as it can ' * (i % 3)}") for i in range(40)]
+    rows += [(99, "f", "gone", "nothing"), (100, "f", None, None), (101, "f", "widespread", "A widespread widespread word"), (102, "f", "heart", "heart")]
+    return rows, spark.createDataFrame(rows, "row_idx long, form string, sf string, context_trimmed string").repartition(3)
+
+
+def _key(got):
+    return sorted((r.row_idx, r.span, None if r.embedding is None else [round(x, 9) for x in r.embedding]) for r in got.collect())
+
+
+def test_blocks_give_what_rows_give(spark, monkeypatch):
+    rows, df = _contexts(spark)
+    want = []
+    for i, _, sf, text in rows:
+        pieces = embedding.pieces_of(text or "")
+        span = contexts.word_piece_span(pieces, (sf or "").lower())
+        h = embedding.hashed_layers([pieces])[0]
+        want.append((i, None if span is None else list(span), None if span is None else [round(x, 9) for x in h[-4:, span[0] : span[1]].mean(axis=1).mean(axis=0)]))
+    assert _key(embedding.embed(df)) == sorted(want)
+    whole = lambda block: embedding.hashed_block(block)
+    monkeypatch.setattr(embedding, "BLOCK_TOKENS", 40)
+    assert _key(embedding.embed(df, encoder=whole)) == sorted(want) == _key(embedding.embed(df))
+
+
+def test_rows_lie_in_blocks_by_length(monkeypatch):
+    monkeypatch.setattr(embedding, "BLOCK_TOKENS", 20)
+    sizes = np.array([3, 9, 0, 10, 2, 30, 9])
+    blocks = [b.tolist() for b in embedding._blocks(sizes)]
+    assert blocks == [[5], [3, 1], [6, 0], [4]] and sorted(sum(blocks, [])) == [0, 1, 3, 4, 5, 6]
+
+
+def test_embedding_goes_on_after_a_stop(spark, tmp_path):
+    _, df = _contexts(spark)
+    path = f"{tmp_path}/vectors"
+    assert embedding.embed_with_restart(df, path, 16, most=2).count() == 32
+    before = {p.name for p in (tmp_path / "vectors" / "batch=0").iterdir()}
+    assert _key(embedding.embed_with_restart(df, path, 16)) == _key(embedding.embed(df))
+    assert {p.name for p in (tmp_path / "vectors" / "batch=0").iterdir()} == before
+    assert embedding.embed_with_restart(df.limit(0), f"{tmp_path}/none").count() == 0
 
 
 def test_tagging_goes_on_after_a_stop(spark, tmp_path):
