@@ -224,7 +224,7 @@ def gibbs(
         return spark.createDataFrame([], GIBBS)
     width = width[0].n
     known = params.where(F.size("mean") == width)
-    rows = data.select("sf", F.col("id").cast("long").alias("id"), vectors.doubles(F.col("embedding")).alias("x"), F.coalesce(F.col("is_train").cast("int"), F.lit(0)).alias("is_train"))
+    rows = data.select("sf", F.col("id").cast("long").alias("id"), vectors.doubles(F.col("embedding")).alias("x"), F.coalesce((F.col("is_train").cast("int") == 1).cast("int"), F.lit(0)).alias("is_train"))
     blocks, sizes = packed(rows, known.select("sf").distinct(), width, {"is_train": "long"})
     most = sizes.agg(F.max("blocks")).first()[0] or 1
     found = last_snapshot(spark, snapshots, sweeps - 1) if snapshots else None
