@@ -70,6 +70,34 @@ def test_similar_pairs_match_brute_force(spark):
         assert got == want
 
 
+def test_similar_pairs_under_a_token_of_half_the_names(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice("ST"), " ".join([*(["hot"] if i % 2 else []), *rng.choices("abcdefghij", k=rng.randrange(1, 7))])) for i in range(300)]
+    rows += [(300, "S", None), (301, "S", ""), (302, None, "hot a"), (303, "S", "B A hot"), (304, "S", "hot a b b")]
+    df = spark.createDataFrame(rows, "id long, sf string, lf string")
+    sets = {i: (s, {w for w in lf.lower().split(" ") if w}) for i, s, lf in rows if s and lf}
+    for t in (0.0, 0.5, 0.66):
+        got = sorted((r.sf, r.a, r.b, round(r.similarity, 9)) for r in cluster.similar_pairs(df, t, block=16).collect())
+        want = [
+            (s, i, j, round(len(x & y) / len(x | y), 9)) for i, (s, x) in sets.items() for j, (u, y) in sets.items() if i < j and s == u and len(x & y) / len(x | y) > t
+        ]
+        assert got == sorted(want)
+    docs = spark.createDataFrame([(i, s, sorted(x)) for i, (s, x) in sets.items()], "id long, sf string, tokens array<string>")
+    dealt = cluster.block_pairs(docs, 0.0, 16)
+    assert dealt.groupBy("sf", "key").count().agg({"count": "max"}).first()[0] > 300
+    assert dealt.groupBy("sf", "key", "low", "high").count().agg({"count": "max"}).first()[0] < 64
+
+
+def test_token_classes_keep_copies_out_of_pairs(spark):
+    rows = [(i, "S", "b a" if i % 2 else "A B") for i in range(400)] + [(400, "S", "a b c"), (401, "T", "a b"), (402, "S", None)]
+    classes = cluster.token_classes(spark.createDataFrame(rows, "id long, sf string, lf string"))
+    assert {tuple(r) for r in classes.groupBy("sf", "first").count().collect()} == {("S", 0, 400), ("S", 400, 1), ("T", 401, 1)}
+    assert [(r.a, r.b) for r in cluster.similar_classes(classes, 0.6).collect()] == [(0, 400)]
+    df = spark.createDataFrame([(*r, None) for r in rows], "id long, sf string, lf string, cui string")
+    assert {r.cluster_id for r in cluster.cluster(df, 0.6).where("id <= 400").collect()} == {0}
+    assert cluster.similar_pairs(df.limit(0)).collect() == []
+
+
 def test_collect(spark):
     d = spark.createDataFrame([("S1", "x", 0), ("S2", "x", 1), ("S3", "S1", 2)], "sf string, lf string, pos int")
     a = spark.createDataFrame([("x", "1", "c"), ("x", "1", "c"), ("x", "2", None), ("S1", "3", "e"), ("zz", "4", "f")], "form string, doc_id string, context string")
