@@ -373,25 +373,25 @@ _SENTENCES = r"""WITH t AS (SELECT doc_id, unnest(string_split(replace(text, chr
  s AS (SELECT a.sf, a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS similarity FROM c a JOIN c b ON a.sf = b.sf AND a.id < b.id AND least(len(a.w), len(b.w)) / greatest(len(a.w), len(b.w)) > {t}) """.format
 
 
-def _sentence_classes(spark, sf):
+def _sentences(spark, sf):
     """Sentences as long forms, their first two words' initials as the short form."""
     parts = F.split(F.translate("text", "\n", " "), r"\. ")
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(parts).alias("pos", "lf"))
     initials = F.concat(F.left("lf", F.lit(1)), F.left(F.split_part("lf", F.lit(" "), F.lit(2)), F.lit(1)))
-    return cluster.token_classes(rows.select(F.struct("doc_id", "pos").alias("id"), initials.alias("sf"), "lf"))
+    return rows.select(F.struct("doc_id", "pos").alias("id"), initials.alias("sf"), "lf")
 
 
 @query(_SENTENCES(t=cluster.THRESHOLD) + "SELECT sf, a.doc_id AS a_doc, a.pos AS a_pos, b.doc_id AS b_doc, b.pos AS b_pos, round(similarity, 6) AS similarity FROM s WHERE similarity > 0.66")
 def similar_sentences(spark, sf):
     """Sentences that are nearly alike, between the first sentences of equal word sets."""
-    found = cluster.similar_classes(materialize(_sentence_classes(spark, sf), "sentence-classes"))
+    found = cluster.similar_sets(cluster.distinct_sets(_sentences(spark, sf)))
     ids = [F.col(f"{c}.{f}").alias(f"{c}_{f.split('_')[0]}") for c in "ab" for f in ("doc_id", "pos")]
     return found.select("sf", *ids, F.round("similarity", 6).alias("similarity"))
 
 
 @query(_SENTENCES(t=0) + "SELECT p.id.doc_id AS doc_id, p.id.pos AS pos, c.id.doc_id AS first_doc, c.id.pos AS first_pos, copies FROM p JOIN c ON p.sf = c.sf AND p.w = c.w")
 def sentence_classes(spark, sf):
-    return _sentence_classes(spark, sf).select("id.doc_id", "id.pos", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"), "copies")
+    return cluster.token_classes(_sentences(spark, sf)).select("id.doc_id", "id.pos", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"), "copies")
 
 
 # -- contexts --------------------------------------------------------------------------------------------------------

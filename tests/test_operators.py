@@ -84,6 +84,8 @@ def test_similar_pairs_under_a_token_of_half_the_names(spark):
         assert got == sorted(want)
     docs = spark.createDataFrame([(i, s, sorted(x)) for i, (s, x) in sets.items()], "id long, sf string, tokens array<string>")
     dealt = cluster.block_pairs(docs, 0.0, 16)
+    joined = cluster.block_pairs(docs, 0.0, 16, most_hot=0)
+    assert dealt.count() == joined.count() and dealt.exceptAll(joined).isEmpty()
     assert dealt.groupBy("sf", "key").count().agg({"count": "max"}).first()[0] > 300
     assert dealt.groupBy("sf", "key", "low", "high").count().agg({"count": "max"}).first()[0] < 64
 
@@ -92,7 +94,7 @@ def test_token_classes_keep_copies_out_of_pairs(spark):
     rows = [(i, "S", "b a" if i % 2 else "A B") for i in range(400)] + [(400, "S", "a b c"), (401, "T", "a b"), (402, "S", None)]
     classes = cluster.token_classes(spark.createDataFrame(rows, "id long, sf string, lf string"))
     assert {tuple(r) for r in classes.groupBy("sf", "first").count().collect()} == {("S", 0, 400), ("S", 400, 1), ("T", 401, 1)}
-    assert [(r.a, r.b) for r in cluster.similar_classes(classes, 0.6).collect()] == [(0, 400)]
+    assert [(r.a, r.b) for r in cluster.similar_sets(classes.where("id = first"), 0.6).collect()] == [(0, 400)]
     df = spark.createDataFrame([(*r, None) for r in rows], "id long, sf string, lf string, cui string")
     assert {r.cluster_id for r in cluster.cluster(df, 0.6).where("id <= 400").collect()} == {0}
     assert cluster.similar_pairs(df.limit(0)).collect() == []
