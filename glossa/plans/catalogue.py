@@ -22,7 +22,7 @@ from glossa.plans.materialize import materialize, scratch_path
 from glossa.plans.ranges import numbered
 from glossa.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from glossa.sources.readers import lookup_source
-from glossa.sources import models, sinks
+from glossa.sources import models, services, sinks
 from glossa.sources.tables import table
 
 #: (form, phrase variants by bars)
@@ -236,6 +236,27 @@ def term_lookup(spark, sf):
     return lookup_source(wanted, rows.select("sf", "lf").distinct())
 
 
+class _Numbers:
+    """A service that knows the digits of a name, and gives no answer the first time that it is asked for every fifth."""
+
+    def __init__(self):
+        self.asked = set()
+
+    def __call__(self, term: str) -> list[str]:
+        digits = term.split("#")[-1].lstrip("0")
+        if digits.endswith(("0", "5")) and term not in self.asked:
+            self.asked.add(term)
+            raise ConnectionError(term)
+        return [digits, digits[::-1]] if digits else []
+
+
+@query("""WITH n AS (SELECT DISTINCT c_name AS term, ltrim(split_part(c_name, '#', 2), '0') AS d FROM customer)
+SELECT term, d AS answer FROM n WHERE d <> '' UNION ALL SELECT term, reverse(d) FROM n WHERE d <> ''""")
+def served_terms(spark, sf):
+    """Every customer's name asked of a service that fails now and then."""
+    return services.answers(table(spark, sf, "customer"), _Numbers(), "c_name", delay=0)
+
+
 _VOCAB = f"""WITH p AS (SELECT {SF_SQL} AS sf, p_name || ' ' || p_type AS lf, p_partkey AS pos, CASE WHEN p_type IN ('PROMO', 'SMALL') THEN 0 ELSE p_size % 7 + 1 END AS support FROM part),
  f AS (SELECT sf, lf, min(pos) AS first_at, max(support) AS support FROM p WHERE support > 0 GROUP BY sf, lf),
  k AS (SELECT sf, lf, CAST(row_number() OVER (PARTITION BY sf ORDER BY first_at, lf) - 1 AS INTEGER) AS lf_id, CAST(support AS BIGINT) AS support FROM f),
