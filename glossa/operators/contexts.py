@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import enum
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import pandas as pd
@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 
 from glossa.functions import sets, text
 from glossa.functions.inflect import forms
+from glossa.plans.materialize import materialize
+from glossa.plans.skew import HOT
 
 TARGET = "TARGETWORD"
 WINDOW, TRIM = 25, 10
 #: Phrases that are compared inside a projection; a longer dictionary is joined.
 LITERALS = 5_000
+#: Bits by which n-grams that are in no longer dictionary are told before anything is shuffled.
+SLOTS = 1 << 20
 #: A window that any line fits in.
 WHOLE_LINE = 1 << 30
 
@@ -94,8 +98,9 @@ def with_hits(tokenised: DataFrame, terms: DataFrame, lengths: list[int], ignore
     """``tokenised`` with hits array<struct<pos, length, phrase>>, empty or missing where a document has none.
 
     ``lengths`` are the numbers of words that phrases have. Up to ``LITERALS`` phrases are looked up in a hash set inside
-    the projection: no n-gram leaves its document. More phrases are joined as a table, and the hits of a document, not
-    its words, are what is shuffled.
+    the projection: no n-gram leaves its document. More phrases are joined as a table: n-grams that fail a test of
+    ``SLOTS`` bits are dropped where they are, the rest is written narrow, frequent ones meet a broadcast of fewer than
+    ``HOT`` phrases, others are dealt by phrase. Then a hit tells its ``forms`` too, and windows are never joined.
     """
     keyed, most = _keyed(terms, ignore_case), LITERALS if most_literals is None else most_literals
     grams = F.concat(*[n_grams(F.col("words"), n) for n in lengths])
@@ -106,12 +111,37 @@ def with_hits(tokenised: DataFrame, terms: DataFrame, lengths: list[int], ignore
         return tokenised.withColumn("hits", hits)
     # hits follow from the words alone, so rows are known by 128 bits of these: ids may repeat or be null
     same = [F.xxhash64("words").alias("_w1"), F.xxhash64(F.lit("again"), "words").alias("_w2")]
-    cells = tokenised.select(*same, F.explode(F.transform(grams, named)).alias("h"))
-    found = cells.join(keyed.select("phrase").distinct(), F.col("h.phrase") == F.col("phrase"), "left_semi")
-    found = found.groupBy("_w1", "_w2").agg(F.array_sort(F.collect_set("h")).alias("hits"))
+    likely = _likely(keyed)
+    some_grams = F.filter(F.transform(grams, named), lambda h: likely(h["phrase"]))
+    cells = materialize(tokenised.select(*same, F.explode(some_grams).alias("h")).select("_w1", "_w2", "h.*"), "likely-hits")
+    forms_of = keyed.groupBy("phrase").agg(F.sort_array(F.collect_set("form")).alias("forms"))
+    # a phrase of over a HOT-th of all rows, of the dictionary or not, stays where its rows are
+    counts = cells.groupBy("phrase").agg(F.count("*").alias("n"))
+    frequent = materialize(counts.where(F.col("n") * HOT > cells.count()).join(forms_of, "phrase", "left").drop("n"), "frequent-phrases")
+    held = cells.join(F.broadcast(frequent.where("forms is not null")), "phrase")
+    rest = cells.join(F.broadcast(frequent.select("phrase")), "phrase", "left_anti").join(forms_of, "phrase")
+    found = held.unionByName(rest).groupBy("_w1", "_w2").agg(F.array_sort(F.collect_set(F.struct("pos", "length", "phrase", "forms"))).alias("hits"))
     return tokenised.select("*", *same).join(found, ["_w1", "_w2"]).drop("_w1", "_w2")
 
 
+def _likely(keyed: DataFrame) -> Callable[[Column], Column]:
+    """A test that every phrase of a dictionary passes and few others: a table of ``SLOTS`` bits, whatever the dictionary's size."""
+    place = lambda phrase: F.pmod(F.xxhash64(phrase), F.lit(SLOTS)).cast("int")
+    bits = keyed.select(place(F.col("phrase")).alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word"))
+    words = [0] * (SLOTS // 64)
+    for r in bits.agg(F.bit_or(F.expr("shiftleft(1L, at % 64)")).alias("bits")).collect():
+        words[r["word"]] = r["bits"]
+    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    return lambda phrase: F.getbit(F.get(table, (place(phrase) / 64).cast("int")), place(phrase) % 64) == 1
+
+
+def _with_forms(rows: DataFrame, terms: DataFrame, ignore_case: bool) -> DataFrame:
+    """Rows of hits with ``form``: from the hit where it tells its forms, else by its phrase from a small dictionary."""
+    if "forms" in rows.columns:
+        return rows.withColumn("form", F.explode("forms"))
+    return rows.join(_keyed(terms, ignore_case), "phrase")
+
+
 def word_contexts(
     tokenised: DataFrame, terms: DataFrame, lengths: list[int], size: int = WINDOW, left_mode: str = "intended", ignore_case: bool = False, doc_id: str = "doc_id",
     most_literals: int | None = None,
@@ -121,10 +151,10 @@ def word_contexts(
     docs = with_hits(tokenised, terms, lengths, ignore_case, most_literals)
     cut = F.transform(
         "hits",
-        lambda h: F.struct(h["phrase"].alias("phrase"), h["pos"].alias("pos"), h["length"].alias("length"), window(F.col("words"), h["pos"], h["length"], size, left_mode).alias("context")),
+        lambda h: F.struct(h.alias("hit"), window(F.col("words"), h["pos"], h["length"], size, left_mode).alias("context")),
     )
-    rows = docs.select(doc_id, F.explode(cut).alias("c")).select(doc_id, "c.*")
-    return rows.join(_keyed(terms, ignore_case), "phrase").select("form", doc_id, "pos", "length", "context")
+    rows = docs.select(doc_id, F.explode(cut).alias("c")).select(doc_id, "c.context", "c.hit.*")
+    return _with_forms(rows, terms, ignore_case).select("form", doc_id, "pos", "length", "context")
 
 
 def longest_only(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -133,12 +163,12 @@ def longest_only(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return found.groupBy("form", doc_id, "pos").agg(best).select("form", doc_id, "pos", "best.length", "best.context")
 
 
-def document_contexts(tokenised: DataFrame, terms: DataFrame, lengths: list[int], ignore_case: bool = False, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_contexts(tokenised: DataFrame, terms: DataFrame, lengths: list[int], ignore_case: bool = False, doc_id: str = "doc_id", text_col: str = "text", most_literals: int | None = None) -> DataFrame:
     """(form, doc_id, context): a whole document once for each form in it."""
-    docs = with_hits(tokenised, terms, lengths, ignore_case)
-    phrases = F.array_distinct(F.transform("hits", lambda h: h["phrase"]))
-    found = docs.select(doc_id, F.col(text_col).alias("context"), F.explode(phrases).alias("phrase"))
-    return found.join(_keyed(terms, ignore_case), "phrase").select("form", doc_id, "context").distinct()
+    docs = with_hits(tokenised, terms, lengths, ignore_case, most_literals)
+    hits = F.transform("hits", lambda h: h.dropFields("pos", "length"))
+    found = docs.select(doc_id, F.col(text_col).alias("context"), F.explode(F.array_distinct(hits)).alias("hit")).select(doc_id, "context", "hit.*")
+    return _with_forms(found, terms, ignore_case).select("form", doc_id, "context").distinct()
 
 
 def line_contexts(docs: DataFrame, terms: DataFrame, lengths: list[int], ignore_case: bool = False, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -84,6 +84,23 @@ def test_joined_path_with_repeated_and_null_ids(spark):
     assert small == joined and len(small) == 3 * 3 + 4
 
 
+def test_joined_dictionary_with_a_phrase_in_every_document(spark, monkeypatch):
+    rows = [(i, "of the " * (i % 3 + 1) + f"w{i} v{i % 7}") for i in range(200)]
+    docs = C.tokenise(spark.createDataFrame(rows, "doc_id long, text string"))
+    terms = spark.createDataFrame(
+        [("f", "of the"), ("g", "of the"), ("f", "v3"), *[(f"n{i}", f"w{i}") for i in range(0, 300, 5)], ("none", "no such")], "form string, phrase string"
+    )
+    whole = lambda **k: sorted(map(tuple, C.word_contexts(docs, terms, [1, 2], 2, **k).collect()))
+    pages = lambda **k: sorted(map(tuple, C.document_contexts(docs, terms, [1, 2], **k).collect()))
+    want, texts = whole(), pages()
+    assert whole(most_literals=0) == want and pages(most_literals=0) == texts and len(texts) == 2 * 200 + 40
+    monkeypatch.setattr(C, "SLOTS", 64)  # a full table lets all n-grams pass, and "the of" is then a frequent one of no form
+    assert whole(most_literals=0) == want
+    assert whole(most_literals=0, ignore_case=True) == want
+    empty = C.word_contexts(docs, terms.limit(0), [1], 2, most_literals=-1)
+    assert empty.collect() == []
+
+
 def test_running_sums(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 as k", "id % 5 as v", "double(1) as w").repartition(7)
     got = {r.k: (r.upto_v, r.upto_w) for r in running_sums(df, ["v", "w"], F.desc("k")).collect()}
