@@ -28,6 +28,10 @@ LITERALS = 5_000
 SLOTS = 1 << 20
 #: A window that any line fits in.
 WHOLE_LINE = 1 << 30
+#: Characters of words, line ends and white space, as classes of Java's expressions.
+_WORD_CLASS = r"[\p{L}\p{N}_]"
+_BOUNDARY_CLASS = r"\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029"
+_SPACE_CLASS = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 
 
 class ContextType(enum.Enum):
@@ -179,6 +183,75 @@ def line_contexts(docs: DataFrame, terms: DataFrame, lengths: list[int], ignore_
     return found.select("form", F.col(f"at.{doc_id}").alias(doc_id), F.col("at.line").alias("line"), "pos", "context")
 
 
+def blank_line_contexts(
+    docs: DataFrame, terms: DataFrame, size: int, ignore_case: bool = False, doc_id: str = "doc_id", text_col: str = "text", most_literals: int | None = None,
+) -> DataFrame:
+    """(form, doc_id, pos, context): the paragraphs between blank lines around each match of a one-word phrase.
+
+    Gives what ``extract`` gives, without Python: a document is its words and the gaps between them, blank lines lie in
+    gaps, and their places bound what is read around a match: ``size`` blank lines and a few more on both sides, or all
+    where there are fewer. Lines of that stretch alone are split. Null and empty texts have no matches.
+    """
+    check_config(ContextType.PARAGRAPH, size)
+    tokenised = tokenise(docs.select(F.col(doc_id), F.col(text_col).alias("text")))
+    found = with_hits(tokenised, terms, [1], ignore_case, most_literals).where("size(hits) > 0")
+    gaps = F.split("text", _WORD_CLASS + "+", -1)
+    parted = found.select(doc_id, "words", "hits", F.explode(F.array(gaps)).alias("gaps"))
+    places = F.flatten(F.transform("gaps", lambda g, i: F.array_repeat(i, _whole_blank_lines(g))))
+    placed = parted.select("*", F.explode(F.array(places)).alias("blanks"))
+    # trimming takes up to two lines off either end, blank ones too (a lone tab, then an empty line)
+    cut = F.transform("hits", lambda h: F.struct(h.alias("hit"), *_around(h, size + 5, ignore_case)))
+    rows = placed.select(doc_id, F.explode(cut).alias("c")).select(doc_id, "c.before", "c.after", "c.hit.*")
+    for side in ("before", "after"):
+        rows = rows.withColumn(side, F.split(side, f"[{_BOUNDARY_CLASS}] *", -1))
+        for _ in range(2):  # off the start, then off the end
+            rows = rows.withColumn(side, F.reverse(F.slice(side, _spare_lines(side) + 1, F.size(side))))
+        if side == "before":
+            rows = rows.withColumn(side, F.reverse(side))
+        blank = F.filter(F.transform(side, lambda x, i: F.when(~x.rlike(f"[^{_SPACE_CLASS}]"), i)), lambda i: i.isNotNull())
+        rows = rows.withColumn("blank", blank)
+        last = F.get("blank", F.size("blank") - 1) if side == "after" else F.get("blank", F.lit(0))
+        kept = F.when(F.size("blank") == 0, F.size(side)).when(F.size("blank") > size, F.get("blank", F.lit(size - 1))).otherwise(last)
+        rows = rows.withColumn(side, F.slice(side, F.lit(1), kept)).drop("blank")
+    context = F.array_join(F.concat(F.reverse("before"), F.array(F.lit(TARGET)), "after"), " ")
+    return _with_forms(rows.withColumn("context", context), terms, ignore_case).select("form", doc_id, "pos", "context")
+
+
+def _whole_blank_lines(gap: Column) -> Column:
+    """How many blank lines lie in a gap from one end to the other."""
+    lines = F.split(gap, f"[{_BOUNDARY_CLASS}] *", -1)
+    inner = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0)))
+    count = F.size(F.filter(inner, lambda x: ~x.rlike(f"[^{_SPACE_CLASS}]")))
+    return F.when(gap.rlike(f"[{_BOUNDARY_CLASS}][^{_WORD_CLASS[1:-1]}]*[{_BOUNDARY_CLASS}]"), count).otherwise(0)
+
+
+def _around(hit: Column, need: int, ignore_case: bool) -> tuple[Column, Column]:
+    """What stands before and after a hit as far as the ``need``-th blank line; one white-space character on each side is the match's.
+
+    Where words of one phrase stand one such character apart, it is the earlier match's.
+    """
+    words, gaps, p = F.col("words"), F.col("gaps"), hit["pos"]
+    left, right = F.filter("blanks", lambda z: z <= p), F.filter("blanks", lambda z: z > p)
+    low = F.coalesce(F.get(left, F.greatest(F.size(left) - need, F.lit(-1))), F.lit(0))
+    high = F.coalesce(F.get(right, F.lit(need - 1)), F.size(words))
+    head, tail = F.get(gaps, p), F.get(gaps, p + 1)
+    earlier = F.get(words, p - 1)
+    taken = F.coalesce((F.length(head) == 1) & ((F.lower(earlier) if ignore_case else earlier) == hit["phrase"]), F.lit(False))
+    head = F.when(head.rlike(f"[{_SPACE_CLASS}]$") & ~taken, F.substring(head, F.lit(1), F.length(head) - 1)).otherwise(head)
+    tail = F.when(tail.rlike(f"^[{_SPACE_CLASS}]"), F.substring(tail, F.lit(2), F.length(tail))).otherwise(tail)
+    before = F.zip_with(F.slice(gaps, low + 1, p - low), F.slice(words, low + 1, p - low), lambda g, w: F.concat(g, w))
+    n = F.greatest(high - p - 1, F.lit(0))
+    after = F.zip_with(F.slice(words, p + 2, n), F.slice(gaps, p + 3, n), lambda w, g: F.concat(w, g))
+    return F.concat(F.array_join(before, ""), head).alias("before"), F.concat(tail, F.array_join(after, "")).alias("after")
+
+
+def _spare_lines(lines: str) -> Column:
+    """How many lines a match leaves at the start: a lone sign, if there is one, then an empty line, if there is one."""
+    first = F.get(lines, F.lit(0))
+    sign = F.when((F.length(first) == 1) & ~first.rlike(r"[\p{L}\p{N}]"), 1).otherwise(0)
+    return sign + F.when(F.get(lines, sign) == "", 1).otherwise(0)
+
+
 def trim_context(rows: DataFrame, size: int = TRIM) -> DataFrame:
     """Adds context_trimmed (``size`` tokens around the first TARGETWORD, every TARGETWORD as the short form) and tgt_idx.
 

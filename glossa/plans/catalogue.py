@@ -474,6 +474,38 @@ def paragraph_contexts(spark, sf):
     return contexts.line_contexts(docs, terms(spark, SHORT_TERMS), [1])
 
 
+#: Where sentences end with a full stop and a space they become paragraphs; the tables have no blank lines.
+_AS_PARAGRAPHS = "replace(text, '. ', '.' || chr(10) || chr(10))"
+_LINE_ENDS, _SPACES = r"\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}", r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
+
+
+def _less_ends(name: str, source: str, column: str) -> str:
+    """CTEs that take a lone sign, then an empty line, off the start of a list of lines."""
+    return f"""{name}s AS (SELECT *, CASE WHEN length({column}[1]) = 1 AND NOT regexp_matches({column}[1], '[\\p{{L}}\\p{{N}}]') THEN 1 ELSE 0 END AS sign_{name} FROM {source}),
+ {name} AS (SELECT *, {column}[sign_{name} + CASE WHEN {column}[sign_{name} + 1] = '' THEN 2 ELSE 1 END:] AS {name}_lines FROM {name}s)"""
+
+
+@query(rf"""WITH terms(phrase) AS (VALUES {", ".join(f"('{t}')" for t in SHORT_TERMS)}), d AS (SELECT doc_id, {_AS_PARAGRAPHS} AS text FROM documents),
+ t AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS w, regexp_split_to_array(text, '[\p{{L}}\p{{N}}_]+') AS g FROM d),
+ x AS (SELECT *, unnest(list_filter(range(len(w)), lambda i: w[i + 1] IN ({", ".join(f"'{t}'" for t in SHORT_TERMS)}))) AS pos FROM t),
+ h AS (SELECT doc_id, pos, w[pos + 1] AS form,
+  array_to_string(list_transform(range(pos), lambda i: concat(g[i + 1], w[i + 1])), '') AS earlier, g[pos + 1] AS head, length(g[pos + 1]) = 1 AND coalesce(w[pos] = w[pos + 1], false) AS taken,
+  g[pos + 2] AS tail, array_to_string(list_transform(range(pos + 1, len(w)), lambda i: concat(w[i + 1], g[i + 2])), '') AS later FROM x),
+ c AS (SELECT doc_id, pos, form, concat(earlier, CASE WHEN regexp_matches(head, '[{_SPACES}]$') AND NOT taken THEN substr(head, 1, length(head) - 1) ELSE head END) AS b,
+  concat(CASE WHEN regexp_matches(tail, '^[{_SPACES}]') THEN substr(tail, 2) ELSE tail END, later) AS a FROM h),
+ s AS (SELECT row_number() OVER () AS n, doc_id, pos, form, b, a FROM c),
+ l AS (SELECT n, 'b' AS side, regexp_split_to_array(b, '[{_LINE_ENDS}] *') AS part FROM s UNION ALL SELECT n, 'a', regexp_split_to_array(a, '[{_LINE_ENDS}] *') FROM s),
+ {_less_ends("q", "l", "part")}, r AS (SELECT n, side, list_reverse(q_lines) AS part FROM q), {_less_ends("v", "r", "part")},
+ near AS (SELECT n, side, CASE side WHEN 'b' THEN v_lines ELSE list_reverse(v_lines) END AS part FROM v),
+ z AS (SELECT *, list_filter(range(len(part)), lambda i: NOT regexp_matches(part[i + 1], '[^{_SPACES}]')) AS blank FROM near),
+ k AS (SELECT n, side, part[1:CASE WHEN len(blank) = 0 THEN len(part) WHEN len(blank) > 2 THEN blank[2] WHEN side = 'a' THEN blank[-1] ELSE blank[1] END] AS part FROM z)
+SELECT form, doc_id, CAST(pos AS INTEGER) AS pos, array_to_string(list_concat(list_reverse(kb.part), ['TARGETWORD'], ka.part), ' ') AS context
+FROM s JOIN k kb ON kb.n = s.n AND kb.side = 'b' JOIN k ka ON ka.n = s.n AND ka.side = 'a'""")
+def blank_line_contexts(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.expr(_AS_PARAGRAPHS.replace("chr(10)", "char(10)")).alias("text"))
+    return contexts.blank_line_contexts(docs, terms(spark, SHORT_TERMS), 2)
+
+
 DICTIONARY = (("TA", "The", 1), ("XA", "The", 2), ("TA", "And", 3), ("OF", "Of", 4), ("In", "The", 5), ("In", "Nowhere", 6))
 
 

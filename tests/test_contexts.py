@@ -137,3 +137,24 @@ def test_numbered(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 as k").repartition(7)
     assert {(r.k, r.row_idx) for r in numbered(df, "k").collect()} == {(i, i) for i in range(1000)}
     assert numbered(df.limit(0), "k").count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2])
+def test_windows_between_blank_lines_are_those_of_the_expressions(spark, size):
+    rng = random.Random(size)
+    pieces = ["XX", "xx", " ", "  ", "\n", "\n\n", "\n \t\n", "\t", "aé", "b_1", ".", "(", "-\n", "\r\n", "\u2028", "\x1f", " XX ", "\n\nXX\n\n"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(1, 90))) for _ in range(300)]
+    rows = [*enumerate(texts), (900, None), (901, ""), (902, "none"), (903, "XX"), (904, "XX"), (904, "XX"), (None, "a\n\nXX"), (905, "w\n\n" * 3000 + "XX" + "\n\nv" * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    for phrase, ignore_case in (("XX", False), ("xx", True)):
+        terms = spark.createDataFrame([("form", phrase), ("none", "zzz")], "form string, phrase string")
+        want = sorted((str(i), c) for i, t in rows for c in C.extract(phrase, SF, t or "", P, size, ignore_case=ignore_case))
+        for most in (None, 0):
+            got = C.blank_line_contexts(docs, terms, size, ignore_case, most_literals=most).collect()
+            assert sorted((str(r.doc_id), r.context) for r in got) == want
+
+
+def test_windows_between_blank_lines_of_no_documents(spark):
+    docs = spark.createDataFrame([], "doc_id int, text string, words int, hits int, gaps int, blanks int")
+    terms = spark.createDataFrame([("a", "a")], "form string, phrase string")
+    assert C.blank_line_contexts(docs, terms, 1).collect() == []
