@@ -28,6 +28,8 @@ LITERALS = 5_000
 SLOTS = 1 << 20
 #: A window that any line fits in.
 WHOLE_LINE = 1 << 30
+#: What str.splitlines documents as line boundaries.
+_BOUNDARIES = "\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029"
 #: Characters of words, line ends and white space, as classes of Java's expressions.
 _WORD_CLASS = r"[\p{L}\p{N}_]"
 _BOUNDARY_CLASS = r"\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029"
@@ -194,14 +196,16 @@ def blank_line_contexts(
     """
     check_config(ContextType.PARAGRAPH, size)
     tokenised = tokenise(docs.select(F.col(doc_id), F.col(text_col).alias("text")))
-    found = with_hits(tokenised, terms, [1], ignore_case, most_literals).where("size(hits) > 0")
-    gaps = F.split("text", _WORD_CLASS + "+", -1)
-    parted = found.select(doc_id, "words", "hits", F.explode(F.array(gaps)).alias("gaps"))
+    found = with_hits(tokenised, terms, [1], ignore_case, most_literals)
+    # one-element explodes keep what is read more than once from being computed anew for each reader
+    met = found.select(doc_id, "text", "words", F.explode(F.array("hits")).alias("hits")).where("size(hits) > 0")
+    parted = met.select(doc_id, "words", "hits", F.explode(F.array(F.split("text", _WORD_CLASS + "+", -1))).alias("gaps"))
     places = F.flatten(F.transform("gaps", lambda g, i: F.array_repeat(i, _whole_blank_lines(g))))
     placed = parted.select("*", F.explode(F.array(places)).alias("blanks"))
     # trimming takes up to two lines off either end, blank ones too (a lone tab, then an empty line)
-    cut = F.transform("hits", lambda h: F.struct(h.alias("hit"), *_around(h, size + 5, ignore_case)))
-    rows = placed.select(doc_id, F.explode(cut).alias("c")).select(doc_id, "c.before", "c.after", "c.hit.*")
+    spans = placed.select(doc_id, "words", "gaps", F.explode(F.array(F.transform("hits", lambda h: _span(h, size + 5)))).alias("spans"))
+    cut = F.transform("spans", lambda s: F.struct(s["hit"].alias("hit"), *_around(s["hit"], s["low"], s["high"], ignore_case)))
+    rows = spans.select(doc_id, F.explode(cut).alias("c")).select(doc_id, "c.before", "c.after", "c.hit.*")
     for side in ("before", "after"):
         rows = rows.withColumn(side, F.split(side, f"[{_BOUNDARY_CLASS}] *", -1))
         for _ in range(2):  # off the start, then off the end
@@ -222,18 +226,23 @@ def _whole_blank_lines(gap: Column) -> Column:
     lines = F.split(gap, f"[{_BOUNDARY_CLASS}] *", -1)
     inner = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0)))
     count = F.size(F.filter(inner, lambda x: ~x.rlike(f"[^{_SPACE_CLASS}]")))
-    return F.when(gap.rlike(f"[{_BOUNDARY_CLASS}][^{_WORD_CLASS[1:-1]}]*[{_BOUNDARY_CLASS}]"), count).otherwise(0)
+    ends = F.length(gap) - F.length(F.translate(gap, _BOUNDARIES, ""))
+    return F.when(F.length(gap) < 2, 0).when(ends < 2, 0).otherwise(count)
+
 
+def _span(hit: Column, need: int) -> Column:
+    """A hit with the gaps that hold the ``need``-th blank line before and after it, or the document's ends."""
+    left, right = F.filter("blanks", lambda z: z <= hit["pos"]), F.filter("blanks", lambda z: z > hit["pos"])
+    low = F.when(F.size(left) >= need, F.get(left, F.size(left) - need)).otherwise(0)
+    return F.struct(hit.alias("hit"), low.alias("low"), F.coalesce(F.get(right, F.lit(need - 1)), F.size("words")).alias("high"))
 
-def _around(hit: Column, need: int, ignore_case: bool) -> tuple[Column, Column]:
-    """What stands before and after a hit as far as the ``need``-th blank line; one white-space character on each side is the match's.
+
+def _around(hit: Column, low: Column, high: Column, ignore_case: bool) -> tuple[Column, Column]:
+    """What stands before and after a hit, between two gaps; one white-space character on each side is the match's.
 
     Where words of one phrase stand one such character apart, it is the earlier match's.
     """
     words, gaps, p = F.col("words"), F.col("gaps"), hit["pos"]
-    left, right = F.filter("blanks", lambda z: z <= p), F.filter("blanks", lambda z: z > p)
-    low = F.coalesce(F.get(left, F.greatest(F.size(left) - need, F.lit(-1))), F.lit(0))
-    high = F.coalesce(F.get(right, F.lit(need - 1)), F.size(words))
     head, tail = F.get(gaps, p), F.get(gaps, p + 1)
     earlier = F.get(words, p - 1)
     taken = F.coalesce((F.length(head) == 1) & ((F.lower(earlier) if ignore_case else earlier) == hit["phrase"]), F.lit(False))
@@ -269,8 +278,6 @@ def trim_context(rows: DataFrame, size: int = TRIM) -> DataFrame:
 
 # -- pattern path ----------------------------------------------------------------------------------------------------
 
-#: What str.splitlines documents as line boundaries.
-_BOUNDARIES = "\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029"
 _LINES = re.compile(f"[{_BOUNDARIES}] *")
 _WORDS = re.compile(r"\W+")
 
