@@ -113,7 +113,11 @@ def with_hits(tokenised: DataFrame, terms: DataFrame, lengths: list[int], ignore
     named = lambda g: F.struct(g["pos"].alias("pos"), g["length"].alias("length"), (F.lower(g["gram"]) if ignore_case else g["gram"]).alias("phrase"))
     some = [r.phrase for r in keyed.select("phrase").distinct().limit(most + 1).collect()]
     if len(some) <= most:
-        hits = F.filter(F.transform(grams, named), lambda h: h["phrase"].isin(some)) if some else F.array().cast("array<struct<pos:int,length:int,phrase:string>>")
+        none = F.array().cast("array<struct<pos:int,length:int,phrase:string>>")
+        hits = F.filter(F.transform(grams, named), lambda h: h["phrase"].isin(some)) if some else none
+        firsts = sorted({p.split(" ")[0] for p in some if p})
+        if firsts and not ignore_case:  # a document without any phrase's first word builds no n-grams
+            hits = F.when(F.arrays_overlap("words", F.array(*map(F.lit, firsts))), hits).otherwise(none)
         return tokenised.withColumn("hits", hits)
     # hits follow from the words alone, so rows are known by 128 bits of these: ids may repeat or be null
     same = [F.xxhash64("words").alias("_w1"), F.xxhash64(F.lit("again"), "words").alias("_w2")]
