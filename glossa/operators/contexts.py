@@ -206,6 +206,9 @@ def blank_line_contexts(
     parted = met.select(doc_id, "words", "hits", F.explode(F.array(F.split("text", _WORD_CLASS + "+", -1))).alias("gaps"))
     places = F.flatten(F.transform("gaps", lambda g, i: F.array_repeat(i, _whole_blank_lines(g))))
     placed = parted.select("*", F.explode(F.array(places)).alias("blanks"))
+    # how many blank lines lie up to each gap, so that a hit looks its own up by place
+    steps = F.zip_with(F.concat(F.array(F.lit(0)), "blanks"), F.concat("blanks", F.array(F.size("words") + 1)), lambda a, b: b - a)
+    placed = placed.select("*", F.explode(F.array(F.flatten(F.transform(steps, lambda n, i: F.array_repeat(i, n))))).alias("upto"))
     # trimming takes up to two lines off either end, blank ones too (a lone tab, then an empty line)
     spans = placed.select(doc_id, "words", "gaps", F.explode(F.array(F.transform("hits", lambda h: _span(h, size + 5)))).alias("spans"))
     cut = F.transform("spans", lambda s: F.struct(s["hit"].alias("hit"), *_around(s["hit"], s["low"], s["high"], ignore_case)))
@@ -236,9 +239,9 @@ def _whole_blank_lines(gap: Column) -> Column:
 
 def _span(hit: Column, need: int) -> Column:
     """A hit with the gaps that hold the ``need``-th blank line before and after it, or the document's ends."""
-    left, right = F.filter("blanks", lambda z: z <= hit["pos"]), F.filter("blanks", lambda z: z > hit["pos"])
-    low = F.when(F.size(left) >= need, F.get(left, F.size(left) - need)).otherwise(0)
-    return F.struct(hit.alias("hit"), low.alias("low"), F.coalesce(F.get(right, F.lit(need - 1)), F.size("words")).alias("high"))
+    upto = F.get("upto", hit["pos"])
+    low = F.when(upto >= need, F.get("blanks", upto - need)).otherwise(0)
+    return F.struct(hit.alias("hit"), low.alias("low"), F.coalesce(F.get("blanks", upto + need - 1), F.size("words")).alias("high"))
 
 
 def _around(hit: Column, low: Column, high: Column, ignore_case: bool) -> tuple[Column, Column]:
