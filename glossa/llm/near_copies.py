@@ -7,13 +7,12 @@
    probability 1 - (1 - 0.8 ** 5) ** 24 = 0.99993, and a more similar pair with a higher one.
 3. Chains: the members of a shard are sorted, by SimHash and then by a hash, and neighbours within ``RADIUS`` bits are
    compared. Sorted ranges may cut a shard anywhere, so no shard is gathered, and copies of one text soon hang together.
-4. Blocks: a shard whose members still lie in different components is compared by XOR and bit counts: members of
-   different components within ``RADIUS`` bits (99.99 % of pairs at ``SIMILARITY``) and of fitting sizes. At this radius a
-   BK-tree follows nearly every edge (97.6 % of 2,048 random values), so operator 6 keeps its trees and this stage compares
-   arrays. A shard of over ``SHARD_MAX`` members is cut into blocks, and each pair of blocks is a task of its own. What is
-   found must also agree by sketch, the ``SKETCH`` least shingles: sets of fewer are known whole, and of larger ones the
-   share of common values is an estimate, of which ``SLACK`` deviations are allowed (4.5: a pair at ``SIMILARITY`` passes
-   but for 4e-6).
+4. BK-trees: a shard whose members still lie in different components grows operator 6's tree keyed by Hamming distance,
+   level by level in arrays; members look up what is within ``RADIUS`` bits (99.99 % of pairs at ``SIMILARITY``), of a
+   fitting size and in another component. A shard of over ``SHARD_MAX`` members is cut into blocks, and each pair of
+   blocks is a task of its own: a tree of the one, looked up by the other. What a tree finds must also agree by sketch,
+   the ``SKETCH`` least shingles: sets of fewer are known whole, and of larger ones the share of common values is an
+   estimate, of which ``SLACK`` deviations are allowed (4.5: a pair at ``SIMILARITY`` passes but for 4e-6).
 5. Every candidate of 3 and 4 is verified on the two shingle sets before it counts.
 
 Defined cases: null or blank text is one class, linked with nothing else; fewer than five words form one shingle; rows
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from glossa.llm.rows import batches_of, keep_rows, text_key
-from glossa.llm.simhash import first_rows, named_groups
+from glossa.llm.simhash import LevelTree, first_rows, named_groups
 from glossa.plans.components import connected_components
 from glossa.plans.materialize import discard, materialize
 from glossa.plans.skew import join_hot
@@ -39,7 +38,7 @@ from glossa.plans.skew import join_hot
 SHINGLE, SIMILARITY, RADIUS, SHARD_MAX = 5, 0.8, 24, 2048
 BANDS, WIDTH, SEED = 24, 5, 7
 SKETCH, SLACK = 256, 4.5
-#: Members that one comparison with a block takes.
+#: Members that walk down a tree together.
 ROWS = 128
 CHUNK, KEPT, HOT_TEXTS, BATCH = 2048, 100_000, 64, 500
 _MULTIPLIERS = np.array([xxh64_intdigest(f"shingle {i}") | 1 for i in range(SHINGLE)], np.uint64)
@@ -141,15 +140,31 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([*batch.columns, *got], [*batch.schema.names, "fp", "sim", "size", "bands"])
 
 
-def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Whether SimHashes and sizes allow the similarity."""
-    return (np.bitwise_count((a ^ b).view(np.uint64)) <= RADIUS) & (np.minimum(n, m) >= SIMILARITY * np.maximum(n, m))
+def _fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sizes allow the similarity."""
+    return np.minimum(n, m) >= SIMILARITY * np.maximum(n, m)
 
 
 def _pairs(src: list, dst: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
 
+def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted (.., band, key), the rows beside one of their band and key; the ends of a range, whose neighbours are elsewhere, stay."""
+    held, before = None, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        band, key = (rows.column(c).to_numpy() for c in ("band", "key"))
+        same = (band[1:] == band[:-1]) & (key[1:] == key[:-1])
+        beside = np.append(before, same)
+        yield rows.slice(0, len(same)).filter(pa.array(beside[:-1] | same))
+        held, before = rows.slice(len(same)), beside[-1]
+    if held is not None:
+        yield held
+
+
 def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over sorted (band, key, fp, sim, size): neighbours of one shard that may be similar."""
     last = None
@@ -159,19 +174,22 @@ def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             cols = [np.append(a, c) for a, c in zip(last, cols, strict=True)]
         last = [c[-1:] for c in cols]
         band, key, fp, sim, size = cols
-        same = (band[1:] == band[:-1]) & (key[1:] == key[:-1]) & _near(sim[1:], sim[:-1], size[1:], size[:-1])
+        same = (band[1:] == band[:-1]) & (key[1:] == key[:-1]) & (np.bitwise_count((sim[1:] ^ sim[:-1]).view(np.uint64)) <= RADIUS) & _fit(size[1:], size[:-1])
         at = np.flatnonzero(same)
         yield _pairs(fp[at], fp[at + 1])
 
 
 def _candidates(shard: list[int], members: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    """Members of a shard's two blocks, or of its one, that lie in different components and may be similar."""
+    """Members of a shard's two blocks, or of its one, that lie in different components and may be similar, by a BK-tree of the first."""
     own, fp, sim, size, component, sketches = members
     one, other = (np.flatnonzero(own == b) for b in shard[2:])
     src, dst = [], []
+    _, first, value = np.unique(sim[one], return_index=True, return_inverse=True)
+    place = np.argsort(np.argsort(first))  # values in the order of their first members
+    tree, node = LevelTree(sim[one][np.sort(first)]), place[value]
     for at in range(0, len(other), ROWS):
         rows = other[at : at + ROWS]
-        may = _near(sim[rows][:, None], sim[one][None, :], size[rows][:, None], size[one][None, :])
+        may = tree.near(sim[rows], RADIUS)[:, node] & _fit(size[rows][:, None], size[one][None, :])
         may &= component[rows][:, None] != component[one][None, :]
         if shard[2] == shard[3]:
             may &= one[None, :] < rows[:, None]
@@ -279,11 +297,12 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shard_max: int) -> tup
     nodes = rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("sim", "size", "bands")])
     nodes = materialize(nodes, "copies-nodes")
     keys = nodes.select("fp", "sim", "size", F.posexplode("bands").alias("band", "key"))
-    shared = materialize(keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "copies-shared")
-    keys = materialize(join_hot(keys, shared, ["band", "key"]), "copies-keys")
+    sort = ("band", "key", "sim", "fp")
+    ranged = keys.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    keys = materialize(ranged.mapInArrow(_shared_batches, "fp long, sim long, size long, band int, key long"), "copies-keys")
     links = _verified(chained(keys, "sim").union(chained(keys, "xxhash64(fp)")), rows, nodes, "copies-chain")
     linked = materialize(connected_components(links), "copies-linked")
-    links = links.union(_verified(across(keys, linked, rows, nodes, shard_max), rows, nodes, "copies-blocks"))
+    links = links.union(_verified(across(keys, linked, rows, nodes, shard_max), rows, nodes, "copies-tree"))
     return rows, named_groups(nodes.select("fp", "rep", "n"), links)
 
 

@@ -109,6 +109,38 @@ class BKTree:
         return found
 
 
+class LevelTree:
+    """The tree that ``BKTree`` grows from an array of distinct 64-bit values in their order, kept level by level.
+
+    Each level has its nodes' places among the values, their parents' places in the level above and the edges' distances,
+    so many queries walk down together.
+    """
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = values.view(np.uint64)
+        nodes, at, rest = np.zeros(min(1, len(values)), np.int64), np.zeros(max(0, len(values) - 1), np.int64), np.arange(1, len(values))
+        self.levels = [(nodes, nodes, nodes)] if len(values) else []
+        while len(rest):
+            edge = at * 65 + np.bitwise_count(self.values[rest] ^ self.values[nodes[at]])
+            steps, first, at = np.unique(edge, return_index=True, return_inverse=True)
+            nodes = rest[first]
+            self.levels.append((nodes, steps // 65, steps % 65))
+            later = np.ones(len(rest), bool)
+            later[first] = False
+            rest, at = rest[later], at[later]
+
+    def near(self, queries: np.ndarray, radius: int) -> np.ndarray:
+        """(queries, values): which values are within ``radius`` bits; only edges within the radius of a query's distance are followed."""
+        queries, found = queries.view(np.uint64), np.zeros((len(queries), len(self.values)), bool)
+        for depth, (nodes, parents, edges) in enumerate(self.levels):
+            follow = np.abs(far[:, parents] - edges) <= radius if depth else np.ones((len(queries), 1), bool)
+            query, node = np.nonzero(follow)
+            far = np.full(follow.shape, 1000, np.int16)  # not reached: no edge is within a radius of this
+            far[query, node] = np.bitwise_count(queries[query] ^ self.values[nodes[node]])
+            found[:, nodes] = far <= radius
+        return found
+
+
 def blocks(free: int, n: int) -> list[int]:
     """The set bits of ``free``, highest first, as ``n`` masks of nearly equal width."""
     bits = [1 << i for i in range(63, -1, -1) if free >> i & 1]

@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline as P
 from glossa.llm import near_copies as N
+from glossa.llm import simhash as S
 
 
 def shingles(text):
@@ -87,3 +89,34 @@ def test_sketches_allow_what_is_similar():
                 assert not got[0]
     empty = N.sketch(np.zeros(0, np.uint64))
     assert N.may_be_similar(empty, empty[None]).all()
+
+
+def test_shards_grow_trees(monkeypatch):
+    """Candidates come from operator 6's tree, grown in arrays, and only its edges within the radius are followed."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(-(1 << 63), 1 << 63, 40)
+    values = np.unique(np.concatenate([base, base ^ (1 << 5), base ^ 3, rng.integers(-(1 << 63), 1 << 63, 200)]))
+    rng.shuffle(values)
+    tree, walk = S.LevelTree(values), S.BKTree()
+    for v in values.tolist():
+        walk.add(v & (1 << 64) - 1)
+    parents = {(int(v), int(e)) for (_, above, edges), (up, *_) in zip(tree.levels[1:], tree.levels, strict=False) for v, e in zip(values[up[above]], edges, strict=True)}
+    assert parents == {(v - (1 << 64) if v >> 63 else v, e) for v, edges in zip(walk.values, walk.edges, strict=True) for e in edges}
+    for radius in (0, 2, 24):
+        got = tree.near(values[:50], radius)
+        for i, v in enumerate(values[:50].tolist()):
+            assert {int(x) & (1 << 64) - 1 for x in values[got[i]]} == set(walk.near(v & (1 << 64) - 1, radius))
+    grown = []
+    monkeypatch.setattr(N, "LevelTree", lambda of: grown.append(len(of)) or S.LevelTree(of))
+    sims = np.array([5, 5, 5 ^ 1, ~5])
+    members = np.zeros(4, np.int64), np.arange(4), sims, np.full(4, 9), np.arange(4), np.full((4, N.SKETCH), 7, np.uint32)
+    found = N._candidates([0, 1, 0, 0], members)
+    assert grown == [3] and {tuple(sorted(p)) for p in zip(*(c.to_pylist() for c in found.columns), strict=True)} == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_shared_keys_are_found_by_order():
+    keys = [1, 2, 2, 3, 4, 4, 4, 5, 6, 6, 7, 8]
+    for size in (1, 2, 3, 5, 20):
+        parts = [pa.RecordBatch.from_pydict({"band": [0] * len(k), "key": k}) for k in (keys[i : i + size] for i in range(0, len(keys), size))]
+        got = [k for b in N._shared_batches(iter(parts)) for k in b.column("key").to_pylist()]
+        assert got == [1, 2, 2, 4, 4, 4, 6, 6, 8]  # the ends stay: their neighbours may be in the next task
