@@ -13,6 +13,8 @@ from glossa.functions import sets, vectors
 
 #: Known vectors that one matrix product takes.
 BLOCK = 4096
+#: Queries that one matrix product takes.
+ROWS = 256
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -20,6 +22,20 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def nearest(queries: np.ndarray, known: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k known rows with the largest products, ties to the first, and the products, for each query.
+
+    ``ROWS`` queries are taken at a time, so what is held beside the result is bounded whatever the number of queries.
+    """
+    k = min(k, len(known))
+    places, found = np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k))
+    for at in range(0, len(queries), ROWS):
+        sims = np.round(queries[at : at + ROWS] @ known.T, 9)
+        near = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        places[at : at + ROWS], found[at : at + ROWS] = near, np.take_along_axis(sims, near, axis=1)
+    return places, found
+
+
 def neighbours(queries: DataFrame, known: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(q, sf, lf, id, sim, rank): the k nearest known vectors of the same short form, by cosine.
 
@@ -55,12 +71,10 @@ def neighbours(queries: DataFrame, known: DataFrame, k: int, block: int = BLOCK)
                 elif ids:
                     order = np.argsort(ids, kind="stable") if held is None else held[0]
                     held = held or (order, np.concatenate(parts)[order], np.array(ids)[order])
-                    sims = np.round(_matrix(part.column(5)) @ held[1].T, 9)
-                    near = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                    rows = np.repeat(np.arange(len(sims)), near.shape[1])
-                    near = near.ravel()
+                    near, sims = nearest(_matrix(part.column(5)), held[1], k)
+                    rows, near = np.repeat(np.arange(len(near)), near.shape[1]), near.ravel()
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(3).take(pa.array(rows)), part.column(0).take(pa.array(rows)), pa.array([names[order[i]] for i in near], pa.string()), pa.array(held[2][near], pa.int64()), pa.array(sims[rows, near])],
+                        [part.column(3).take(pa.array(rows)), part.column(0).take(pa.array(rows)), pa.array([names[order[i]] for i in near], pa.string()), pa.array(held[2][near], pa.int64()), pa.array(sims.ravel())],
                         ["q", "sf", "lf", "id", "sim"],
                     )
 

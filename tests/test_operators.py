@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import uuid
 from collections import Counter
 
@@ -313,3 +314,16 @@ def test_stream(spark, tmp_path):
     out = S.stream_contexts(S.read_documents(spark, f"{tmp_path}/in"), terms, [1], 2)
     S.write_contexts(out, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert {r.context for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"one TARGETWORD two", "TARGETWORD end"}
+
+
+def test_nearest_holds_few_similarities_at_once():
+    rng = np.random.default_rng(3)
+    known, asked = rng.normal(size=(4096, 8)), rng.normal(size=(6000, 8))
+    known[7] = known[5]
+    tracemalloc.start()
+    near, sims = disambiguate.nearest(asked, known, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6  # all similarities at once are 197 MB, and each copy of them as much
+    all_sims = np.round(asked[:500] @ known.T, 9)
+    assert (near[:500] == np.argsort(-all_sims, axis=1, kind="stable")[:, :3]).all() and np.allclose(sims[:500], -np.sort(-all_sims, axis=1)[:, :3])
