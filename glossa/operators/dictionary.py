@@ -180,7 +180,7 @@ def tag_with_restart(
     todo = scratch_path(spark, "tag-rows")
     batch = F.floor(F.col("idx") / size).cast("long")
     dealt = rows.where("idx is not null").select(F.col("idx").cast("long").alias("idx"), "lf_base", "lf").withColumn("batch", batch)
-    dealt.withColumn("wave", F.floor(F.col("batch") / wave).cast("long")).write.partitionBy("wave").parquet(todo)
+    dealt.withColumn("wave", F.floor(F.col("batch") / wave).cast("long")).repartition("batch").write.partitionBy("wave").parquet(todo)
     waves = sorted(r.wave for r in spark.read.schema("wave long").parquet(todo).select("wave").distinct().collect())
     fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
     done = {w for w in waves if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/wave={w}/_SUCCESS"))}
@@ -201,9 +201,9 @@ def tag_with_restart(
         if held:
             yield flush()
 
-    schema = "idx long, batch long, cui string"
+    columns, schema = "idx long, batch long, lf_base string, lf string", "idx long, batch long, cui string"
     for w in [w for w in waves if w not in done][:most_waves]:
-        mine = spark.read.parquet(todo).where(F.col("wave") == w).select("idx", "batch", "lf_base", "lf")
+        mine = spark.read.schema(columns).parquet(f"{todo}/wave={w}")  # its own folder: no wave lists those of all others
         tagged = mine.repartition("batch").sortWithinPartitions("batch", "idx").mapInPandas(run, schema)
         tagged.write.mode("overwrite").parquet(f"{root}/wave={w}")
         done.add(w)

@@ -227,6 +227,15 @@ def test_tagging_goes_on_after_a_stop(spark, tmp_path):
     assert dictionary.tag_with_restart(df.limit(0), tagger, f"{tmp_path}/none").count() == 0
 
 
+def test_waves_do_not_list_one_another(spark, tmp_path):
+    df = spark.range(40).selectExpr("id AS idx", "'a' AS lf_base", "'b' AS lf")
+    spark.sparkContext.setJobGroup(str(tmp_path), "")
+    assert dictionary.tag_with_restart(df, lambda phrases: phrases, f"{tmp_path}/tagged", 1, 1).count() == 40
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(str(tmp_path))
+    spark.sparkContext.setJobGroup("", "")
+    assert len(jobs) < 3 * 40  # two to write a wave; two more a wave listed all folders and read a schema
+
+
 def test_tagger_that_fails(spark):
     def tagger(phrases):
         if any("bad" in p for p in phrases):
