@@ -91,6 +91,23 @@ def test_similar_pairs_under_a_token_of_half_the_names(spark):
     assert dealt.groupBy("sf", "key", "low", "high").count().agg({"count": "max"}).first()[0] < 64
 
 
+def test_similar_distinct_meets_as_sketches_and_row_classes_as_signatures(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice("ST"), " ".join(rng.choices("abcdefgh", k=rng.randrange(0, 7)))) for i in range(300)] + [(300, None, "a"), (301, "S", None), (302, "S", "  "), (303, "S", "A  b a")]
+    df = spark.createDataFrame(rows, "id long, sf string, lf string")
+    first, copies = {}, {}
+    for i, s, lf in rows:
+        key = (s, frozenset(w for w in (lf or "").lower().split(" ") if w))
+        if s and key[1]:
+            first.setdefault(key, i)
+            copies.setdefault(key, []).append(i)
+    got = {(r.a, r.b) for r in cluster.similar_distinct(df, 0.6, block=16).collect()}
+    assert got == {(i, j) for (s, x), i in first.items() for (u, y), j in first.items() if i < j and s == u and len(x & y) / len(x | y) > 0.6}
+    assert {tuple(r) for r in cluster.row_classes(df).collect()} == {(i, ids[0], len(ids)) for ids in copies.values() for i in ids}
+    dealt = cluster.block_pairs(spark.createDataFrame([(1, "S", ["a"])], "id long, sf string, tokens array<string>"), 0.6)
+    assert {"size", "parity"} < set(dealt.columns) and "tokens" not in dealt.columns  # sets stay out of the pair join
+
+
 def test_token_classes_keep_copies_out_of_pairs(spark):
     rows = [(i, "S", "b a" if i % 2 else "A B") for i in range(400)] + [(400, "S", "a b c"), (401, "T", "a b"), (402, "S", None)]
     classes = cluster.token_classes(spark.createDataFrame(rows, "id long, sf string, lf string"))
