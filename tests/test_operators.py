@@ -108,6 +108,19 @@ def test_similar_distinct_meets_as_sketches_and_row_classes_as_signatures(spark)
     assert {"size", "parity"} < set(dealt.columns) and "tokens" not in dealt.columns  # sets stay out of the pair join
 
 
+def test_frequent_tokens_are_keys_together_not_alone(spark):
+    rng = random.Random(9)
+    sets = {i: set(rng.sample([f"w{k}" for k in range(30)], rng.randrange(1, 9))) for i in range(600)}
+    sets |= {i: {f"w{k}" for k in rng.sample(range(30), 8)} | {f"l{k}" for k in rng.sample(range(34), rng.randrange(16, 34))} for i in range(600, 680)}  # over and under 40 tokens
+    docs = spark.createDataFrame([(i, "S", sorted(x)) for i, x in sets.items()], "id long, sf string, tokens array<string>")
+    for t in (0.45, 0.66):
+        got = {(r.a, r.b) for r in cluster.similar_sets(docs, t, block=16).collect()}
+        assert got == {(i, j) for i, x in sets.items() for j, y in sets.items() if i < j and len(x & y) / len(x | y) > t}
+    dealt = cluster.block_pairs(docs.where("id < 600"), 0.66, block=16)
+    groups = [r["count"] for r in dealt.groupBy("sf", "key", "low", "high").count().collect()]
+    assert sum(n * (n - 1) // 2 for n in groups) < 600 * 599 / 2 / 8  # of all pairs
+
+
 def test_token_classes_keep_copies_out_of_pairs(spark):
     rows = [(i, "S", "b a" if i % 2 else "A B") for i in range(400)] + [(400, "S", "a b c"), (401, "T", "a b"), (402, "S", None)]
     classes = cluster.token_classes(spark.createDataFrame(rows, "id long, sf string, lf string"))
